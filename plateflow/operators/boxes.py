@@ -114,16 +114,20 @@ def tiles_to_frame(tile_boxes: DataFrame) -> DataFrame:
     )
 
 
-def _grow(boxes: DataFrame, dx: Column, dy: Column, width: Column, height: Column) -> DataFrame:
+def _size(value: Column | int) -> Column:
+    return F.lit(value) if isinstance(value, int) else value
+
+
+def _grow(boxes: DataFrame, dx: Column, dy: Column, width: Column | int, height: Column | int) -> DataFrame:
     return (
         boxes.withColumn("crop_x1", F.greatest(F.lit(0), F.col("x1") - dx))
         .withColumn("crop_y1", F.greatest(F.lit(0), F.col("y1") - dy))
-        .withColumn("crop_x2", F.least(width, F.col("x2") + dx))
-        .withColumn("crop_y2", F.least(height, F.col("y2") + dy))
+        .withColumn("crop_x2", F.least(_size(width), F.col("x2") + dx))
+        .withColumn("crop_y2", F.least(_size(height), F.col("y2") + dy))
     )
 
 
-def expand_boxes(boxes: DataFrame, width: Column, height: Column, margin_x: float = 0.3,
+def expand_boxes(boxes: DataFrame, width: Column | int, height: Column | int, margin_x: float = 0.3,
                  margin_y: float = 0.1) -> DataFrame:
     """Context crop: whole-pixel margins as a fraction of the box, clipped to the frame."""
     if not (0 <= margin_x <= 1 and 0 <= margin_y <= 1):
@@ -133,13 +137,13 @@ def expand_boxes(boxes: DataFrame, width: Column, height: Column, margin_x: floa
     return _grow(boxes, dx, dy, width, height)
 
 
-def plate_crops(plates: DataFrame, width: Column, height: Column) -> DataFrame:
+def plate_crops(plates: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
     """Crop handed to the reader: a tenth of the plate height on every side, three pixels at least."""
     margin = F.greatest(F.lit(3), (0.10 * (F.col("y2") - F.col("y1"))).cast("bigint"))
     return _grow(plates, margin, margin, width, height)
 
 
-def scan_regions(vehicles: DataFrame, width: Column, height: Column, pad: int = 24, min_side: int = 24) -> DataFrame:
+def scan_regions(vehicles: DataFrame, width: Column | int, height: Column | int, pad: int = 24, min_side: int = 24) -> DataFrame:
     """Regions searched for plates: vehicle boxes padded and clipped, slivers left out."""
     grown = _grow(vehicles, F.lit(pad), F.lit(pad), width, height)
     return grown.filter(
@@ -147,7 +151,7 @@ def scan_regions(vehicles: DataFrame, width: Column, height: Column, pad: int =
     )
 
 
-def normalise_boxes(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
+def normalise_boxes(boxes: DataFrame, width: Column | int, height: Column | int) -> DataFrame:
     """Pixel corners to fractions of the frame, clamped to [0, 1]."""
     return boxes.select(
         "*",
@@ -156,11 +160,11 @@ def normalise_boxes(boxes: DataFrame, width: Column, height: Column) -> DataFram
     )
 
 
-def normalise_quad(quad: Column, offset_x: Column, offset_y: Column, width: Column, height: Column) -> Column:
+def normalise_quad(quad: Column, offset_x: Column, offset_y: Column, width: Column | int, height: Column | int) -> Column:
     """Crop-local corners [[x, y] x 4] to whole-image fractions with six decimals."""
 
-    def place(point: Column, axis: int, offset: Column, size: Column) -> Column:
-        return expr.fixed(expr.clamp01((point[axis] + offset) / F.greatest(F.lit(1), size)), 6)
+    def place(point: Column, axis: int, offset: Column, size: Column | int) -> Column:
+        return expr.fixed(expr.clamp01((point[axis] + offset) / F.greatest(F.lit(1), _size(size))), 6)
 
     return F.transform(quad, lambda p: F.array(place(p, 0, offset_x, width), place(p, 1, offset_y, height)))
 
