@@ -82,7 +82,8 @@ def _as_keys(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     for place, column in enumerate(columns):
         values = F.col(column) if kinds[column].startswith("array") else F.array(column)
         values = F.filter(values, lambda value: value.isNotNull())
-        parts.append(F.transform(values, lambda value, p=place: F.concat(F.lit(f"{p}:"), value.cast("string"))))
+        prefix = f"{place}:"
+        parts.append(F.transform(values.cast("array<string>"), lambda value: F.concat(F.lit(prefix), value)))
     empty = F.array().cast("array<string>")
     return df.withColumn(name, F.concat(empty, *parts) if parts else empty)
 
