@@ -1,6 +1,6 @@
 """Queries over the test tables, one module per subject."""
 
-from plateflow.plans import badges, boxes, gallery, reads  # noqa: F401
+from plateflow.plans import badges, boxes, gallery, reads, results  # noqa: F401
 from plateflow.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]
