@@ -107,8 +107,13 @@ SCRAMBLED = """SELECT image_id, plate_idx, array(named_struct('x', brx, 'y', bry
 
 @query(
     "order_corners",
-    """SELECT image_id, plate_idx, plate_idx <> 7 AS ordered, CASE WHEN plate_idx <> 7 THEN tlx END AS tlx, CASE WHEN plate_idx <> 7 THEN tly END AS tly,
-        CASE WHEN plate_idx <> 7 THEN brx END AS brx, CASE WHEN plate_idx <> 7 THEN bry END AS bry FROM v_quad""",
+    """WITH r AS (SELECT image_id, plate_idx, [{'x': tlx, 'y': tly}, {'x': trx, 'y': try_}, {'x': brx, 'y': bry}, {'x': blx, 'y': bly}] AS ring FROM v_quad),
+    s AS (SELECT *, list_transform(ring, lambda c: c.x + c.y) AS sums FROM r),
+    t AS (SELECT *, list_position(sums, list_min(sums)) AS k FROM s),
+    u AS (SELECT *, list_concat(ring[k:], ring[:k - 1]) AS q FROM t),
+    v AS (SELECT *, sqrt(pow(q[2].x - q[1].x, 2) + pow(q[2].y - q[1].y, 2)) < sqrt(pow(q[4].x - q[1].x, 2) + pow(q[4].y - q[1].y, 2)) AS upright FROM u),
+    w AS (SELECT *, CASE WHEN plate_idx = 7 THEN NULL WHEN upright THEN [q[4], q[1], q[2], q[3]] ELSE q END AS f FROM v)
+    SELECT image_id, plate_idx, plate_idx <> 7 AS ordered, f[1].x AS tlx, f[1].y AS tly, f[3].x AS brx, f[3].y AS bry FROM w""",
 )
 def _(fx):
     return geometry.order_corners(fx.sql(SCRAMBLED)).select("image_id", "plate_idx", "ordered", "tlx", "tly", "brx", "bry")

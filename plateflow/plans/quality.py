@@ -259,17 +259,15 @@ def _(fx):
     return ingest.clean_filenames(fx.sql(MESSY.format(bs=chr(92) * 2))).select("image_id", "clean_filename")
 
 
-LABEL_FILES = """SELECT cast(floor(image_id / 100) AS bigint) AS file_id, {join} AS value FROM v_plate_truth GROUP BY 1"""
-FRAME_JSON = """concat('"', cast(image_id AS string), '":{{"category":"', category, '","plate":"', plate, '","manufacturer":',
-    CASE WHEN manufacturer IS NULL THEN 'null' ELSE concat('"', manufacturer, '"') END, '}}')"""
+#: One label file per hundred images, written the way label files are.
+LABEL_FILES = """SELECT concat('{"frames":{', concat_ws(',', collect_list(concat('"', cast(image_id AS string), '":{"category":"', category,
+        '","plate":"', plate, '","manufacturer":', CASE WHEN manufacturer IS NULL THEN 'null' ELSE concat('"', manufacturer, '"') END, '}'))), '}}') AS value
+    FROM v_plate_truth GROUP BY floor(image_id / 100)"""
 
 
 @query("read_labels", "SELECT cast(image_id AS varchar) AS frame, category, plate, manufacturer FROM v_plate_truth")
 def _(fx):
-    # One label file per hundred images, written the way label files are.
-    frame = FRAME_JSON.replace("{{", "{").replace("}}", "}")
-    files = fx.sql(LABEL_FILES.replace("{join}", f"""concat('{{"frames":{{', concat_ws(',', collect_list({frame})), '}}}}')""".replace("{{", "{").replace("}}", "}")))
-    return ingest.read_labels(files).select("frame", "category", "plate", "manufacturer")
+    return ingest.read_labels(fx.sql(LABEL_FILES)).select("frame", "category", "plate", "manufacturer")
 
 
 @query(
