@@ -1,11 +1,7 @@
 """Structured Streaming over job events. Each stream has a batch twin with the same answer."""
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from plateflow import dims
@@ -91,77 +87,33 @@ def published(publications: DataFrame) -> DataFrame:
 
 # ---- deadlines -----------------------------------------------------------------------------
 
-DEADLINE_EVENTS = "job_id bigint, kind string, at timestamp, attempts bigint"
-_DEADLINE_OUT = "job_id bigint, status string, error_message string, failed_at timestamp"
-_DEADLINE_STATE = "started double, done boolean, failed boolean"
-
-
-def batch_deadlines(events: DataFrame, until: Column, seconds: int = 300, max_attempts: int = 3) -> DataFrame:
-    """Jobs that failed by themselves as of ``until``: started with no attempts left, or started
-    and neither finished nor failed within ``seconds``. ``events`` has job_id, kind (started,
-    finished), at and attempts."""
-    started, ended = F.col("kind") == "started", F.col("kind") != "started"
-    facts = events.groupBy("job_id").agg(
-        F.min(F.when(started, F.col("at"))).alias("started_at"),
-        F.min(F.when(ended, F.col("at"))).alias("ended_at"),
-        F.max(F.when(started, F.col("attempts"))).alias("attempts"),
-    ).filter(F.col("started_at").isNotNull())
-    deadline = F.col("started_at") + F.expr(f"INTERVAL {seconds} SECOND")
+def job_deadlines(started: DataFrame, finished: DataFrame, seconds: int = 300, max_attempts: int = 3,
+                  lateness: str = "0 seconds", until: Column | None = None) -> DataFrame:
+    """Jobs that fail by themselves: started with no attempts left, or started and not finished
+    within ``seconds``. ``started`` has job_id, started_at and attempts; ``finished`` has job_id and
+    ended_at.
+
+    The same code serves tables and streams. As a stream it is an outer join with a time range: a
+    start stays in state until the watermark passes its deadline and then comes out unmatched.
+    ``until`` stands in for the watermark when the inputs are tables.
+    """
+    limit = F.expr(f"INTERVAL {seconds} SECOND")
     exhausted = F.col("attempts") >= max_attempts
-    late = (deadline <= until) & (F.col("ended_at").isNull() | (F.col("ended_at") > deadline))
-    return facts.filter(exhausted | late).select(
-        "job_id", F.lit("failed").alias("status"),
-        F.when(exhausted, dims.RECOVERY_LIMIT).otherwise(dims.DEADLINE_EXCEEDED).alias("error_message"),
-        F.when(exhausted, F.col("started_at")).otherwise(deadline).alias("failed_at"),
+    opened = started.filter(~exhausted).select("job_id", "started_at").withWatermark("started_at", lateness)
+    closed = finished.select(F.col("job_id").alias("_ended_job"), "ended_at").withWatermark("ended_at", lateness)
+    in_time = (
+        (F.col("job_id") == F.col("_ended_job"))
+        & (F.col("ended_at") >= F.col("started_at")) & (F.col("ended_at") <= F.col("started_at") + limit)
     )
+    late = opened.join(closed, in_time, "left_outer").filter(F.col("_ended_job").isNull())
+    if until is not None:
+        late = late.filter(F.col("started_at") + limit <= until)
 
+    def failure(df: DataFrame, message: str, moment: Column) -> DataFrame:
+        return df.select(
+            "job_id", F.lit("failed").alias("status"), F.lit(message).alias("error_message"), moment.alias("failed_at")
+        )
 
-def stream_deadlines(events: DataFrame, seconds: int = 300, max_attempts: int = 3, lateness: str = "0 seconds") -> DataFrame:
-    """The same as a stream: an event-time timer per started job fires once the watermark passes
-    its deadline. State is three values per open job and is dropped when the job ends."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def failed(message: str, at: float) -> pd.DataFrame:
-            return pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "error_message": [message],
-                                 "failed_at": [pd.Timestamp(at, unit="s")]})
-
-        if state.hasTimedOut:
-            started, _, _ = state.get
-            state.remove()
-            if started is not None:
-                yield failed(dims.DEADLINE_EXCEEDED, started + seconds)
-            return
-        started, done, over = state.get if state.exists else (None, False, False)
-        rows = pd.concat(list(batches)).sort_values("at")
-        for kind, at, attempts in zip(rows["kind"], rows["at"], rows["attempts"]):
-            moment = at.timestamp()
-            if kind == "started" and started is None:
-                started = moment
-                if attempts >= max_attempts and not over:
-                    over = True
-                    yield failed(dims.RECOVERY_LIMIT, moment)
-            elif kind != "started":
-                if started is not None and moment > started + seconds and not (done or over):
-                    over = True
-                    yield failed(dims.DEADLINE_EXCEEDED, started + seconds)
-                done = True
-        if (done or over) and started is not None:
-            state.remove()
-            return
-        state.update((started, done, over))
-        if started is not None:
-            due = int((started + seconds) * 1000)
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
-            else:
-                state.remove()
-                yield failed(dims.DEADLINE_EXCEEDED, started + seconds)
-        else:
-            # An end without its start, out of order or repeated, is kept for one deadline only.
-            last = int((rows["at"].iloc[-1].timestamp() + seconds) * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-
-    return (
-        events.withWatermark("at", lateness).groupBy("job_id")
-        .applyInPandasWithState(step, _DEADLINE_OUT, _DEADLINE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return failure(late, dims.DEADLINE_EXCEEDED, F.col("started_at") + limit).unionByName(
+        failure(started.filter(exhausted), dims.RECOVERY_LIMIT, F.col("started_at"))
     )
