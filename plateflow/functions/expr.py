@@ -1,8 +1,6 @@
 """Column expressions. Each is a plain Catalyst expression, so it stays inside codegen."""
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateflow import dims
@@ -31,92 +29,111 @@ def norm_alnum(c: Column | str) -> Column:
     return F.regexp_replace(F.upper(F.coalesce(_col(c), F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
-def _region_part(text: Column, layout: dims.Layout) -> Column:
+def _listed(values) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+def _part(text: str, layout: dims.Layout) -> str:
     start, end = layout.region
-    return F.substring(text, start + 1, end - start)
-
-
-def _layout_fits(text: Column, layout: dims.Layout, aspect: Column | None) -> Column:
-    fits = text.rlike(layout.pattern)
-    if layout.region is not None:
-        part = _region_part(text, layout)
-        known = part.isin(*dims.REGIONS) if layout.national_region else ~part.rlike("^0+$")
-        fits = fits & known
-    if aspect is not None:
-        low, high = layout.aspect
-        fits = fits & (aspect.isNull() | aspect.between(low, high))
-    return fits
-
-
-def layout_index(text: Column, aspect: Column | None = None) -> Column:
-    """Position of the first layout that fits normalised ``text``; null when none does."""
-    chain = F.lit(None).cast("int")
-    for position in reversed(range(len(dims.LAYOUTS))):
-        chain = F.when(_layout_fits(text, dims.LAYOUTS[position], aspect), F.lit(position)).otherwise(chain)
-    return chain
-
-
-def _by_layout(index: Column, values: list, otherwise: Column) -> Column:
-    """One value per layout, looked up by position."""
-    pairs = [(position, value) for position, value in enumerate(values) if value is not None]
-    return reduce(
-        lambda chain, pair: F.when(index == pair[0], pair[1]).otherwise(chain), reversed(pairs), otherwise
-    )
+    return f"substring({text}, {start + 1}, {end - start})"
+
+
+def _case(index: str, values: list[str | None], otherwise: str) -> Column:
+    """One SQL value per layout, looked up by the position of the layout."""
+    arms = " ".join(f"WHEN {place} THEN {value}" for place, value in enumerate(values) if value is not None)
+    return F.expr(f"CASE {index} {arms} ELSE {otherwise} END")
+
+
+def _layout_sql(text: str, aspect: str | None = None) -> str:
+    arms = []
+    for place, layout in enumerate(dims.LAYOUTS):
+        tests = [f"{text} RLIKE '{layout.pattern}'"]
+        if layout.region is not None:
+            part = _part(text, layout)
+            tests.append(f"{part} IN ({_listed(dims.REGIONS)})" if layout.national_region else f"NOT {part} RLIKE '^0+$'")
+        if aspect is not None:
+            low, high = layout.aspect
+            tests.append(f"({aspect} IS NULL OR {aspect} BETWEEN {low}D AND {high}D)")
+        arms.append(f"WHEN {' AND '.join(tests)} THEN {place}")
+    return f"CASE {' '.join(arms)} END"
+
+
+def layout_index(text: str, aspect: str | None = None) -> Column:
+    """Position of the first layout that fits; null when none does. ``text`` is SQL for a
+    normalised plate text, ``aspect`` for the measured width/height, which passes when null."""
+    return F.expr(_layout_sql(text, aspect))
 
 
-def layout_name(index: Column) -> Column:
-    names = [F.lit(layout.name) for layout in dims.LAYOUTS]
-    return _by_layout(index, names, F.lit(None).cast("string"))
+def layout_name(index: str) -> Column:
+    return _case(index, [f"'{layout.name}'" for layout in dims.LAYOUTS], "NULL")
 
 
-def layout_provisional(index: Column) -> Column:
-    provisional = [position for position, layout in enumerate(dims.LAYOUTS) if layout.provisional]
-    return F.coalesce(index.isin(*provisional), F.lit(False))
+def layout_provisional(index: str) -> Column:
+    provisional = ", ".join(str(place) for place, layout in enumerate(dims.LAYOUTS) if layout.provisional)
+    return F.expr(f"coalesce({index} IN ({provisional}), false)")
 
 
-def display_from(text: Column, index: Column) -> Column:
+def display_from(text: str, index: str) -> Column:
     """``text`` with spaces at the breaks of layout ``index``; unmatched text is unchanged."""
     spaced = []
     for layout in dims.LAYOUTS:
         cuts = [0, *layout.breaks, 64]
-        parts = [F.substring(text, start + 1, end - start) for start, end in zip(cuts, cuts[1:])]
-        spaced.append(F.rtrim(F.concat_ws(" ", *parts)))
-    return _by_layout(index, spaced, F.nullif(text, F.lit("")))
+        parts = ", ".join(f"substring({text}, {start + 1}, {end - start})" for start, end in zip(cuts, cuts[1:]))
+        spaced.append(f"rtrim(concat_ws(' ', {parts}))")
+    return _case(index, spaced, f"nullif({text}, '')")
 
 
-def display_plate(c: Column | str) -> Column:
-    text = norm_plate(c)
-    return display_from(text, layout_index(text))
-
-
-def region_from(text: Column, index: Column) -> Column:
-    names = F.create_map(*[F.lit(item) for pair in dims.REGIONS.items() for item in pair])
+def region_from(text: str, index: str) -> Column:
+    """Region of a layout that carries one: its name, or the bare number when it is not national."""
+    names = ", ".join(f"'{code}', '{name}'" for code, name in dims.REGIONS.items())
     values = []
     for layout in dims.LAYOUTS:
         if layout.region is None:
             values.append(None)
         else:
-            part = _region_part(text, layout)
-            values.append(names[part] if layout.national_region else part)
-    return _by_layout(index, values, F.lit(None).cast("string"))
+            part = _part(text, layout)
+            values.append(f"element_at(map({names}), {part})" if layout.national_region else part)
+    return _case(index, values, "NULL")
 
 
-def plausibility_from(text: Column, index: Column) -> Column:
+def plausibility_from(text: str, index: str) -> Column:
     """How much ``text`` looks like a plate; it ranks readings and never edits them."""
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    letters = F.length(text) - digits
+    digits = f"length(regexp_replace({text}, '[^0-9]', ''))"
     soft = (
-        F.when(F.length(text).between(6, 9), 0.35).otherwise(0.0)
-        + F.when((digits >= 3) & (letters >= 2), 0.3).otherwise(0.0)
-        + F.when(text.rlike("^[0-9]{3}[A-Z]"), 0.2).otherwise(0.0)
-        + F.when(F.substring(text, -2, 2).isin(*dims.REGIONS), 0.15).otherwise(0.0)
+        f"CASE WHEN length({text}) BETWEEN 6 AND 9 THEN 0.35D ELSE 0D END"
+        f" + CASE WHEN {digits} >= 3 AND length({text}) - {digits} >= 2 THEN 0.3D ELSE 0D END"
+        f" + CASE WHEN {text} RLIKE '^[0-9]{{3}}[A-Z]' THEN 0.2D ELSE 0D END"
+        f" + CASE WHEN substring({text}, -2, 2) IN ({_listed(dims.REGIONS)}) THEN 0.15D ELSE 0D END"
     )
-    return F.when(text == "", 0.0).when(index.isNotNull(), 1.0).otherwise(F.least(soft, F.lit(0.95)))
+    return F.expr(f"CASE WHEN {text} = '' THEN 0D WHEN {index} IS NOT NULL THEN 1D ELSE least({soft}, 0.95D) END")
+
+
+def with_layout(df: DataFrame, text: str, aspect: str | None = None, name: str = "layout") -> DataFrame:
+    """Adds the layout position of a normalised text column. The position is a column of its own
+    because spacing, region and plausibility all need it."""
+    return df.withColumn(name, layout_index(text, aspect))
+
+
+def _norm_sql(text: str) -> str:
+    return f"regexp_replace(upper(coalesce({text}, '')), '[^A-Z0-9]', '')"
+
+
+def plausibility(text: str) -> Column:
+    """Plausibility of a raw text column."""
+    norm = _norm_sql(text)
+    return plausibility_from(norm, f"({_layout_sql(norm)})")
+
+
+def display_plate(text: str) -> Column:
+    """Raw text column in display form."""
+    norm = _norm_sql(text)
+    return display_from(norm, f"({_layout_sql(norm)})")
 
 
-def plausibility(c: Column | str) -> Column:
-    text = norm_plate(c)
-    return plausibility_from(text, layout_index(text))
+def region_name(text: str) -> Column:
+    """Region of a raw text column; null without a layout that carries one."""
+    norm = _norm_sql(text)
+    return region_from(norm, f"({_layout_sql(norm)})")
 
 
 def score_from(minimum: Column | str, mean: Column | str, structure: Column) -> Column:
@@ -124,7 +141,8 @@ def score_from(minimum: Column | str, mean: Column | str, structure: Column) ->
     return confidence * (F.lit(0.45) + F.lit(0.55) * structure)
 
 
-def read_score(minimum: Column | str, mean: Column | str, text: Column | str) -> Column:
+def read_score(minimum: Column | str, mean: Column | str, text: str) -> Column:
+    """Confidence of a reading weighted by how much it looks like a plate."""
     return score_from(minimum, mean, plausibility(text))
 
 

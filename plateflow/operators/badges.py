@@ -1,6 +1,6 @@
 """Lettering on the vehicle: tokens, brands and models."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow import dims
@@ -21,43 +21,37 @@ def combine_tokens(latin: DataFrame, cyrillic: DataFrame, bar: float = dims.BADG
     return clean_tokens(latin.unionByName(extra), bar)
 
 
-def _rule_rows() -> Column:
-    """The brand rules as one constant array, in the order they are tried."""
+def _brand_rules(spark: SparkSession) -> DataFrame:
+    """The brand rules, in the order they are tried, once per token length they can match."""
     rows = []
     for brand_idx, brand in enumerate(dims.BRANDS):
+        implied = f"'{brand.implied_type}'" if brand.implied_type else "CAST(NULL AS STRING)"
         for rule_token_idx, token in enumerate(brand.tokens):
-            rows.append(
-                F.struct(
-                    F.lit(brand_idx).alias("brand_idx"),
-                    F.lit(rule_token_idx).alias("rule_token_idx"),
-                    F.lit(brand.manufacturer).alias("manufacturer"),
-                    F.lit(token).alias("rule_token"),
-                    F.lit(len(token)).alias("rule_length"),
-                    F.lit(brand.implied_type).cast("string").alias("implied_type"),
-                    F.lit(",".join(brand.ambiguous_with)).alias("ambiguous_with"),
+            size = len(token)
+            for token_length in (size - 1, size, size + 1) if size >= 5 else (size,):
+                rows.append(
+                    f"({token_length}, {brand_idx}, {rule_token_idx}, '{brand.manufacturer}', '{token}', {size}, "
+                    f"{implied}, '{','.join(brand.ambiguous_with)}')"
                 )
-            )
-    return F.array(*rows)
+    return spark.sql(
+        f"SELECT * FROM VALUES {', '.join(rows)} AS t(token_length, brand_idx, rule_token_idx, manufacturer, rule_token, "
+        "rule_length, implied_type, ambiguous_with)"
+    )
 
 
 def match_brands(tokens: DataFrame) -> DataFrame:
     """Every (token, rule token) that matches: equal, or one edit apart for rule tokens of five
     letters and more.
 
-    The rules are a constant, so they are tested where the token lies: no join, no shuffle, and
-    the edit distance is reached only when the lengths allow a match.
+    The rules are a constant table of about a hundred rows, so they are broadcast. The join is on
+    the token length, which leaves about ten rules per token to compare.
     """
-    token = F.col("token")
-
-    def hits(rule: Column) -> Column:
-        near = (rule["rule_length"] >= 5) & (F.abs(F.length(token) - rule["rule_length"]) <= 1)
-        return (token == rule["rule_token"]) | (near & (F.levenshtein(token, rule["rule_token"]) <= 1))
-
-    return (
-        tokens.filter(~token.isin(*dims.NOISE_TOKENS))
-        .withColumn("_rule", F.explode(F.filter(_rule_rows(), hits)))
-        .select(*tokens.columns, "_rule.*")
-    )
+    spelled = tokens.filter(~F.col("token").isin(*dims.NOISE_TOKENS)).withColumn("token_length", F.length("token"))
+    rules = F.broadcast(_brand_rules(tokens.sparkSession))
+    near = (F.col("rule_length") >= 5) & (F.levenshtein("token", "rule_token", 1) >= 0)
+    same = F.col("token") == F.col("rule_token")
+    t, r = spelled.alias("t"), rules.alias("r")
+    return t.join(r, (F.col("t.token_length") == F.col("r.token_length")) & (same | near)).drop("token_length")
 
 
 def pick_brand(matches: DataFrame, keys=VEHICLE) -> DataFrame:
@@ -83,17 +77,13 @@ def pick_brand(matches: DataFrame, keys=VEHICLE) -> DataFrame:
 def pick_model(tokens: DataFrame, brands: DataFrame, keys=VEHICLE) -> DataFrame:
     """Model of a vehicle whose brand is settled, when a hint of that brand occurs as a token:
     first hint in list order, then first token."""
-    hints = [
-        F.struct(F.lit(name).alias("manufacturer"), F.lit(hint).alias("hint"), F.lit(place).alias("hint_idx"))
-        for name, listed in dims.MODEL_HINTS.items()
-        for place, hint in enumerate(listed)
-    ]
-    # Tokens that are no hint of any brand leave before the join.
-    named = (
-        tokens.filter(F.col("token").isin(*{hint for listed in dims.MODEL_HINTS.values() for hint in listed}))
-        .withColumn("_hint", F.explode(F.array(*hints)))
-        .filter(F.col("_hint.hint") == F.col("token"))
-        .select(*keys, "token_idx", "score", "_hint.*")
+    rows = ", ".join(
+        f"('{name}', '{hint}', {place})" for name, listed in dims.MODEL_HINTS.items() for place, hint in enumerate(listed)
+    )
+    hints = tokens.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS t(manufacturer, token, hint_idx)")
+    # The hints are a constant table; tokens that are no hint of any brand leave here.
+    named = tokens.join(F.broadcast(hints), "token").select(
+        *keys, "token_idx", "score", "manufacturer", F.col("token").alias("hint"), "hint_idx"
     )
     settled = brands.filter(F.col("manufacturer").isNotNull()).select(*keys, "manufacturer")
     found = named.join(settled, [*keys, "manufacturer"])

@@ -1,6 +1,7 @@
 """OCR readings of plates: scoring, ranking, layout rules and the accept-or-refuse decision."""
 
 from collections.abc import Sequence
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,8 @@ PLATE = ("image_id",)
 def score_reads(reads: DataFrame) -> DataFrame:
     """Adds ``compact``, ``structure`` (plausibility) and ``score`` to each reading."""
     return (
-        reads.withColumn("compact", expr.norm_plate("text"))
-        .withColumn("_layout", expr.layout_index(F.col("compact")))
-        .withColumn("structure", expr.plausibility_from(F.col("compact"), F.col("_layout")))
+        expr.with_layout(reads.withColumn("compact", expr.norm_plate("text")), "compact", name="_layout")
+        .withColumn("structure", expr.plausibility_from("compact", "_layout"))
         .withColumn("score", expr.score_from("min_confidence", "mean_confidence", F.col("structure")))
         .drop("_layout")
     )
@@ -27,16 +27,13 @@ def score_reads(reads: DataFrame) -> DataFrame:
 def classify_reads(reads: DataFrame, aspect: str | None = "shape_aspect") -> DataFrame:
     """Layout, spaced text and region of each reading. ``aspect`` names the column with the
     measured width/height; it gates the layout only, never the spacing or the region."""
-    text = F.col("compact")
-    gate = F.col(aspect) if aspect else None
+    spelled = expr.with_layout(reads.withColumn("compact", expr.norm_plate("text")), "compact", name="_free")
     return (
-        reads.withColumn("compact", expr.norm_plate("text"))
-        .withColumn("_free", expr.layout_index(text))
-        .withColumn("_gated", expr.layout_index(text, gate))
-        .withColumn("plate_format", expr.layout_name(F.col("_gated")))
-        .withColumn("provisional", expr.layout_provisional(F.col("_gated")))
-        .withColumn("display", expr.display_from(text, F.col("_free")))
-        .withColumn("region", F.when(F.col("_gated").isNotNull(), expr.region_from(text, F.col("_free"))))
+        expr.with_layout(spelled, "compact", aspect, name="_gated")
+        .withColumn("plate_format", expr.layout_name("_gated"))
+        .withColumn("provisional", expr.layout_provisional("_gated"))
+        .withColumn("display", expr.display_from("compact", "_free"))
+        .withColumn("region", F.when(F.col("_gated").isNotNull(), expr.region_from("compact", "_free")))
         .drop("_free", "_gated")
     )
 
@@ -181,37 +178,32 @@ def correct_reads(reads: DataFrame, patterns: Sequence[str] = (), min_length: in
         return reads.withColumn("corrected", F.when(usable, clean).otherwise(""))
     digits, letters = "".join(dims.LOOKALIKES), "".join(dims.LOOKALIKES.values())
 
-    def fit(pattern: str) -> Column:
-        """Struct (swaps, value) for one pattern; null when the text cannot fit it."""
-        parts = []
-        for place, kind in enumerate(pattern):
-            char = F.substring(F.col("_clean"), place + 1, 1)
-            if kind == "D":
-                char = F.translate(char, letters, digits)
-            elif kind == "L":
-                char = F.translate(char, digits, letters)
-            parts.append(char)
-        value = F.concat(*parts)
+    def fit(pattern: str) -> str:
+        """SQL for the struct (swaps, value) of one pattern; null when the text cannot fit it."""
+        values, swaps, start = [], ["0"], 1
+        for kind, run in groupby(pattern):
+            size = len(list(run))
+            part = f"substring(_clean, {start}, {size})"
+            wrong, right = {"D": (letters, digits), "L": (digits, letters), "X": ("", "")}[kind]
+            values.append(f"translate({part}, '{wrong}', '{right}')" if wrong else part)
+            if wrong:
+                swaps.append(f"{size} - length(translate({part}, '{wrong}', ''))")
+            start += size
+        value = f"concat({', '.join(values)})"
         shape = "^" + pattern.replace("D", "[0-9]").replace("L", "[A-Z]").replace("X", ".") + "$"
-        moved = sum(
-            (F.when(F.substring(F.col("_clean"), place + 1, 1) != part, 1).otherwise(0) for place, part in enumerate(parts)),
-            F.lit(0),
+        return (
+            f"CASE WHEN length(_clean) = {len(pattern)} AND {value} RLIKE '{shape}' "
+            f"THEN named_struct('swaps', {' + '.join(swaps)}, 'value', {value}) END"
         )
-        fits = (F.length("_clean") == len(pattern)) & value.rlike(shape)
-        return F.when(fits, F.struct(moved.alias("swaps"), value.alias("value")))
 
-    options = F.filter(F.array(*[fit(pattern) for pattern in patterns]), lambda option: option.isNotNull())
-    fewest = F.array_min(F.transform("_options", lambda option: option["swaps"]))
-    best = F.array_distinct(
-        F.transform(F.filter("_options", lambda option: option["swaps"] == F.col("_fewest")), lambda option: option["value"])
-    )
+    # Sorted by swaps, then value: the first is best, and it is alone when the second needs more.
+    options = f"array_sort(array_distinct(filter(array({', '.join(fit(pattern) for pattern in patterns)}), o -> o IS NOT NULL)))"
+    tied = "size(_options) > 1 AND _options[1].swaps = _options[0].swaps"
     return (
         reads.withColumn("_clean", F.when(usable, clean).otherwise(""))
-        .withColumn("_options", options)
-        .withColumn("_fewest", fewest)
-        .withColumn("_best", best)
-        .withColumn("corrected", F.when(F.size("_best") == 1, F.col("_best")[0]).otherwise(""))
-        .drop("_clean", "_options", "_fewest", "_best")
+        .withColumn("_options", F.expr(options))
+        .withColumn("corrected", F.expr(f"CASE WHEN size(_options) = 0 OR {tied} THEN '' ELSE _options[0].value END"))
+        .drop("_clean", "_options")
     )
 
 
@@ -255,10 +247,11 @@ def region_consensus(hypotheses: DataFrame, body_bar: float = 0.80, region_bar:
     raw = F.concat("body", "region")
     score = F.least("_median_body", "_median_region")
     accepted = score >= accept_bar
-    return summary.filter(agreed).select(
+    spelled = expr.with_layout(summary.filter(agreed).withColumn("text_raw", raw), "text_raw", name="_layout")
+    return spelled.select(
         "plate_id",
-        raw.alias("text_raw"),
-        F.when(accepted, expr.display_plate(raw)).alias("text"),
+        "text_raw",
+        F.when(accepted, expr.display_from("text_raw", "_layout")).alias("text"),
         accepted.alias("readable"),
         expr.fixed(score, 4).alias("ocr_confidence"),
         "region",

@@ -33,13 +33,13 @@ def _(fx):
 
 @query("plausibility", f"WITH {p.SCORED} SELECT structure, count(*) AS reads FROM reads GROUP BY structure")
 def _(fx):
-    scored = op.score_reads(fx.v_ocr_read)
-    return scored.groupBy("structure").agg(F.count(F.lit(1)).alias("reads"))
+    return fx.v_ocr_read.groupBy(expr.plausibility("text").alias("structure")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 @query("read_score", f"WITH {p.SCORED} SELECT image_id, read_idx, {p.fixed('score', 6)} AS score FROM reads")
 def _(fx):
-    return op.score_reads(fx.v_ocr_read).select("image_id", "read_idx", expr.fixed("score", 6).alias("score"))
+    score = expr.read_score("min_confidence", "mean_confidence", "text")
+    return fx.v_ocr_read.select("image_id", "read_idx", expr.fixed(score, 6).alias("score"))
 
 
 @query("display_plate", f"WITH {p.SCORED} SELECT image_id, read_idx, {p.display('compact', 'free')} AS display FROM reads")

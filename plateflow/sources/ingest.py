@@ -166,17 +166,17 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
         F.array_join(F.transform(parts, lambda part: F.coalesce(part["text"], F.lit(""))), ""),
     ).when(F.col("_kind") == "STRING", F.try_variant_get("_answer", "$.choices[0].message.content", "string"))
     bare = F.regexp_replace(F.regexp_replace(F.trim("_content"), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    body = F.try_parse_json("_bare")
-    items = F.from_json("_bare", "detections array<string>")["detections"]
-    unknown = F.exists("_items", lambda item: F.size(F.array_except(
-        F.coalesce(F.json_object_keys(item), F.array(F.lit("?"))), F.array(*[F.lit(name) for name in _FIELDS]))) > 0)
+    # The items as maps show every field they have, also those the typed parse would pass over.
+    items = F.from_json("_bare", "detections array<map<string,string>>")["detections"]
+    known = F.array(*[F.lit(name) for name in _FIELDS])
+    unknown = F.exists("_items", lambda item: F.size(F.array_except(F.map_keys(item), known)) > 0)
     parsed = F.from_json("_bare", RESULT_SCHEMA)["detections"]
     problem = (
         F.when(F.col("_answer").isNull(), "not_json")
         .when(F.coalesce(F.col("_finish").isin("length", "content_filter"), F.lit(False)), "truncated_or_filtered")
         .when(F.col("_content").isNull(), "no_content")
-        .when(F.col("_body").isNull() | ~F.coalesce(F.schema_of_variant("_body").startswith("OBJECT"), F.lit(False)), "not_an_object")
-        .when(F.coalesce(F.array_join(F.json_object_keys("_bare"), ","), F.lit("")) != "detections", "schema")
+        .when(F.col("_names").isNull(), "not_an_object")
+        .when(F.array_join("_names", ",") != "detections", "schema")
         .when(F.col("_items").isNull() | (F.size("_items") > MAX_DETECTIONS) | F.coalesce(unknown, F.lit(True)), "schema")
         .when(F.col("_parsed").isNull() | F.coalesce(F.exists("_parsed", _detection_problem), F.lit(True)), "schema")
     )
@@ -186,10 +186,10 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
         .withColumn("_kind", kind)
         .withColumn("_content", content)
         .withColumn("_bare", bare)
-        .withColumn("_body", body)
+        .withColumn("_names", F.json_object_keys("_bare"))
         .withColumn("_items", items)
         .withColumn("_parsed", parsed)
         .withColumn("problem", problem)
         .withColumn("detections", F.when(F.col("problem").isNull(), F.col("_parsed")))
-        .drop("_answer", "_finish", "_kind", "_content", "_bare", "_body", "_items", "_parsed")
+        .drop("_answer", "_finish", "_kind", "_content", "_bare", "_names", "_items", "_parsed")
     )
