@@ -59,8 +59,3 @@ def split_heavy(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS):
     if hot.isEmpty():
         return df, None, None
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi"), hot
-
-
-def small_enough(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast hint behind a count of a checkpointed ``df``; unhinted when it is too large."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateflow.functions import expr
-from plateflow.operators.skew import GROUP_ROWS, cut_lineage, small_enough, split_heavy, top_per_key
+from plateflow.operators.skew import BROADCAST_BYTES, GROUP_ROWS, cut_lineage, split_heavy, top_per_key
 
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Boxes decided per heavy group and round.
-CHUNK = 1024
+CHUNK = 2048
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,6 @@ def _rounds(boxes: DataFrame, key: str, priority, rule: Rule, corners, chunk: in
         first = top_per_key(boxes.filter(solid), [key, *corners], order)
         undecided = first.unionByName(boxes.filter(~solid))
     undecided = cut_lineage(undecided)
-    schema = boxes.schema
     positions = list(corners)
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
@@ -138,31 +137,37 @@ def _rounds(boxes: DataFrame, key: str, priority, rule: Rule, corners, chunk: in
         )
         cells = group[positions].to_numpy(dtype=float)
         kept = np.empty((len(cells), 4))
-        chosen: list[int] = []
+        chosen = np.zeros(len(cells), dtype=bool)
+        n = 0
         for row, box in enumerate(cells):
-            if stop_after is not None and len(chosen) >= stop_after:
+            if stop_after is not None and n >= stop_after:
                 break
-            if not rule.arrays(box, kept[: len(chosen)]).any():
-                kept[len(chosen)] = box
-                chosen.append(row)
-        return group.iloc[chosen]
-
+            if not rule.arrays(box, kept[:n]).any():
+                kept[n] = box
+                n += 1
+                chosen[row] = True
+        return group.assign(_kept=chosen)
+
+    last = F.struct(*[value.alias(f"_o{i}") for i, value in enumerate(order)])
+    box_struct = F.struct(*[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
+    here = {corner: F.col(name) for name, corner in zip(corners, CORNERS)}
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in boxes.schema)
     settled: list[DataFrame] = []
     while not undecided.isEmpty():
-        head = cut_lineage(top_per_key(undecided, [key], order, chunk, rank="_place"))
-        kept = cut_lineage(head.drop("_place").groupBy(key).applyInPandas(settle, schema))
-        settled.append(kept)
-        last = F.struct(*[value.alias(f"_o{i}") for i, value in enumerate(order)])
-        frontier = head.groupBy(key).agg(F.max(last).alias("_last"), F.count(F.lit(1)).alias("_taken"))
-        box_struct = F.struct(*[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
-        chosen = kept.groupBy(key).agg(F.collect_list(box_struct).alias("_kept"))
-        frontier = cut_lineage(frontier.join(chosen, key, "left"))
-        here = {corner: F.col(name) for name, corner in zip(corners, CORNERS)}
+        head = top_per_key(undecided, [key], order, chunk)
+        decided = cut_lineage(head.groupBy(key).applyInPandas(settle, f"{columns}, `_kept` boolean"))
+        settled.append(decided.filter("_kept").drop("_kept"))
+        frontier = decided.groupBy(key).agg(
+            F.max(last).alias("_last"),
+            F.count(F.lit(1)).alias("_taken"),
+            F.collect_list(F.when(F.col("_kept"), box_struct)).alias("_chosen"),
+        )
         behind = (F.col("_taken") == chunk) & (last > F.col("_last"))
-        hidden = F.exists("_kept", lambda other: rule.column(here, other))
-        rest = undecided.join(small_enough(frontier, 64 * chunk), key).filter(behind & ~hidden)
+        hidden = F.exists("_chosen", lambda other: rule.column(here, other))
+        side = F.broadcast(frontier) if decided.count() * 64 <= BROADCAST_BYTES else frontier
+        rest = undecided.join(side, key).filter(behind & ~hidden)
         if stop_after is not None:
-            rest = rest.filter(F.size("_kept") < stop_after)
+            rest = rest.filter(F.size("_chosen") < stop_after)
         undecided = cut_lineage(rest.select(*boxes.columns))
     result = settled[0]
     for part in settled[1:]:

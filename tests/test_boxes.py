@@ -58,9 +58,9 @@ def greedy(data, clash):
 @pytest.mark.parametrize(("clash", "op", "index"), [
     (vehicle_clash, suppress.suppress_vehicles, "box_idx"), (plate_clash, suppress.suppress_plates, "plate_idx"),
 ])
-@pytest.mark.parametrize("sizes", [{"group_rows": 10_000}, {"group_rows": 20, "chunk": 7}])
+@pytest.mark.parametrize("sizes", [{"group_rows": 10_000}, {"group_rows": 20, "chunk": 60}])
 def test_suppression(spark, clash, op, index, sizes):
-    data = make(3, {1: 300, 2: 1, 3: 15, 4: 60})
+    data = make(3, {1: 200, 2: 1, 3: 15, 4: 60})
     df = spark.createDataFrame(data, BOX).withColumnRenamed("box_idx", index)
     got = {(row.image_id, row[index]) for row in op(df, **sizes).collect()}
     assert got == greedy(data, clash)
@@ -74,7 +74,7 @@ def test_suppressed_boxes_do_not_suppress(spark):
 
 def test_kept_columns_survive_in_both_paths(spark):
     df = spark.createDataFrame(make(5, {1: 40, 2: 3}), BOX).withColumn("label", F.lit("truck"))
-    for sizes in ({}, {"group_rows": 5, "chunk": 4}):
+    for sizes in ({}, {"group_rows": 5, "chunk": 20}):
         assert suppress.suppress_vehicles(df, **sizes).columns == df.columns
 
 
@@ -100,7 +100,7 @@ def test_smallest_vehicle_wins(spark):
     assert {row.plate_idx: row.box_idx for row in boxes.assign_plates(plates, vehicles).collect()} == {0: 1, 1: -1}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"group_rows": 20, "chunk": 6}])
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 20, "chunk": 30}])
 def test_quad_selection_stops_at_k(spark, sizes):
     rng = random.Random(4)
     data = [(image, i, rng.uniform(0, 90), rng.uniform(0, 90), float(rng.randrange(200, 400)), 30.0, 10.0)
