@@ -154,7 +154,7 @@ def _prepare(queries: DataFrame, refs: DataFrame, exclude_same, exclude_sources)
 
 def _scores(left: pa.Table, right: pa.Table) -> np.ndarray:
     """Similarities of a block pair; excluded pairs are minus infinity."""
-    scores = np.round(_matrix(left["embedding"]) @ _matrix(right["embedding"]).T, PLACES)
+    scores = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
     banned = _banned(left["_keys"].to_pylist(), right["_keys"].to_pylist())
     if banned is not None:
         scores[banned] = -np.inf
@@ -182,7 +182,7 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
         ref_ids = ref_ids[order]
         labels = np.asarray(right["vehicle_type"].to_pylist(), dtype=object)[order]
         take = min(k, scores.shape[1])
-        ranked = np.argsort(-scores, axis=1, kind="stable")[:, :take]
+        ranked = np.argsort(-np.round(scores, PLACES), axis=1, kind="stable")[:, :take]
         picked = np.take_along_axis(scores, ranked, axis=1)
         valid = np.isfinite(picked)
         rows = np.repeat(left["query_id"].to_numpy(), take).reshape(-1, take)[valid]
@@ -199,7 +199,7 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
     )
     if complete:
         return found
-    order = [F.col("similarity").desc(), F.col("ref_id").asc()]
+    order = [F.round("similarity", PLACES).desc(), F.col("ref_id").asc()]
     return top_per_key(found.drop("neighbour_rank"), ["query_id"], order, k, rank="neighbour_rank")
 
 

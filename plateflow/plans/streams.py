@@ -74,7 +74,7 @@ def _(fx):
 
 DEADLINES = f"""WITH f AS (
         SELECT job_id, attempts, created_at AS started_at, CASE WHEN status IN ('completed', 'failed') THEN created_at + {DUCK_DELAY} END AS ended_at FROM v_job
-    ), u AS (SELECT least(max(started_at), max(ended_at)) AS until FROM f)
+    ), u AS (SELECT least(max(started_at) FILTER (WHERE attempts < 3), max(ended_at)) AS until FROM f)
     SELECT job_id, 'failed' AS status, CASE WHEN attempts >= 3 THEN '{dims.RECOVERY_LIMIT}' ELSE '{dims.DEADLINE_EXCEEDED}' END AS error_message
     FROM f, u WHERE attempts >= 3 OR (started_at + INTERVAL 300 SECOND <= until AND (ended_at IS NULL OR ended_at > started_at + INTERVAL 300 SECOND))"""
 
@@ -88,7 +88,7 @@ def _starts_and_ends(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 @query("batch_deadlines", DEADLINES)
 def _(fx):
     started, finished = _starts_and_ends(fx.v_job)
-    seen = started.agg(F.max("started_at")).scalar()
+    seen = started.filter("attempts < 3").agg(F.max("started_at")).scalar()
     ended = finished.agg(F.max("ended_at")).scalar()
     return op.job_deadlines(started, finished, until=F.least(seen, ended)).select("job_id", "status", "error_message")
 

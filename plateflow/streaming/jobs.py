@@ -14,13 +14,16 @@ EVENT_SCHEMA = (
 )
 
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def stream_new_images(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
     """Ingest the listing of new image files once; a restarted run goes on where it stopped.
 
     Files seen before are remembered in the checkpoint, so running twice adds nothing.
     """
     files = (
-        spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}")
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}")
         .load(folder).select("path", "length", F.col("modificationTime").alias("modified_at"))
     )
     return (
