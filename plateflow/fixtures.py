@@ -8,6 +8,10 @@ which is what lets every query be checked against an independent engine.
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plateflow.operators.skew import split_heavy
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -225,6 +229,42 @@ def with_views(sql: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
+#: Orders with more lines than this are numbered slice by slice.
+ORDER_LINES = 1_000_000
+SLICES = 512
+#: (application, folder) whose orders are known to be small, so the check runs once.
+_small_orders: set[tuple[str, str]] = set()
+
+
+def number_lines(lines: DataFrame, order_lines: int = ORDER_LINES) -> tuple[DataFrame, bool]:
+    """The view ``v_line``, and whether no order was too large to be numbered in one window.
+
+    The lines of a very large order are numbered within slices of (line number, part range), which
+    follow each other in the view's order; each slice starts where the ones before it end.
+    """
+    rest = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    light, heavy, _ = split_heavy(lines, ["l_orderkey"], order_lines)
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *rest))
+    numbered = light.withColumn("_place", place)
+    if heavy is not None:
+        top = heavy.agg(F.max("l_partkey")).scalar()
+        sliced = heavy.withColumn("_slice", F.floor(F.col("l_partkey") * SLICES / (top + 1)))
+        keys = ["l_orderkey", "l_linenumber", "_slice"]
+        earlier = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "_slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+            *keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+        )
+        inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*rest))
+        joined = sliced.withColumn("_inside", inside).join(F.broadcast(starts) if starts.count() < 100_000 else starts, keys)
+        numbered = numbered.unionByName(
+            joined.withColumn("_place", F.col("_start") + F.col("_inside")).select(*lines.columns, "_place")
+        )
+    view = numbered.select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("raw_linenumber"), F.col("_place").cast("bigint").alias("l_linenumber")
+    )
+    return view, heavy is None
+
+
 class Fixtures:
     """The test tables and the views over them, as DataFrames, built on first use."""
 
@@ -239,6 +279,8 @@ class Fixtures:
         if name not in self._frames:
             if name in BASE_TABLES:
                 frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "v_line":
+                frame = self._lines()
             elif name in VIEWS:
                 frame = self.sql(VIEWS[name])
             else:
@@ -246,6 +288,15 @@ class Fixtures:
             self._frames[name] = frame
         return self._frames[name]
 
+    def _lines(self) -> DataFrame:
+        known = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if known in _small_orders:
+            return self.sql(VIEWS["v_line"])
+        view, small = number_lines(self.lineitem)
+        if small:
+            _small_orders.add(known)
+        return view
+
     def sql(self, text: str) -> DataFrame:
         """Run ``text`` with the tables and views it names registered."""
         for name in dict.fromkeys(_NAME.findall(text)):

@@ -55,7 +55,8 @@ def split_heavy(df: DataFrame, keys: Sequence[str], limit: int = GROUP_ROWS):
     Costs one pass that reads the key columns only. Without heavy groups, which is the normal
     case, the plan that follows is left exactly as it was.
     """
-    hot = cut_lineage(heavy_keys(df, keys, limit))
+    hot = heavy_keys(df, keys, limit)
     if hot.isEmpty():
         return df, None, None
+    hot = cut_lineage(hot)
     return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi"), hot
