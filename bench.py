@@ -21,7 +21,7 @@ HEADLINE = (
     "region_consensus", "assemble_lines", "decode_boxes", "tile_grid", "suppress_vehicles", "suppress_plates",
     "assign_plates", "combine_scans", "primary_plate", "image_telemetry", "cosine_candidates", "knn_vote",
     "abstention_tally", "match_brands", "pick_brand", "resolve_type", "image_results", "export_nested", "export_flat",
-    "search_detections", "review_filter", "apply_corrections", "model_vs_truth", "plate_eval_summary",
+    "search_detections", "review_lists", "apply_corrections", "model_vs_truth", "plate_eval_summary",
     "audit_constraints", "scan_text_for_plates", "parse_recognition_json", "quad_quality", "glyph_row_quads", "select_quads",
 )
 

@@ -305,26 +305,23 @@ def cap_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return top_per_key(df, keys, order, n, rank=rank)
 
 
-def image_telemetry(images: DataFrame, vehicles: DataFrame, kept: DataFrame, dropped: DataFrame,
-                    assigned: DataFrame) -> DataFrame:
+def image_telemetry(images: DataFrame, vehicles: DataFrame, plates: DataFrame, assigned: DataFrame) -> DataFrame:
     """Counts per image: vehicles, plates kept, plates dropped by the overlay, unassigned plates.
 
-    The four inputs are counted in one pass over their union, so there is one shuffle of counts.
+    ``plates`` is the output of :func:`mark_overlay`, ``assigned`` that of :func:`assign_plates` for
+    the kept ones. The inputs are counted in one aggregation over their union.
     """
-
-    def tagged(df: DataFrame, name: str) -> DataFrame:
-        return df.select("image_id", F.lit(name).alias("what"))
-
+    found, band, lost = F.lit(False).alias("vehicle"), F.lit(None).cast("boolean").alias("in_overlay"), F.lit(False).alias("lost")
     facts = (
-        tagged(vehicles, "vehicles").unionByName(tagged(kept, "kept"))
-        .unionByName(tagged(dropped, "dropped"))
-        .unionByName(tagged(assigned.filter(F.col("box_idx") == -1), "unassigned"))
+        vehicles.select("image_id", F.lit(True).alias("vehicle"), band, lost)
+        .unionByName(plates.select("image_id", found, "in_overlay", lost))
+        .unionByName(assigned.select("image_id", found, band, (F.col("box_idx") == -1).alias("lost")))
     )
     counts = facts.groupBy("image_id").agg(
-        F.count_if(F.col("what") == "vehicles").alias("vehicles_detected"),
-        F.count_if(F.col("what") == "kept").alias("plates_detected"),
-        F.count_if(F.col("what") == "dropped").alias("plates_dropped_overlay"),
-        F.count_if(F.col("what") == "unassigned").alias("unassigned_plates"),
+        F.count_if("vehicle").alias("vehicles_detected"),
+        F.count_if(~F.col("in_overlay")).alias("plates_detected"),
+        F.count_if("in_overlay").alias("plates_dropped_overlay"),
+        F.count_if("lost").alias("unassigned_plates"),
     )
     names = counts.columns[1:]
     return images.select("image_id").join(counts, "image_id", "left").select(

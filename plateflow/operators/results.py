@@ -204,6 +204,18 @@ def review_filter(results: DataFrame, detections: DataFrame, kind: str | None =
     return joined.filter(wanted).select(*results.columns)
 
 
+def review_lists(results: DataFrame, detections: DataFrame) -> DataFrame:
+    """All review lists at once as (kind, image_id), from a single pass over the detections."""
+    joined = results.select("image_id", "status").join(review_facts(detections), "image_id", "left")
+    no = F.lit(False)
+    lists = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), F.coalesce(kind, no).alias("hit")) for kind in ("read", "rejected", "guess")],
+        F.struct(F.lit("noplate").alias("kind"), (~F.coalesce("plate", no)).alias("hit")),
+        F.struct(F.lit("failed").alias("kind"), (F.col("status") == "failed").alias("hit")),
+    )
+    return joined.select("image_id", F.inline(lists)).filter("hit").select("kind", "image_id")
+
+
 def review_search(results: DataFrame, detections: DataFrame, query: str) -> DataFrame:
     """Images whose filename, or the plate, raw text, type or manufacturer of any detection,
     contains ``query``. The parts are joined with blanks, so a match may span two of them."""

@@ -294,17 +294,16 @@ def _(fx):
     "image_telemetry",
     f"""WITH {ASSIGNED}, v AS (SELECT image_id, count(*) AS n FROM v_vehicle_box GROUP BY 1),
     pl AS (SELECT image_id, count(*) FILTER (WHERE NOT ({OVERLAY})) AS kept, count(*) FILTER (WHERE {OVERLAY}) AS dropped FROM v_plate_box GROUP BY 1),
-    u AS (SELECT image_id, count(*) FILTER (WHERE box_idx = -1) AS n FROM assigned GROUP BY 1)
+    u AS (SELECT a.image_id, count(*) AS n FROM assigned a JOIN v_plate_box b ON b.image_id = a.image_id AND b.plate_idx = a.plate_idx
+          WHERE a.box_idx = -1 AND NOT ({OVERLAY}) GROUP BY 1)
     SELECT i.image_id, coalesce(v.n, 0) AS vehicles_detected, coalesce(kept, 0) AS plates_detected, coalesce(dropped, 0) AS plates_dropped_overlay,
            coalesce(u.n, 0) AS unassigned_plates
     FROM v_image i LEFT JOIN v ON v.image_id = i.image_id LEFT JOIN pl ON pl.image_id = i.image_id LEFT JOIN u ON u.image_id = i.image_id""",
 )
 def _(fx):
     marked = op.mark_overlay(fx.v_plate_box, F.lit(HEIGHT))
-    assigned = op.assign_plates(fx.v_plate_box, fx.v_vehicle_box)
-    return op.image_telemetry(
-        fx.v_image, fx.v_vehicle_box, marked.filter("NOT in_overlay"), marked.filter("in_overlay"), assigned
-    )
+    assigned = op.assign_plates(marked.filter("NOT in_overlay"), fx.v_vehicle_box)
+    return op.image_telemetry(fx.v_image, fx.v_vehicle_box, marked, assigned)
 
 
 TIMINGS = """SELECT image_id, CASE plate_idx % 3 WHEN 0 THEN 'vehicle_detect' WHEN 1 THEN 'plate_detect' ELSE 'plate_read' END AS stage,

@@ -169,13 +169,16 @@ REVIEW = f"""WITH {JOBS}, f AS (
     )"""
 
 
-@query("review_filter", f"{REVIEW} SELECT kind, image_id FROM all_lists WHERE hit")
+@query("review_lists", f"{REVIEW} SELECT kind, image_id FROM all_lists WHERE hit")
 def _(fx):
-    listed = None
-    for kind in ("read", "rejected", "noplate", "guess", "failed"):
-        part = op.review_filter(_results(fx), fx.v_detection, kind).select(F.lit(kind).alias("kind"), "image_id")
-        listed = part if listed is None else listed.unionByName(part)
-    return listed
+    return op.review_lists(_results(fx), fx.v_detection)
+
+
+@query("review_filter", f"{REVIEW} SELECT kind, image_id FROM all_lists WHERE hit AND kind IN ('rejected', 'noplate')")
+def _(fx):
+    rejected = op.review_filter(_results(fx), fx.v_detection, "rejected").select(F.lit("rejected").alias("kind"), "image_id")
+    none = op.review_filter(_results(fx), fx.v_detection, "noplate").select(F.lit("noplate").alias("kind"), "image_id")
+    return rejected.unionByName(none)
 
 
 HAYSTACK = f"""WITH {JOBS}, hay AS (
