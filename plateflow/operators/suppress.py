@@ -2,7 +2,7 @@
 one already kept rules it out. A suppressed box must not suppress others, so this is a fold and
 not a self join."""
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +15,18 @@ from plateflow.operators.skew import BROADCAST_BYTES, GROUP_ROWS, cut_lineage, s
 
 CORNERS = ("x1", "y1", "x2", "y2")
 #: Boxes decided per heavy group and round.
-CHUNK = 2048
+CHUNK = 4096
+#: Rows compared with a chunk of kept boxes at a time.
+STRIPE = 256
 
 
 @dataclass(frozen=True)
 class Rule:
-    """When a kept box rules out a later one: as a Column, and over NumPy arrays for chunks."""
+    """When a kept box rules out a later one: as a Column, and over NumPy arrays for chunks.
+
+    ``arrays(later, kept)`` takes the four values of one later box, or of a column of them, and the
+    kept boxes as rows.
+    """
 
     column: Callable
     arrays: Callable
@@ -67,7 +73,7 @@ def _overlap(later, kept):
     wide = np.minimum(later[2], kept[:, 2]) - np.maximum(later[0], kept[:, 0])
     high = np.minimum(later[3], kept[:, 3]) - np.maximum(later[1], kept[:, 1])
     shared = np.maximum(0, wide) * np.maximum(0, high)
-    own = max(0, later[2] - later[0]) * max(0, later[3] - later[1])
+    own = np.maximum(0, later[2] - later[0]) * np.maximum(0, later[3] - later[1])
     other = np.maximum(0, kept[:, 2] - kept[:, 0]) * np.maximum(0, kept[:, 3] - kept[:, 1])
     return shared, own, other
 
@@ -152,23 +158,54 @@ def _rounds(boxes: DataFrame, key: str, priority, rule: Rule, corners, chunk: in
     box_struct = F.struct(*[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
     here = {corner: F.col(name) for name, corner in zip(corners, CORNERS)}
     columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in boxes.schema)
+    context = boxes.sparkSession.sparkContext
+    salts = max(2, int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64(*[name for name, _ in priority]), F.lit(salts))
+
+    def hide(kept_of: dict, rows: pd.DataFrame) -> np.ndarray:
+        """True for the rows that a kept box of their group rules out."""
+        hidden = np.zeros(len(rows), dtype=bool)
+        for value, places in rows.groupby(key).indices.items():
+            kept = kept_of.get(value)
+            if kept is None:
+                continue
+            cells = rows[positions].to_numpy(dtype=float)[places]
+            for start in range(0, len(places), STRIPE):
+                part = cells[start : start + STRIPE].T[:, :, None]
+                hidden[places[start : start + STRIPE]] = rule.arrays(part, kept).any(axis=1)
+        return hidden
+
     settled: list[DataFrame] = []
     while not undecided.isEmpty():
-        head = top_per_key(undecided, [key], order, chunk)
+        # The best of every salt first, so no task sorts a whole group.
+        spread = top_per_key(undecided.withColumn("_salt", salt), [key, "_salt"], order, chunk).drop("_salt")
+        head = top_per_key(spread, [key], order, chunk)
         decided = cut_lineage(head.groupBy(key).applyInPandas(settle, f"{columns}, `_kept` boolean"))
-        settled.append(decided.filter("_kept").drop("_kept"))
-        frontier = decided.groupBy(key).agg(
-            F.max(last).alias("_last"),
-            F.count(F.lit(1)).alias("_taken"),
+        chosen = decided.filter("_kept").drop("_kept")
+        settled.append(chosen)
+        reached = decided.groupBy(key).agg(
+            F.max(last).alias("_last"), F.count(F.lit(1)).alias("_taken"), F.count_if("_kept").alias("_n"),
             F.collect_list(F.when(F.col("_kept"), box_struct)).alias("_chosen"),
         )
-        behind = (F.col("_taken") == chunk) & (last > F.col("_last"))
-        hidden = F.exists("_chosen", lambda other: rule.column(here, other))
-        side = F.broadcast(frontier) if decided.count() * 64 <= BROADCAST_BYTES else frontier
-        rest = undecided.join(side, key).filter(behind & ~hidden)
+        small = decided.count() * 64 <= BROADCAST_BYTES
+        side = reached.drop("_chosen") if small else reached
+        rest = undecided.join(F.broadcast(side) if small else side, key)
+        rest = rest.filter((F.col("_taken") == chunk) & (last > F.col("_last")))
         if stop_after is not None:
-            rest = rest.filter(F.size("_chosen") < stop_after)
-        undecided = cut_lineage(rest.select(*boxes.columns))
+            rest = rest.filter(F.col("_n") < stop_after)
+        if small:
+            # A chunk of kept boxes per heavy group, counted above: shipped once, compared in blocks.
+            pairs = chosen.select(key, *positions).toPandas()
+            shared = context.broadcast({value: part[positions].to_numpy(dtype=float) for value, part in pairs.groupby(key)})
+
+            def survivors(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                for batch in batches:
+                    yield batch[~hide(shared.value, batch)]
+
+            rest = rest.select(*boxes.columns).mapInPandas(survivors, boxes.schema)
+        else:
+            rest = rest.filter(~F.exists("_chosen", lambda other: rule.column(here, other))).select(*boxes.columns)
+        undecided = cut_lineage(rest)
     result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part)
