@@ -124,7 +124,7 @@ VIEWS: dict[str, str] = {
     "v_query_crop": """
         SELECT vec_id AS query_id, concat('class_', cast(label AS string)) AS expected,
                cast(floor(vec_id / 2) AS bigint) AS machine_id, embedding
-        FROM embeddings WHERE vec_id % 5 = 0
+        FROM embeddings
     """,
     "v_glyph_box": """
         SELECT l_orderkey AS crop_id, l_linenumber AS glyph_idx,
@@ -173,7 +173,7 @@ VIEWS: dict[str, str] = {
                detection_id % 3 = 0 AS set_license_plate,
                CASE WHEN detection_id % 9 = 0 THEN NULL ELSE ' 456  xyz 02 ' END AS license_plate,
                detection_id % 5 = 0 AS set_plate_readable, detection_id % 10 = 0 AS plate_readable
-        FROM v_detection WHERE image_id % 4 = 0
+        FROM v_detection
     """,
     "v_raw_box": """
         SELECT image_id, box_idx, confidence, coco_label,

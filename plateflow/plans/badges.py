@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from plateflow import dims
 from plateflow.functions import expr
 from plateflow.operators import badges as op
+from plateflow.operators import boxes
 from plateflow.plans import parts as p
 from plateflow.plans.registry import query
 
@@ -77,12 +78,13 @@ def _(fx):
     return both.withColumn("score", expr.fixed("score", 4))
 
 
-CHOSEN = """SELECT image_id, box_idx, confidence, CASE WHEN box_idx % 4 = 0 THEN 'tractor' ELSE 'truck' END AS vehicle_type
-    FROM v_vehicle_box WHERE box_idx = 1"""
+CHOSEN = """SELECT image_id, box_idx, confidence, CASE WHEN box_idx % 4 = 0 THEN 'tractor' ELSE 'truck' END AS vehicle_type FROM {main}"""
+MAIN = f"""(SELECT * FROM v_vehicle_box b
+    QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY confidence * sqrt(sqrt({p.box_area('b')}::double)) DESC, box_idx) = 1) m"""
 VOTED = """SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'truck' WHEN 1 THEN 'tractor' ELSE 'trailer' END AS vehicle_type,
     cast(image_id % 37 AS double) / 40 AS similarity, cast(image_id % 29 AS double) / 100 AS margin,
     CASE image_id % 4 WHEN 0 THEN 'below_similarity_floor' WHEN 1 THEN 'classes_too_close' ELSE 'accepted' END AS reason
-    FROM v_image WHERE image_id % 7 <> 0"""
+    FROM v_image WHERE annotated_filename IS NOT NULL"""
 
 
 @query(
@@ -93,7 +95,7 @@ VOTED = """SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'truck' WHEN 1 THEN 't
                coalesce(v.reason = 'accepted', false) AS ok,
                coalesce(v.reason = 'accepted' AND v.vehicle_type <> c.vehicle_type AND b.badge_type = c.vehicle_type
                         AND coalesce(b.manufacturer_confidence, 0) >= 0.90 AND v.margin < 0.10, false) AS clash
-        FROM ({CHOSEN}) c LEFT JOIN brands b ON b.image_id = c.image_id LEFT JOIN ({VOTED}) v ON v.image_id = c.image_id)
+        FROM ({CHOSEN.format(main=MAIN)}) c LEFT JOIN brands b ON b.image_id = c.image_id LEFT JOIN ({VOTED}) v ON v.image_id = c.image_id)
     SELECT image_id, box_idx, confidence, det AS detector_type,
            CASE WHEN clash THEN badge_type WHEN ok THEN mt ELSE coalesce(badge_type, det) END AS vehicle_type,
            CASE WHEN clash THEN 'badge_text' WHEN ok THEN 'reference_gallery' WHEN badge_type IS NOT NULL THEN 'badge_text' ELSE 'detector' END AS vehicle_type_source,
@@ -101,4 +103,6 @@ VOTED = """SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'truck' WHEN 1 THEN 't
            CASE WHEN clash THEN 'conflict_with_detector_and_badge' ELSE reason END AS gallery_status FROM j""",
 )
 def _(fx):
-    return op.resolve_types(fx.sql(CHOSEN), op.pick_brand(op.match_brands(fx.v_badge_token)), fx.sql(VOTED))
+    boxes.main_vehicle(fx.v_vehicle_box).createOrReplaceTempView("main_vehicle_box")
+    chosen = fx.spark.sql(CHOSEN.format(main="main_vehicle_box"))
+    return op.resolve_types(chosen, op.pick_brand(op.match_brands(fx.v_badge_token)), fx.sql(VOTED))

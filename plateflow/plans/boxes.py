@@ -217,8 +217,8 @@ def _(fx):
     return op.assign_plates(fx.v_plate_box, fx.v_vehicle_box)
 
 
-SPLIT = """hits AS (SELECT * FROM v_plate_box WHERE plate_idx % 2 = 1 AND image_id % 4 <> 0),
-    sweep AS (SELECT * FROM v_plate_box WHERE plate_idx % 2 = 0),
+SPLIT = """hits AS (SELECT * FROM v_plate_box WHERE confidence >= 0.7),
+    sweep AS (SELECT * FROM v_plate_box WHERE confidence < 0.7),
     mixed AS (SELECT * FROM hits UNION ALL SELECT * FROM sweep WHERE image_id NOT IN (SELECT image_id FROM hits))"""
 
 
@@ -227,8 +227,8 @@ SPLIT = """hits AS (SELECT * FROM v_plate_box WHERE plate_idx % 2 = 1 AND image_
     f"WITH RECURSIVE {SPLIT}, {p.greedy('mixed', 'plate_idx', p.PLATE_CONFLICT)} SELECT image_id, plate_idx FROM survivors",
 )
 def _(fx):
-    hits = fx.v_plate_box.filter("plate_idx % 2 = 1 AND image_id % 4 <> 0")
-    sweep = fx.v_plate_box.filter("plate_idx % 2 = 0")
+    hits = fx.v_plate_box.filter("confidence >= 0.7")
+    sweep = fx.v_plate_box.filter("confidence < 0.7")
     return op.combine_scans(hits, sweep).select("image_id", "plate_idx")
 
 

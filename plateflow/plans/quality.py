@@ -115,7 +115,7 @@ def _(fx):
     return op.next_jobs(fx.v_job, _now(), 25).select("job_id", "image_id", "would_fail")
 
 
-STORED = """SELECT image_id, concat('a', cast(image_id AS string), '.jpg') AS stored_filename, annotated_filename FROM v_image WHERE image_id % 6 <> 0"""
+STORED = """SELECT image_id, concat('a', cast(image_id AS string), '.jpg') AS stored_filename, annotated_filename FROM v_image WHERE mime_type <> 'image/gif'"""
 CROPPED = """SELECT detection_id, CASE WHEN box_idx = 1 AND image_id % 5 <> 0 THEN concat('a', cast(image_id AS string), '.jpg') END AS plate_crop_filename FROM v_detection"""
 
 
@@ -186,29 +186,29 @@ def _(fx):
 
 
 PINNED = """SELECT concat('doc', cast(doc_id AS string)) AS path, CASE doc_id % 10 WHEN 1 THEN '' WHEN 2 THEN sha{a}(upper(text){b}) ELSE sha{a}(text{b}) END AS sha256
-    FROM documents WHERE doc_id % 5 <> 0"""
+    FROM documents WHERE n_chars > 400"""
 
 
 @query(
     "audit_manifest",
-    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 7 <> 0)
+    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE n_chars < 4000)
     SELECT coalesce(e.path, a.path) AS path, CASE WHEN e.path IS NULL THEN 'unpinned' WHEN a.path IS NULL THEN 'missing'
         WHEN e.sha256 = '' OR e.sha256 = a.sha256 THEN 'ok' ELSE 'mismatch' END AS state FROM e FULL JOIN a ON a.path = e.path""",
 )
 def _(fx):
-    actual = op.digest_manifest(fx.documents.filter("doc_id % 7 <> 0").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
+    actual = op.digest_manifest(fx.documents.filter("n_chars < 4000").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
     return op.audit_manifest(fx.sql(PINNED.format(a="2", b=", 256")), actual).select("path", "state")
 
 
 @query(
     "manifest_problems",
-    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 7 <> 0),
+    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE n_chars < 4000),
     s AS (SELECT CASE WHEN e.path IS NULL THEN 'unpinned' WHEN a.path IS NULL THEN 'missing' WHEN e.sha256 = '' OR e.sha256 = a.sha256 THEN 'ok' ELSE 'mismatch' END AS state
           FROM e FULL JOIN a ON a.path = e.path)
     SELECT state, count(*) AS files, count(*) FILTER (WHERE state IN ('missing', 'mismatch')) AS problems FROM s GROUP BY state""",
 )
 def _(fx):
-    actual = op.digest_manifest(fx.documents.filter("doc_id % 7 <> 0").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
+    actual = op.digest_manifest(fx.documents.filter("n_chars < 4000").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
     return op.manifest_problems(op.audit_manifest(fx.sql(PINNED.format(a="2", b=", 256")), actual))
 
 
@@ -272,11 +272,11 @@ def _(fx):
 
 @query(
     "read_label_groups",
-    "SELECT cast(floor(image_id / 100) AS bigint) AS file_id, cast(floor((image_id % 100) / 2) AS integer) AS group_no, cast(image_id AS varchar) AS frame FROM v_plate_truth WHERE image_id % 10 < 6",
+    "SELECT cast(floor(image_id / 100) AS bigint) AS file_id, cast(floor((image_id % 100) / 2) AS integer) AS group_no, cast(image_id AS varchar) AS frame FROM v_plate_truth",
 )
 def _(fx):
     pairs = fx.sql("""SELECT cast(floor(image_id / 100) AS bigint) AS file_id, cast(floor((image_id % 100) / 2) AS int) AS group_no, collect_list(cast(image_id AS string)) AS members
-        FROM v_plate_truth WHERE image_id % 10 < 6 GROUP BY 1, 2""")
+        FROM v_plate_truth GROUP BY 1, 2""")
     files = pairs.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("group_no", "members"))).alias("g")).select(
         F.to_json(F.struct(F.transform("g", lambda g: g["members"]).alias("same_machine_groups"))).alias("value")
     )
@@ -287,10 +287,10 @@ def _(fx):
     )
 
 
-MANIFEST = "SELECT concat('in/', original_filename) AS source, 'in' AS directory FROM v_image WHERE image_id % 3 = 0"
+MANIFEST = "SELECT concat('in/', original_filename) AS source, 'in' AS directory FROM v_image WHERE annotated_filename IS NULL"
 
 
-@query("pending_sources", "SELECT concat('in/', original_filename) AS source FROM v_image WHERE image_id % 3 <> 0")
+@query("pending_sources", "SELECT concat('in/', original_filename) AS source FROM v_image WHERE annotated_filename IS NOT NULL")
 def _(fx):
     files = fx.sql("SELECT concat('in/', original_filename) AS source FROM v_image")
     return ingest.pending_sources(files, fx.sql(MANIFEST), {"directory": "in"})

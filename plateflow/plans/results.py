@@ -107,13 +107,13 @@ def _(fx):
     "page_bodies",
     f"""WITH {JOBS}, ids AS (SELECT image_id, row_number() OVER (ORDER BY created_at DESC, image_id DESC) AS position FROM v_image
         ORDER BY position LIMIT 200)
-    SELECT ids.position, r.image_id, r.filename, r.status FROM ids JOIN res r ON r.image_id = ids.image_id WHERE r.image_id % 3 <> 0""",
+    SELECT ids.position, r.image_id, r.filename, r.status FROM ids JOIN res r ON r.image_id = ids.image_id WHERE r.annotated_available""",
 )
 def _(fx):
     newest = [F.col("created_at").desc(), F.col("image_id").desc()]
     # The page is at most 200 rows, so numbering it needs no partitioning.
     ids = op.page(fx.v_image, newest, limit=200).select("image_id", F.row_number().over(Window.orderBy(*newest)).cast("bigint").alias("position"))
-    bodies = _results(fx).filter("image_id % 3 <> 0").select("image_id", "filename", "status")
+    bodies = _results(fx).filter("annotated_available").select("image_id", "filename", "status")
     return op.page_bodies(ids, bodies).select("position", "image_id", "filename", "status")
 
 
@@ -346,15 +346,16 @@ def _(fx):
 
 @query(
     "cascade_delete",
-    """SELECT 'image' AS kind, image_id AS id, NULL::bigint AS job_id FROM v_image WHERE image_id % 10 <> 0
-    UNION ALL SELECT 'job', job_id, job_id FROM v_job WHERE image_id % 10 <> 0 AND status <> 'failed'
+    """WITH gone AS (SELECT image_id FROM v_image WHERE mime_type = 'image/gif')
+    SELECT 'image' AS kind, image_id AS id, NULL::bigint AS job_id FROM v_image WHERE image_id NOT IN (FROM gone)
+    UNION ALL SELECT 'job', job_id, job_id FROM v_job WHERE image_id NOT IN (FROM gone) AND status <> 'failed'
     UNION ALL SELECT 'detection', d.detection_id, CASE WHEN j.status = 'failed' THEN NULL ELSE d.image_id * 3 END
-    FROM v_detection d LEFT JOIN v_job j ON j.job_id = d.image_id * 3 WHERE d.image_id % 10 <> 0""",
+    FROM v_detection d LEFT JOIN v_job j ON j.job_id = d.image_id * 3 WHERE d.image_id NOT IN (FROM gone)""",
 )
 def _(fx):
     dets = fx.v_detection.withColumn("job_id", F.col("image_id") * 3)
     images, jobs, dets = op.cascade_delete(
-        fx.v_image, fx.v_job, dets, fx.v_image.filter("image_id % 10 = 0"), fx.v_job.filter("status = 'failed'")
+        fx.v_image, fx.v_job, dets, fx.v_image.filter("mime_type = 'image/gif'"), fx.v_job.filter("status = 'failed'")
     )
     return (
         images.select(F.lit("image").alias("kind"), F.col("image_id").alias("id"), F.lit(None).cast("bigint").alias("job_id"))
