@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plateflow.llm import embedding_dedup, line_dedup, packing, quality, warc
+from plateflow.llm import embedding_dedup, jaccard_join, line_dedup, packing, quality, warc
 from plateflow.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op9_quality_rules(spark, sf_dir):
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_near(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
