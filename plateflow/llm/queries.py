@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plateflow.llm import embedding_dedup, jaccard_join, line_dedup, packing, quality, warc
+from plateflow.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, token_counts, toxicity, warc
 from plateflow.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,21 @@ def query(sql: str | None = None):
     return keep
 
 
+@query()
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: Weights of the domains that the labels name: documents of good and of poor quality.
+TARGETS = {"0": 0.1, "1": 0.9}
+
+
+@query()
+def op2_mixing(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, F.col("quality"), TARGETS)
+
+
 @query(line_dedup.SQL)
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -38,6 +54,17 @@ def op5_embedding_dedup(spark, sf_dir):
     return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op7_pii(spark, sf_dir):
+    return pii.find_personal(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(
