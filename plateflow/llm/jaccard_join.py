@@ -342,3 +342,11 @@ def join_near(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataF
     return known.join(answer, ["c1", "c2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest doc_id. Of rows that
+    repeat a doc_id one stays; rows without one all stay."""
+    first = join_near(docs, size, least).filter("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

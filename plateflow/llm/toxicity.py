@@ -199,3 +199,16 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
 
     scored = documents(docs).mapInArrow(run, schema("doc_id bigint, score double"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, model: tuple[Lexicon, np.ndarray], bar: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``bar`` or more; all columns stay. A map without a shuffle."""
+    lexicon, weights = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([measure(t.as_py() or "", lexicon) for t in batch.column("text")]).reshape(-1, len(EVENTS) + 1)
+            z = np.log1p(x) @ weights[:-1] + weights[-1]
+            yield batch.filter(pa.array(z < np.log(bar / (1 - bar))))
+
+    return docs.mapInArrow(run, docs.schema)
