@@ -153,7 +153,7 @@ VIEWS: dict[str, str] = {
         FROM documents LEFT JOIN (SELECT image_id, plate FROM v_plate_truth WHERE image_id % 6 = 0) p ON p.image_id = doc_id * 6
     """,
     "v_detection": """
-        SELECT b.image_id * 10 + b.box_idx AS detection_id, b.image_id, b.box_idx,
+        SELECT b.image_id * 1000000000 + b.box_idx AS detection_id, b.image_id, b.box_idx,
                CASE b.coco_label WHEN 'train' THEN 'truck' WHEN 'boat' THEN 'unknown_vehicle' WHEN 'person' THEN 'tractor' ELSE b.coco_label END AS vehicle_type,
                CASE WHEN b.box_idx % 2 = 1 THEN t.manufacturer END AS manufacturer,
                CASE WHEN b.image_id % 3 = 0 AND b.box_idx = 1 THEN t.plate END AS license_plate,
@@ -165,7 +165,6 @@ VIEWS: dict[str, str] = {
                CASE WHEN b.image_id % 5 = 0 THEN NULL ELSE b.confidence END AS plate_ocr_confidence,
                CASE b.box_idx % 3 WHEN 0 THEN 'detector' WHEN 1 THEN 'reference_gallery' ELSE 'badge_text' END AS vehicle_type_source
         FROM v_vehicle_box b JOIN v_plate_truth t ON t.image_id = b.image_id
-        WHERE b.box_idx <= 9
     """,
     "v_patch": """
         SELECT detection_id, detection_id % 2 = 0 AS set_vehicle_type,

@@ -33,9 +33,11 @@ def best_class(raw: DataFrame, labels: Sequence[str], threshold: float) -> DataF
     )
 
 
-def decode_boxes(raw: DataFrame, width: int, height: int, threshold: float = 0.35,
+def decode_boxes(raw: DataFrame, width: Column | int, height: Column | int, threshold: float = 0.35,
                  min_side: int = 24, weak_share: float = 0.01) -> DataFrame:
-    """Centre/size fractions to clipped pixel corners, our vocabulary, and the size limits."""
+    """Centre/size fractions to clipped pixel corners, our vocabulary, and the size limits. The frame
+    size may be a column, for tables with frames of several sizes."""
+    width, height = _size(width), _size(height)
     half = F.lit(2.0)
 
     def pixel(value: Column) -> Column:
@@ -45,8 +47,8 @@ def decode_boxes(raw: DataFrame, width: int, height: int, threshold: float = 0.3
         raw.filter((F.col("confidence") > threshold) & F.col("coco_label").isin(*dims.VEHICLE_CLASSES))
         .withColumn("x1", F.greatest(F.lit(0), pixel((F.col("cx") - F.col("bw") / half) * width)))
         .withColumn("y1", F.greatest(F.lit(0), pixel((F.col("cy") - F.col("bh") / half) * height)))
-        .withColumn("x2", F.least(F.lit(width), pixel((F.col("cx") + F.col("bw") / half) * width)))
-        .withColumn("y2", F.least(F.lit(height), pixel((F.col("cy") + F.col("bh") / half) * height)))
+        .withColumn("x2", F.least(width, pixel((F.col("cx") + F.col("bw") / half) * width)))
+        .withColumn("y2", F.least(height, pixel((F.col("cy") + F.col("bh") / half) * height)))
         .withColumn("vehicle_type", label_map(F.col("coco_label"), dims.VEHICLE_CLASSES))
     )
     wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -177,7 +179,7 @@ def assign_plates(plates: DataFrame, vehicles: DataFrame, group_rows: int = GROU
     lowest index on ties, -1 when there is none.
 
     The join keeps the image equality, so the box test is a residual condition, and the minimum
-    is taken on the partitioning the join already has. Images above ``group_rows`` boxes go
+    is taken on the partitioning the join already has. Images above ``group_rows`` boxes and plates go
     through a grid: a box that covers a whole cell competes once per cell, so only boxes whose
     edge crosses a cell are tested against the points in it.
     """
@@ -186,9 +188,11 @@ def assign_plates(plates: DataFrame, vehicles: DataFrame, group_rows: int = GROU
         ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2).alias("cy"),
     )
     boxes = vehicles.select("image_id", "box_idx", "x1", "y1", "x2", "y2")
-    light_boxes, heavy_boxes, hot = split_heavy(boxes, ["image_id"], group_rows)
-    if heavy_boxes is None:
-        return _assign(points, light_boxes, ["image_id"])
+    both = boxes.select("image_id").unionByName(points.select("image_id"))
+    _, _, hot = split_heavy(both, ["image_id"], group_rows)
+    if hot is None:
+        return _assign(points, boxes, ["image_id"])
+    light_boxes, heavy_boxes = boxes.join(hot, "image_id", "left_anti"), boxes.join(hot, "image_id", "left_semi")
     light_points = points.join(hot, "image_id", "left_anti")
     heavy_points = points.join(hot, "image_id", "left_semi")
     return _assign(light_points, light_boxes, ["image_id"]).unionByName(
@@ -251,7 +255,9 @@ def _assign_on_grid(points: DataFrame, boxes: DataFrame, cell: int) -> DataFrame
         .withColumn("_best", F.least("_edge", "_whole"))
         .select("image_id", "cx", "cy", F.coalesce(F.col("_best.box"), F.lit(-1).cast("bigint")).alias("box_idx"))
     )
-    return placed.join(nearest, ["image_id", "cx", "cy"]).select("image_id", "plate_idx", "box_idx")
+    # A plate without a centre is in no box.
+    found = placed.join(nearest, ["image_id", "cx", "cy"], "left")
+    return found.select("image_id", "plate_idx", F.coalesce("box_idx", F.lit(-1).cast("bigint")).alias("box_idx"))
 
 
 # ---- selection -----------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Machine type by the nearest reference photos, with abstention."""
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,8 @@ from plateflow.operators.skew import BROADCAST_BYTES, top_per_key
 BLOCK_ROWS = 4096
 #: Similarities are ranked at this precision, so equal vectors tie whatever the block order.
 PLACES = 9
+#: One tile of a block product: the largest matrix a task holds, whatever the size of the gallery.
+TILE_QUERIES, TILE_REFS = 512, 8192
 
 
 def gallery_entries(files: DataFrame, path: str = "path", suffixes: Sequence[str] = (), reserved: Sequence[str] = ()) -> DataFrame:
@@ -94,30 +97,42 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
-def _banned(query_keys: list[list[str]], ref_keys: list[list[str]]) -> np.ndarray | None:
-    """True where a query and a reference share an exclusion key."""
-    codes: dict[str, int] = {}
-    for keys in query_keys:
-        for key in keys:
-            codes.setdefault(key, len(codes))
-    if not codes:
-        return None
-    rows_of: list[list[int]] = [[] for _ in codes]
-    for row, keys in enumerate(ref_keys):
-        for key in keys:
-            if key in codes:
-                rows_of[codes[key]].append(row)
-    banned = np.zeros((len(query_keys), len(ref_keys)), dtype=bool)
-    for row, keys in enumerate(query_keys):
-        for key in keys:
-            banned[row, rows_of[codes[key]]] = True
-    return banned
+class _Block:
+    """Vectors of a block with their exclusion keys, prepared once and used tile by tile."""
+
+    def __init__(self, table: pa.Table, ident: str):
+        order = np.argsort(table[ident].to_numpy(), kind="stable")
+        self.ids = table[ident].to_numpy()[order]
+        self.matrix = _matrix(table["embedding"])[order] if len(order) else np.zeros((0, 0))
+        keys = table["_keys"].to_pylist()
+        self.keys = [keys[i] for i in order]
+        self.labels = np.asarray(table["vehicle_type"].to_pylist(), dtype=object)[order] if "vehicle_type" in table.column_names else None
+        self.rows_of: dict[str, list[int]] = {}
+        for row, own in enumerate(self.keys):
+            for key in own:
+                self.rows_of.setdefault(key, []).append(row)
+
+
+def _tiles(left: _Block, right: _Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Similarities of two blocks in tiles of bounded size, excluded pairs at minus infinity. All tiles of
+    some queries follow each other."""
+    for a in range(0, len(left.ids), TILE_QUERIES):
+        rows = slice(a, a + TILE_QUERIES)
+        for b in range(0, len(right.ids), TILE_REFS):
+            columns = slice(b, b + TILE_REFS)
+            scores = left.matrix[rows] @ right.matrix[columns].T
+            for row, keys in enumerate(left.keys[rows]):
+                for key in keys:
+                    own = right.rows_of.get(key)
+                    if own:
+                        scores[row, [r - b for r in own[bisect_left(own, b) : bisect_left(own, b + TILE_REFS)]]] = -np.inf
+            yield rows, columns, scores
 
 
 def _score_all(queries: DataFrame, refs: DataFrame, work: Callable, ddl: str, block_rows: int,
                parallelism: int, broadcast_bytes: int) -> tuple[DataFrame, bool]:
     """``work(query block, reference block)`` over all pairs of blocks; True when every query met
-    the whole gallery at once.
+    the whole gallery at once. Both blocks are prepared before; the product is taken in tiles.
 
     A gallery whose counted size stays below ``broadcast_bytes`` goes to the executors once and
     the queries are scored where they lie. A larger one is cut into blocks of ``8 * block_rows``;
@@ -128,8 +143,11 @@ def _score_all(queries: DataFrame, refs: DataFrame, work: Callable, ddl: str, bl
         shared = queries.sparkSession.sparkContext.broadcast(refs.toArrow())
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gallery = _Block(shared.value, "ref_id")
             for batch in batches:
-                yield from work(pa.Table.from_batches([batch]), shared.value).to_batches()
+                for start in range(0, batch.num_rows, block_rows):
+                    part = pa.Table.from_batches([batch.slice(start, block_rows)])
+                    yield from work(_Block(part, "query_id"), gallery).to_batches()
 
         return queries.mapInArrow(scan, ddl), True
 
@@ -141,7 +159,11 @@ def _score_all(queries: DataFrame, refs: DataFrame, work: Callable, ddl: str, bl
 
     left = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("_rb", every(r_blocks))
     right = refs.withColumn("_rb", F.pmod(F.xxhash64("ref_id"), F.lit(r_blocks)).cast("int")).withColumn("_qb", every(q_blocks))
-    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(work, ddl), False
+
+    def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+        return work(_Block(some, "query_id"), _Block(others, "ref_id"))
+
+    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meet, ddl), False
 
 
 def _prepare(queries: DataFrame, refs: DataFrame, exclude_same, exclude_sources):
@@ -152,15 +174,6 @@ def _prepare(queries: DataFrame, refs: DataFrame, exclude_same, exclude_sources)
     return queries, refs
 
 
-def _scores(left: pa.Table, right: pa.Table) -> np.ndarray:
-    """Similarities of a block pair; excluded pairs are minus infinity."""
-    scores = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
-    banned = _banned(left["_keys"].to_pylist(), right["_keys"].to_pylist())
-    if banned is not None:
-        scores[banned] = -np.inf
-    return scores
-
-
 def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_same: Sequence[tuple[str, str]] = (),
                       exclude_sources: Sequence[str] = (), block_rows: int = BLOCK_ROWS, parallelism: int = 8,
                       broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -168,27 +181,33 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
 
     ``exclude_same`` lists (query column, reference column) pairs, plain or arrays: a reference
     sharing a value with the query is removed before ranking. ``exclude_sources`` drops whole
-    sources. Vectors are compared block against block; each block pair returns only its ``k`` best
-    per query, so the pairs themselves are never materialised.
+    sources. Vectors are compared block against block in tiles of bounded size; each block pair keeps
+    the ``k`` best per query as it goes, so the pairs themselves are never materialised. Similarities are
+    returned at the precision they are ranked at.
     """
     queries, refs = _prepare(queries, refs, exclude_same, exclude_sources)
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        ref_ids = right["ref_id"].to_numpy()
-        order = np.argsort(ref_ids, kind="stable")
-        scores = _scores(left, right)[:, order]
-        ref_ids = ref_ids[order]
-        labels = np.asarray(right["vehicle_type"].to_pylist(), dtype=object)[order]
-        take = min(k, scores.shape[1])
-        ranked = np.argsort(-np.round(scores, PLACES), axis=1, kind="stable")[:, :take]
-        picked = np.take_along_axis(scores, ranked, axis=1)
-        valid = np.isfinite(picked)
-        rows = np.repeat(left["query_id"].to_numpy(), take).reshape(-1, take)[valid]
-        places = np.broadcast_to(np.arange(1, take + 1, dtype=np.int32), valid.shape)[valid]
+    def best(left: _Block, right: _Block) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        held = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        last = None
+        for rows, columns, scores in _tiles(left, right):
+            if last is not None and rows != last:
+                found.append(held)
+                held = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            last = rows
+            scores = np.floor(scores * 10.0**PLACES + 0.5) / 10.0**PLACES
+            bar = -np.partition(-scores, min(k, scores.shape[1]) - 1, axis=1)[:, min(k, scores.shape[1]) - 1]
+            r, c = np.nonzero((scores >= bar[:, None]) & np.isfinite(scores))
+            r, c, v = (np.concatenate(x) for x in zip(held, (r + rows.start, c + columns.start, scores[r, c])))
+            order = np.lexsort((c, -v, r))
+            r, c, v = r[order], c[order], v[order]
+            ahead = np.arange(len(r)) - np.searchsorted(r, r) < k
+            held = (r[ahead], c[ahead], v[ahead])
+        r, c, v = (np.concatenate(x) for x in zip(*found, held))
+        places = (np.arange(len(r)) - np.searchsorted(r, r) + 1).astype(np.int32)
         return pa.table(
-            [pa.array(rows), pa.array(ref_ids[ranked[valid]]), pa.array(labels[ranked[valid]].tolist(), pa.string()), pa.array(picked[valid]), pa.array(places)],
+            [pa.array(left.ids[r]), pa.array(right.ids[c]), pa.array(right.labels[c].tolist() if len(c) else [], pa.string()), pa.array(v), pa.array(places)],
             schema=schema,
         )
 
@@ -199,7 +218,7 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
     )
     if complete:
         return found
-    order = [F.round("similarity", PLACES).desc(), F.col("ref_id").asc()]
+    order = [F.col("similarity").desc(), F.col("ref_id").asc()]
     return top_per_key(found.drop("neighbour_rank"), ["query_id"], order, k, rank="neighbour_rank")
 
 
@@ -213,25 +232,21 @@ def score_blocks(queries: DataFrame, refs: DataFrame, exclude_same: Sequence[tup
         ("query_id", pa.int64()), ("vehicle_type", pa.string()), ("n", pa.int64()), ("top", pa.float64()), ("total", pa.float64()),
     ])
 
-    def reduce_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        scores = _scores(left, right)
-        labels = np.asarray(right["vehicle_type"].to_pylist(), dtype=object)
-        ids = left["query_id"].to_numpy()
-        out: list[pa.Table] = []
-        for label in sorted(set(labels.tolist())):
-            part = scores[:, labels == label]
-            usable = np.isfinite(part)
-            count = usable.sum(axis=1)
-            hit = count > 0
-            total = np.where(usable, part, 0.0).sum(axis=1)
-            out.append(pa.table(
-                [pa.array(ids[hit]), pa.array([label] * int(hit.sum()), pa.string()), pa.array(count[hit].astype(np.int64)),
-                 pa.array(part.max(axis=1)[hit]), pa.array(total[hit])],
-                schema=schema,
-            ))
-        return pa.concat_tables(out)
+    def reduce_block(left: _Block, right: _Block) -> pa.Table:
+        names, code = np.unique(right.labels.astype(str), return_inverse=True) if len(right.ids) else (np.zeros(0, str), np.zeros(0, int))
+        shape = (len(left.ids), len(names))
+        count, total, top = np.zeros(shape, np.int64), np.zeros(shape), np.full(shape, -np.inf)
+        for rows, columns, scores in _tiles(left, right):
+            for label in np.unique(code[columns]):
+                part = scores[:, code[columns] == label]
+                usable = np.isfinite(part)
+                count[rows, label] += usable.sum(axis=1)
+                total[rows, label] += np.where(usable, part, 0.0).sum(axis=1)
+                top[rows, label] = np.maximum(top[rows, label], part.max(axis=1))
+        r, c = np.nonzero(count)
+        return pa.table(
+            [pa.array(left.ids[r]), pa.array(names[c].tolist(), pa.string()), pa.array(count[r, c]), pa.array(top[r, c]), pa.array(total[r, c])], schema=schema
+        )
 
     parts, _ = _score_all(
         queries, refs, reduce_block, "query_id bigint, vehicle_type string, n bigint, top double, total double",

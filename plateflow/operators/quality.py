@@ -1,6 +1,7 @@
 """Audits, backfills and clean-up reports."""
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def constraint_rules() -> dict[str, Column]:
 
 def audit_constraints(detections: DataFrame, images: DataFrame | None = None, jobs: DataFrame | None = None) -> DataFrame:
     """Violations per rule with the lowest offending id: the six row checks in one pass, dangling
-    image keys, and images with more than one active job."""
+    image and job keys, and images with more than one active job."""
     dets = complete_detections(detections)
     found = []
     rules = constraint_rules()
@@ -48,6 +49,10 @@ def audit_constraints(detections: DataFrame, images: DataFrame | None = None, jo
         dangling = dets.join(images.select("image_id"), "image_id", "left_anti")
         found.append(dangling.agg(F.count(whole).alias("violations"), F.min("detection_id").alias("sample")).select(
             F.lit("dangling_image").alias("rule"), "violations", "sample"))
+    if jobs is not None and "job_id" in dets.columns:
+        lost = dets.filter(F.col("job_id").isNotNull()).join(jobs.select("job_id"), "job_id", "left_anti")
+        found.append(lost.agg(F.count(whole).alias("violations"), F.min("detection_id").alias("sample")).select(
+            F.lit("dangling_job").alias("rule"), "violations", "sample"))
     if jobs is not None:
         active = jobs.filter(F.col("status").isin(*dims.ACTIVE_STATUSES)).groupBy("image_id").agg(F.count(whole).alias("n"))
         found.append(active.filter("n > 1").agg(F.count(whole).alias("violations"), F.min("image_id").alias("sample")).select(
@@ -164,7 +169,7 @@ def glob_to_regex(pattern: str) -> str:
     return f"^{regex}$"
 
 
-def classify_release_paths(files: DataFrame, rules=dims.PATH_RULES, path: str = "path") -> DataFrame:
+def classify_release_paths(files: DataFrame, rules: Sequence[dims.PathRule], path: str = "path") -> DataFrame:
     """Each file as secret, sensitive or publishable, by the first rule that matches. The rules
     are a short constant list, so they are tested in place instead of joined."""
     label = F.struct(F.lit("publishable").alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("reason"))

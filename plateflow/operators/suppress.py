@@ -127,6 +127,8 @@ def _fold(boxes: DataFrame, key: str, priority, rule: Rule, stop_after: int | No
 def _rounds(boxes: DataFrame, key: str, priority, rule: Rule, corners, chunk: int,
             stop_after: int | None) -> DataFrame:
     order = [_sort_value(name, descending) for name, descending in priority]
+    if not boxes.groupBy(key, *[name for name, _ in priority]).count().filter("count > 1").isEmpty():
+        raise ValueError("the priority leaves boxes of a group tied; add a column that tells them apart")
     undecided = boxes
     if rule.equal_conflict:
         # Equal boxes: only the first can be kept, so copies go before anything is shuffled twice.

@@ -81,10 +81,10 @@ def _(fx):
 CHOSEN = """SELECT image_id, box_idx, confidence, CASE WHEN box_idx % 4 = 0 THEN 'tractor' ELSE 'truck' END AS vehicle_type FROM {main}"""
 MAIN = f"""(SELECT * FROM v_vehicle_box b
     QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY confidence * sqrt(sqrt({p.box_area('b')}::double)) DESC, box_idx) = 1) m"""
-VOTED = """SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'truck' WHEN 1 THEN 'tractor' ELSE 'trailer' END AS vehicle_type,
+VOTED = """SELECT CASE WHEN annotated_filename IS NULL THEN -image_id - 1 ELSE image_id END AS image_id, CASE image_id % 5 WHEN 0 THEN 'truck' WHEN 1 THEN 'tractor' ELSE 'trailer' END AS vehicle_type,
     cast(image_id % 37 AS double) / 40 AS similarity, cast(image_id % 29 AS double) / 100 AS margin,
     CASE image_id % 4 WHEN 0 THEN 'below_similarity_floor' WHEN 1 THEN 'classes_too_close' ELSE 'accepted' END AS reason
-    FROM v_image WHERE annotated_filename IS NOT NULL"""
+    FROM v_image"""
 
 
 @query(

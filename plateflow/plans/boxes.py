@@ -13,22 +13,30 @@ WIDTH, HEIGHT = 2688, 1520
 CLASS_MAP = "CASE coco_label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in dims.VEHICLE_CLASSES.items()) + " END"
 
 
+def _every(size: int):
+    """Frames come in two sizes: every third image is half as large."""
+    return F.when(F.col("image_id") % 3 == 0, size // 2).otherwise(size)
+
+
 @query(
     "decode_boxes",
-    f"""WITH px AS (
-        SELECT image_id, box_idx, confidence, coco_label,
-               greatest(0, cast(round_even((cx - bw / 2) * {WIDTH}, 0) AS bigint)) AS x1,
-               greatest(0, cast(round_even((cy - bh / 2) * {HEIGHT}, 0) AS bigint)) AS y1,
-               least({WIDTH}, cast(round_even((cx + bw / 2) * {WIDTH}, 0) AS bigint)) AS x2,
-               least({HEIGHT}, cast(round_even((cy + bh / 2) * {HEIGHT}, 0) AS bigint)) AS y2
-        FROM v_raw_box WHERE confidence > 0.35 AND coco_label IN ({p.quoted(dims.VEHICLE_CLASSES)})
+    f"""WITH sized AS (
+        SELECT *, CASE WHEN image_id % 3 = 0 THEN {WIDTH // 2} ELSE {WIDTH} END AS w, CASE WHEN image_id % 3 = 0 THEN {HEIGHT // 2} ELSE {HEIGHT} END AS h FROM v_raw_box
+    ), px AS (
+        SELECT image_id, box_idx, confidence, coco_label, w, h,
+               greatest(0, cast(round_even((cx - bw / 2) * w, 0) AS bigint)) AS x1,
+               greatest(0, cast(round_even((cy - bh / 2) * h, 0) AS bigint)) AS y1,
+               least(w, cast(round_even((cx + bw / 2) * w, 0) AS bigint)) AS x2,
+               least(h, cast(round_even((cy + bh / 2) * h, 0) AS bigint)) AS y2
+        FROM sized WHERE confidence > 0.35 AND coco_label IN ({p.quoted(dims.VEHICLE_CLASSES)})
     )
     SELECT image_id, box_idx, confidence, coco_label, x1, y1, x2, y2, {CLASS_MAP} AS vehicle_type FROM px
     WHERE x2 - x1 >= 24 AND y2 - y1 >= 24
-      AND NOT (coco_label IN ('train', 'boat') AND (x2 - x1) * (y2 - y1) < 0.01 * {WIDTH} * {HEIGHT})""",
+      AND NOT (coco_label IN ('train', 'boat') AND (x2 - x1) * (y2 - y1) < 0.01 * w * h)""",
 )
 def _(fx):
-    return op.decode_boxes(fx.v_raw_box, WIDTH, HEIGHT)
+    sized = fx.v_raw_box.withColumns({"width": _every(WIDTH), "height": _every(HEIGHT)})
+    return op.decode_boxes(sized, F.col("width"), F.col("height")).drop("width", "height")
 
 
 LOGITS = """SELECT image_id, box_idx, x1, y1, x2, y2, {list} AS logits FROM v_vehicle_box"""

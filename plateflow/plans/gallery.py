@@ -21,7 +21,7 @@ FRAME = [("query_id", "ref_id")]
 def _nearest(keep: str, k: int = 5) -> str:
     return f"""pairs AS (
         SELECT q.query_id, r.ref_id, r.vehicle_type,
-               round(list_dot_product(q.embedding::double[], r.embedding::double[]), 9) AS sim
+               {p.fixed('list_dot_product(q.embedding::double[], r.embedding::double[])', 9)} AS sim
         FROM v_query_crop q JOIN v_reference r ON {keep}
     ), near AS (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, ref_id) AS rn FROM pairs QUALIFY rn <= {k}
@@ -202,7 +202,8 @@ def _(fx):
     return op.gallery_profile(fx.v_reference, thin_below=60)
 
 
-URLS = """SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"""
+#: Every page as a file; the endings are changed, so that some are no picture.
+URLS = """SELECT page_id, concat(regexp_replace(url, '^https?://', ''), CASE page_id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN '.html' WHEN 2 THEN '.png' ELSE '' END) AS path FROM pages"""
 
 
 @query(
@@ -211,10 +212,10 @@ URLS = """SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pag
         CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE 'unsorted' END AS source,
         list_last(string_split(path, '/')) AS name
     FROM ({URLS}) u WHERE len(string_split(path, '/')) >= 2 AND split_part(path, '/', 1) <> '__pycache__'
-      AND regexp_matches(lower(list_last(string_split(path, '/'))), '(\\.html|\\.jpg|x|5)$')""",
+      AND regexp_matches(lower(list_last(string_split(path, '/'))), '(\\.jpg|\\.png)$')""",
 )
 def _(fx):
-    entries = op.gallery_entries(fx.sql(URLS), "path", suffixes=(".html", ".jpg", "x", "5"), reserved=dims.GALLERY_RESERVED)
+    entries = op.gallery_entries(fx.sql(URLS), "path", suffixes=(".jpg", ".png"), reserved=dims.GALLERY_RESERVED)
     return entries.select("page_id", "vehicle_type", "source", "name")
 
 

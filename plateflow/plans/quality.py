@@ -18,7 +18,7 @@ def _now():
 
 # ---- audits --------------------------------------------------------------------------------
 
-DIRTY = """SELECT detection_id, CASE WHEN detection_id % 101 = 0 THEN -1 ELSE image_id END AS image_id, vehicle_type, license_plate,
+DIRTY = """SELECT detection_id, CASE WHEN detection_id % 101 = 0 THEN -1 ELSE image_id END AS image_id, CASE WHEN box_idx % 3 = 0 THEN NULL ELSE image_id * 3 END AS job_id, vehicle_type, license_plate,
     CASE WHEN detection_id % 31 = 0 THEN NOT plate_readable ELSE plate_readable END AS plate_readable,
     CASE WHEN detection_id % 17 = 0 THEN confidence + 1 ELSE confidence END AS confidence,
     bbox_x1, bbox_y1, CASE WHEN detection_id % 13 = 0 THEN bbox_x1 ELSE bbox_x2 END AS bbox_x2, bbox_y2,
@@ -42,6 +42,7 @@ RULES = {
     f"WITH d AS ({DIRTY}) " + " UNION ALL ".join(
         f"SELECT '{name}' AS rule, count(*) AS violations, min(detection_id) AS sample FROM d WHERE NOT coalesce({rule}, true)" for name, rule in RULES.items()
     ) + """ UNION ALL SELECT 'dangling_image', count(*), min(detection_id) FROM d WHERE image_id NOT IN (SELECT image_id FROM v_image)
+    UNION ALL SELECT 'dangling_job', count(*), min(detection_id) FROM d WHERE job_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v_job j WHERE j.job_id = d.job_id)
     UNION ALL SELECT 'one_active_job', count(*), min(image_id) FROM (
         SELECT image_id FROM v_job WHERE status IN ('pending', 'processing') GROUP BY image_id HAVING count(*) > 1) a""",
 )
@@ -115,7 +116,9 @@ def _(fx):
     return op.next_jobs(fx.v_job, _now(), 25).select("job_id", "image_id", "would_fail")
 
 
-STORED = """SELECT image_id, concat('a', cast(image_id AS string), '.jpg') AS stored_filename, annotated_filename FROM v_image WHERE mime_type <> 'image/gif'"""
+#: Every image, those of one type under a name that no stored file has.
+STORED = """SELECT image_id, concat(CASE WHEN mime_type = 'image/gif' THEN 'moved' ELSE 'a' END, cast(image_id AS string), '.jpg') AS stored_filename,
+    CASE WHEN mime_type = 'image/gif' THEN concat('moved', annotated_filename) ELSE annotated_filename END AS annotated_filename FROM v_image"""
 CROPPED = """SELECT detection_id, CASE WHEN box_idx = 1 AND image_id % 5 <> 0 THEN concat('a', cast(image_id AS string), '.jpg') END AS plate_crop_filename FROM v_detection"""
 
 
@@ -142,25 +145,28 @@ def _(fx):
     return op.scan_text_for_plates(fx.v_doc_text).select("doc_id", "source", "hits")
 
 
-PATHS = """SELECT concat(CASE folder WHEN 'uploads' THEN 'photos/day1/' WHEN 'annotated' THEN 'annotated/' WHEN 'plates' THEN 'out/site_frames/' ELSE 'web/' END,
-    CASE WHEN length(filename) % 5 = 0 THEN concat('.env/', filename) WHEN filename LIKE '%7.jpg' THEN 'results.csv' WHEN filename LIKE '%9.jpg' THEN 'id_rsa_old'
+PATHS = """SELECT concat(CASE folder WHEN 'uploads' THEN 'incoming/day1/' WHEN 'annotated' THEN 'drawn/' WHEN 'plates' THEN 'out/crops/' ELSE 'pages/' END,
+    CASE WHEN length(filename) % 5 = 0 THEN concat('vault/', filename) WHEN filename LIKE '%7.jpg' THEN 'table.csv' WHEN filename LIKE '%9.jpg' THEN 'token_old'
          ELSE filename END) AS path, length(filename) * 100 AS bytes FROM v_stored_file"""
-
-
-def _kind() -> str:
-    arms = {"secret": "regexp_matches(path, '(^|/)(\\.env|\\.env\\.local|[^/]*\\.pem|[^/]*\\.key|id_rsa[^/]*)$')",
-            "photos": "starts_with(path, 'photos/')", "frames": "regexp_matches(path, '(^|/)site_frames/[^/]*$')",
-            "annotated": "regexp_matches(path, '^annotated/[^/]*$')", "results": "regexp_matches(path, '(^|/)results\\.[^/]*$')"}
-    return f"""CASE WHEN {arms['secret']} THEN 'secret' WHEN {arms['photos']} OR {arms['frames']} OR {arms['annotated']} OR {arms['results']}
-        THEN 'sensitive' ELSE 'publishable' END"""
+#: Rules about the paths made above; the first that matches counts.
+RULES_OF_RELEASE = (
+    dims.PathRule("**/token_*", "secret", "a credential"),
+    dims.PathRule("**/vault/*", "secret", "kept under lock"),
+    dims.PathRule("incoming/**/*", "sensitive", "unreviewed frames"),
+    dims.PathRule("**/crops/*", "sensitive", "cut from frames"),
+    dims.PathRule("**/table.*", "sensitive", "results as text"),
+)
+KIND = """CASE WHEN regexp_matches(path, '(^|/)token_[^/]*$') OR regexp_matches(path, '(^|/)vault/[^/]*$') THEN 'secret'
+    WHEN starts_with(path, 'incoming/') OR regexp_matches(path, '(^|/)crops/[^/]*$') OR regexp_matches(path, '(^|/)table\\.[^/]*$') THEN 'sensitive'
+    ELSE 'publishable' END"""
 
 
 @query(
     "classify_release_paths",
-    f"SELECT {_kind()} AS kind, count(*) AS files, cast(sum(bytes) AS bigint) AS bytes FROM ({PATHS}) t GROUP BY 1",
+    f"SELECT {KIND} AS kind, count(*) AS files, cast(sum(bytes) AS bigint) AS bytes FROM ({PATHS}) t GROUP BY 1",
 )
 def _(fx):
-    summary = op.release_summary(op.classify_release_paths(fx.sql(PATHS)))
+    summary = op.release_summary(op.classify_release_paths(fx.sql(PATHS), RULES_OF_RELEASE))
     return summary.groupBy("kind").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
 
 
@@ -185,30 +191,31 @@ def _(fx):
     return op.digest_manifest(fx.documents.select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
 
 
-PINNED = """SELECT concat('doc', cast(doc_id AS string)) AS path, CASE doc_id % 10 WHEN 1 THEN '' WHEN 2 THEN sha{a}(upper(text){b}) ELSE sha{a}(text{b}) END AS sha256
-    FROM documents WHERE n_chars > 400"""
+#: Every document, some under a path that is not there, which leaves their own unpinned.
+PINNED = """SELECT concat(CASE WHEN doc_id % 12 = 5 THEN 'gone' ELSE 'doc' END, cast(doc_id AS string)) AS path, CASE doc_id % 10 WHEN 1 THEN '' WHEN 2 THEN sha{a}(upper(text){b}) ELSE sha{a}(text{b}) END AS sha256
+    FROM documents"""
 
 
 @query(
     "audit_manifest",
-    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE n_chars < 4000)
+    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents)
     SELECT coalesce(e.path, a.path) AS path, CASE WHEN e.path IS NULL THEN 'unpinned' WHEN a.path IS NULL THEN 'missing'
         WHEN e.sha256 = '' OR e.sha256 = a.sha256 THEN 'ok' ELSE 'mismatch' END AS state FROM e FULL JOIN a ON a.path = e.path""",
 )
 def _(fx):
-    actual = op.digest_manifest(fx.documents.filter("n_chars < 4000").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
+    actual = op.digest_manifest(fx.documents.select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
     return op.audit_manifest(fx.sql(PINNED.format(a="2", b=", 256")), actual).select("path", "state")
 
 
 @query(
     "manifest_problems",
-    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents WHERE n_chars < 4000),
+    f"""WITH e AS ({PINNED.format(a='256', b='')}), a AS (SELECT concat('doc', cast(doc_id AS string)) AS path, sha256(text) AS sha256 FROM documents),
     s AS (SELECT CASE WHEN e.path IS NULL THEN 'unpinned' WHEN a.path IS NULL THEN 'missing' WHEN e.sha256 = '' OR e.sha256 = a.sha256 THEN 'ok' ELSE 'mismatch' END AS state
           FROM e FULL JOIN a ON a.path = e.path)
     SELECT state, count(*) AS files, count(*) FILTER (WHERE state IN ('missing', 'mismatch')) AS problems FROM s GROUP BY state""",
 )
 def _(fx):
-    actual = op.digest_manifest(fx.documents.filter("n_chars < 4000").select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
+    actual = op.digest_manifest(fx.documents.select(F.concat(F.lit("doc"), "doc_id").alias("path"), F.col("text").alias("content")))
     return op.manifest_problems(op.audit_manifest(fx.sql(PINNED.format(a="2", b=", 256")), actual))
 
 

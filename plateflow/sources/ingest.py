@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plateflow import dims
 
 
-def _suffix_filter(column: str, suffixes: Sequence[str]) -> Column:
+def has_suffix(column: str, suffixes: Sequence[str]) -> Column:
     return F.col(column).rlike("(?i)(" + "|".join(suffix.replace(".", r"\.") for suffix in suffixes) + ")$")
 
 
@@ -16,7 +16,7 @@ def scan_image_listing(spark: SparkSession, folder: str, recursive: bool = False
                        suffixes: Sequence[str] = dims.IMAGE_SUFFIXES) -> DataFrame:
     """Image files of a folder (path, name, length, modified), without reading their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.filter(_suffix_filter("path", suffixes)).select(
+    return files.filter(has_suffix("path", suffixes)).select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.col("modificationTime").alias("modified_at")
     )
 
@@ -24,7 +24,7 @@ def scan_image_listing(spark: SparkSession, folder: str, recursive: bool = False
 def read_images(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """The same files with their content, for :func:`plateflow.providers.recognise`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.filter(_suffix_filter("path", dims.IMAGE_SUFFIXES))
+    return files.filter(has_suffix("path", dims.IMAGE_SUFFIXES))
 
 
 def validate_uploads(uploads: DataFrame, max_bytes: int = 20 * 1024 * 1024, max_pixels: int = 40_000_000,

@@ -7,6 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from plateflow import dims
 from plateflow.operators.results import image_jobs
 from plateflow.operators.skew import top_per_key
+from plateflow.sources.ingest import has_suffix
 
 EVENT_SCHEMA = (
     "job_id bigint, image_id bigint, status string, provider string, model string, error_message string, "
@@ -23,8 +24,8 @@ def stream_new_images(spark: SparkSession, folder: str, target: str, checkpoint:
     Files seen before are remembered in the checkpoint, so running twice adds nothing.
     """
     files = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jpg,jpeg,png,webp}")
-        .load(folder).select("path", "length", F.col("modificationTime").alias("modified_at"))
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+        .load(folder).filter(has_suffix("path", dims.IMAGE_SUFFIXES)).select("path", "length", F.col("modificationTime").alias("modified_at"))
     )
     return (
         files.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
