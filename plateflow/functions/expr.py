@@ -208,9 +208,18 @@ def concat_embeddings(a: Column | str, b: Column | str) -> Column:
 # ---- recognition results -------------------------------------------------------------------
 
 
+#: White space of any kind, as text input is stripped of it.
+_BLANK = r"[\s\x1c-\x1f]"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_col(c), f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+
+
 def clean_plate(c: Column | str) -> Column:
-    """Operator-entered plate: trimmed, upper case, inner blanks collapsed, empty becomes null."""
-    collapsed = F.regexp_replace(F.upper(_col(c)), r"\s+", " ")
+    """Operator-entered plate: stripped, upper case, inner white space collapsed, empty becomes null."""
+    collapsed = F.regexp_replace(F.upper(_col(c)), f"(?U){_BLANK}+", " ")
     return F.nullif(F.trim(collapsed), F.lit(""))
 
 

@@ -10,7 +10,7 @@ from plateflow import dims
 from plateflow.functions import expr
 from plateflow.operators.skew import top_per_key
 
-#: Detections per exported record; an image with more is written as several numbered parts.
+#: Detections per exported record; the next ones of an image are in its next part.
 RECORD_ROWS = 1000
 
 DETECTION_COLUMNS = (
@@ -104,20 +104,38 @@ def detection_record() -> Column:
     )
 
 
+def place_in_image(dets: DataFrame, slice_rows: int = RECORD_ROWS) -> DataFrame:
+    """``dets`` with ``_place``, the position of a detection in the id order of its image, from 0.
+
+    The ids of an image are cut into equally wide slices, as many as it has ``slice_rows``; a slice starts
+    where the ones before it end, and only its own rows are numbered together.
+    """
+    span = dets.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("detection_id").alias("_low"), F.max("detection_id").alias("_high")
+    )
+    slices = F.ceil(F.col("_n") / slice_rows)
+    wide = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / slices), F.lit(1))
+    cut = dets.join(span, "image_id").withColumn("_slice", F.floor((F.col("detection_id") - F.col("_low")) / wide))
+    before = Window.partitionBy("image_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("image_id", "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
+        "image_id", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy("image_id", "_slice").orderBy("detection_id")) - 1
+    placed = cut.drop("_n", "_low", "_high").withColumn("_inside", inside).join(starts, ["image_id", "_slice"])
+    return placed.withColumn("_place", F.col("_start") + F.col("_inside")).drop("_slice", "_start", "_inside")
+
+
 def export_nested(images: DataFrame, jobs: DataFrame, detections: DataFrame, record_rows: int = RECORD_ROWS) -> DataFrame:
-    """One record per image with its detections nested in id order.
+    """Records of an image with its detections nested in id order, at most ``record_rows`` in each.
 
-    An image with more than ``record_rows`` detections becomes several records told apart by
-    ``part``, so no record grows without bound; every detection is in exactly one of them.
+    Part n holds the detections at the places from n * ``record_rows`` on, for every image; the parts
+    of an image put together are its record. An image without detections has one empty part.
+    Places are counted by ranges of ids, so no task numbers or gathers a whole image.
     """
-    dets = complete_detections(detections)
+    dets = place_in_image(complete_detections(detections), record_rows)
+    part = F.floor(F.col("_place") / record_rows).cast("int")
     record = F.array_sort(F.collect_list(detection_record()))
-    counts = dets.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    # Detections of large images are spread over parts by a hash of their id.
-    parts = F.ceil(F.col("_n") / record_rows)
-    sized = dets.join(counts.filter(F.col("_n") > record_rows), "image_id", "left")
-    part = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("detection_id"), parts)).cast("int")
-    nested = sized.withColumn("part", part).groupBy("image_id", "part").agg(record.alias("detections"))
+    nested = dets.withColumn("part", part).groupBy("image_id", "part").agg(record.alias("detections"))
     whole = image_results(images, jobs).join(nested, "image_id", "left")
     empty = F.array().cast(nested.schema["detections"].dataType)
     return whole.withColumns({"part": F.coalesce("part", F.lit(0)), "detections": F.coalesce("detections", empty)})
@@ -175,11 +193,6 @@ def list_jobs(jobs: DataFrame, status: str | None = None, image_id=None) -> Data
 # ---- review --------------------------------------------------------------------------------
 
 
-def review_rows(images: DataFrame, jobs: DataFrame, detections: DataFrame, record_rows: int = RECORD_ROWS) -> DataFrame:
-    """Images with nested detections as the review page sees them."""
-    return export_nested(images, jobs, detections, record_rows)
-
-
 def review_facts(detections: DataFrame) -> DataFrame:
     """What the review filters ask of an image, as flags from one partial aggregation: an image
     with very many detections is never gathered."""
@@ -249,9 +262,14 @@ def _spanning_search(results: DataFrame, dets: DataFrame, text: Column, needle:
     for head in heads:
         opens = opens | F.col("_text").endswith(head)
     likely = rows.join(rows.filter(opens).select("image_id").distinct(), "image_id", "left_semi")
-    window = Window.partitionBy("image_id").orderBy("_order")
+    # Rows are numbered by slices of an image; the first rows of each stretch are repeated at the end of
+    # the stretch before, so a match over the seam is seen and no task holds a whole image.
+    placed = place_in_image(likely.withColumnRenamed("_order", "detection_id")).withColumn("_stretch", F.floor(F.col("_place") / RECORD_ROWS))
+    seam = F.when((F.col("_stretch") > 0) & (F.col("_place") % RECORD_ROWS < reach), F.array(F.col("_stretch"), F.col("_stretch") - 1))
+    spread = placed.withColumn("_stretch", F.explode(F.coalesce(seam, F.array("_stretch"))))
+    window = Window.partitionBy("image_id", "_stretch").orderBy("_place")
     run = F.concat_ws(" ", "_text", *[F.lead("_text", step).over(window) for step in range(1, reach + 1)])
-    across = likely.withColumn("_run", run).filter(F.col("_run").contains(needle)).select("image_id")
+    across = spread.withColumn("_run", run).filter(F.col("_run").contains(needle)).select("image_id")
     return results.join(inside.unionByName(across).distinct(), "image_id", "left_semi")
 
 
@@ -345,14 +363,17 @@ def complete_patches(patches: DataFrame) -> DataFrame:
 def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(detections after correction, rejected patches with a reason)``.
 
-    A patch is applied whole or not at all. One patch per detection and call.
+    A patch is applied whole or not at all, and what it makes of the row has to be valid as a whole. Several
+    patches for one detection in a call contradict each other and are rejected.
     """
     stored = {"plate_quad": "string", "extra": "string"}
     dets = complete_detections(detections)
     dets = dets.withColumns({name: F.lit(None).cast(kind) for name, kind in stored.items() if name not in dets.columns})
     p = complete_patches(patches)
     for name in _LENGTHS:
-        p = p.withColumn(name, F.trim(name))
+        p = p.withColumn(name, expr.strip(name))
+    fields = [name for name in p.columns if name != "detection_id"]
+    p = p.groupBy("detection_id").agg(F.min(F.struct(*fields)).alias("_p"), F.count(F.lit(1)).alias("n_patches")).select("detection_id", "_p.*", "n_patches")
     renamed = p.select("detection_id", *[F.col(name).alias(f"p_{name}") for name in p.columns if name != "detection_id"])
     joined = dets.join(renamed, "detection_id", "left")
 
@@ -369,7 +390,7 @@ def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFr
     plate = expr.clean_plate(chosen("license_plate"))
     implied = F.when(
         set_("license_plate") & ~set_("plate_readable"),
-        F.coalesce(F.trim("p_license_plate"), F.lit("")) != "",
+        F.coalesce("p_license_plate", F.lit("")) != "",
     ).otherwise(chosen("plate_readable"))
     readable = F.coalesce(implied, F.lit(False))
 
@@ -378,6 +399,7 @@ def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFr
     def problem(condition: Column, text: str) -> None:
         problems.append(F.when(F.coalesce(condition, F.lit(False)), text))
 
+    problem(F.col("p_n_patches") > 1, "several patches for one detection")
     for name in ("vehicle_type", "plate_readable"):
         problem(set_(name) & F.col(f"p_{name}").isNull(), f"{name} cannot be null")
     problem(set_("vehicle_type") & (F.col("p_vehicle_type") == ""), "vehicle_type cannot be empty")
@@ -391,6 +413,12 @@ def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFr
         problem(set_(box) & (none if box == "bbox" else F.lit(False)), "bbox cannot be null")
         problem(set_(box) & bad & ~none, f"{box} is not a valid box")
     problem(readable & plate.isNull(), "readable plate requires text")
+    merged_box = [F.when(set_("bbox"), F.col(f"p_bbox_{corner}")).otherwise(F.col(f"bbox_{corner}")) for corner in ("x1", "y1", "x2", "y2")]
+    scores = F.lit(True)
+    for score in (chosen("confidence"), F.col("vehicle_confidence")):
+        scores = scores & (score.isNull() | score.between(0.0, 1.0))
+    stored_text = F.length(expr.strip(chosen("vehicle_type"))).between(1, _LENGTHS["vehicle_type"])
+    problem(~(F.coalesce(expr.valid_box(*merged_box), F.lit(False)) & scores & F.coalesce(stored_text, F.lit(False))), "corrected row is not valid")
 
     judged = joined.withColumn("_reject", F.coalesce(*problems)).withColumn("_touched", touched)
     go = F.col("_touched") & F.col("_reject").isNull()
@@ -401,15 +429,21 @@ def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFr
         return F.when(go & condition, value).otherwise(F.col(name))
 
     null = F.lit(None)
-    # A vehicle score that was missing follows the corrected one, and the other way round.
+    # The two scores fill each other in every row that is touched.
     confidence = F.coalesce(chosen("confidence"), F.col("vehicle_confidence"))
+    vehicle_confidence = F.coalesce(F.col("vehicle_confidence"), chosen("confidence"))
+    kept = F.map_filter(
+        F.coalesce(F.from_json("extra", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda name, _: name != "manually_corrected"
+    )
+    flag = F.create_map(F.lit("manually_corrected"), F.lit(True).cast("variant"))
     updates = {
         "vehicle_type": when(set_("vehicle_type"), F.col("p_vehicle_type"), "vehicle_type"),
         "manufacturer": when(set_("manufacturer"), F.col("p_manufacturer"), "manufacturer"),
         "model": when(set_("model"), F.col("p_model"), "model"),
         "license_plate": F.when(go, F.when(readable, plate)).otherwise(F.col("license_plate")),
         "plate_readable": F.when(go, readable).otherwise(F.col("plate_readable")),
-        "confidence": when(set_("confidence"), confidence, "confidence"),
+        "confidence": F.when(go, confidence).otherwise(F.col("confidence")),
+        "vehicle_confidence": F.when(go, vehicle_confidence).otherwise(F.col("vehicle_confidence")),
         "vehicle_type_source": when(set_("vehicle_type"), F.lit("manual"), "vehicle_type_source"),
         "vehicle_type_confidence": when(set_("vehicle_type"), null, "vehicle_type_confidence"),
         "plate_quad": when(set_("plate_bbox"), null, "plate_quad"),
@@ -422,12 +456,7 @@ def apply_corrections(detections: DataFrame, patches: DataFrame) -> tuple[DataFr
         "plate_status": F.when(go & text_change, "manually_corrected")
         .when(go & set_("plate_bbox"), F.when(drop_box, "manually_cleared").otherwise("manually_set"))
         .otherwise(F.col("plate_status")),
-        "extra": F.when(
-            go, F.to_json(F.map_concat(
-                F.coalesce(F.from_json("extra", "map<string,string>"), F.create_map().cast("map<string,string>")),
-                F.create_map(F.lit("manually_corrected"), F.lit("true")),
-            ))
-        ).otherwise(F.col("extra")),
+        "extra": F.when(go, F.to_json(F.map_concat(kept, flag))).otherwise(F.col("extra")),
         **{
             f"{box}_{corner}": when(set_(box), F.col(f"p_{box}_{corner}"), f"{box}_{corner}")
             for box in PATCH_BOXES for corner in ("x1", "y1", "x2", "y2")

@@ -88,9 +88,8 @@ def _(fx):
 def _(fx):
     from plateflow.sources.sinks import merge_exports
 
-    pages = [
-        op.export_flat(fx.v_image.filter(f"image_id % 3 = {part}"), fx.v_job, fx.v_detection) for part in range(3)
-    ]
+    flat = op.export_flat(fx.v_image, fx.v_job, fx.v_detection)
+    pages = [flat.filter("image_id % 3 = 0"), flat.filter("image_id % 3 > 0")]
     return merge_exports(pages).select("image_id", "status", "detection_id")
 
 
@@ -244,19 +243,29 @@ def _(fx):
     return op.plate_display(fx.v_detection.withColumns(tenths))
 
 
-PATCHED = """p AS (
-        SELECT d.*, q.set_vehicle_type AS st, q.vehicle_type AS pt, q.set_license_plate AS sl, nullif(trim(q.license_plate), '') AS pl,
-               q.set_plate_readable AS sr, q.plate_readable AS pr, q.detection_id IS NOT NULL AND (q.set_vehicle_type OR q.set_license_plate OR q.set_plate_readable) AS touched
-        FROM v_detection d LEFT JOIN v_patch q ON q.detection_id = d.detection_id
+#: Detections with scores that are partly missing and extra content of several kinds.
+STORED = """SELECT * {but}, CASE WHEN box_idx % 5 = 1 THEN NULL ELSE confidence END AS confidence, CASE WHEN box_idx % 3 = 0 THEN confidence / 2 END AS vehicle_confidence,
+    CASE box_idx % 4 WHEN 1 THEN '{{"notes":"seen","plate_ocr_disagreement_positions":[1,4]}}' WHEN 2 THEN '{{"manually_corrected":true,"evidence":[{{"text":"K","score":3}}]}}'
+         WHEN 3 THEN '{{}}' END AS extra FROM v_detection"""
+#: One detection in eleven is patched twice.
+TWICE = """SELECT * FROM v_patch UNION ALL SELECT * FROM v_patch WHERE detection_id % 11 = 0"""
+PATCHED = f"""p AS MATERIALIZED (
+        SELECT d.*, q.set_vehicle_type AS st, trim(q.vehicle_type) AS pt, q.set_license_plate AS sl, nullif(trim(q.license_plate), '') AS pl,
+               q.set_plate_readable AS sr, q.plate_readable AS pr, q.set_vehicle_type OR q.set_license_plate OR q.set_plate_readable AS touched
+        FROM ({STORED.format(but="EXCLUDE (confidence)")}) d JOIN v_patch q ON q.detection_id = d.detection_id
     ), m AS (
         SELECT *, CASE WHEN sl AND NOT sr THEN pl IS NOT NULL WHEN sr THEN pr ELSE plate_readable END AS want,
                upper(regexp_replace(CASE WHEN sl THEN pl ELSE license_plate END, '\\s+', ' ', 'g')) AS txt FROM p
     ), v AS (
-        SELECT *, CASE WHEN NOT touched THEN NULL WHEN st AND pt IS NULL THEN 'vehicle_type cannot be null'
+        SELECT *, CASE WHEN NOT touched THEN NULL WHEN detection_id % 11 = 0 THEN 'several patches for one detection' WHEN st AND pt IS NULL THEN 'vehicle_type cannot be null'
                        WHEN want AND txt IS NULL THEN 'readable plate requires text' END AS reject FROM m
     )"""
 
 
+def _corrected(fx):
+    return op.apply_corrections(fx.sql(STORED.format(but="EXCEPT (confidence)")), fx.sql(TWICE))
+
+
 @query(
     "apply_corrections",
     f"""WITH {PATCHED}, go AS (SELECT *, touched AND reject IS NULL AS ok FROM v)
@@ -266,16 +275,27 @@ PATCHED = """p AS (
         CASE WHEN ok AND (sl OR sr) THEN 'manually_corrected' ELSE plate_status END AS plate_status,
         CASE WHEN ok AND (sl OR sr) THEN NULL ELSE plate_ocr_confidence END AS plate_ocr_confidence,
         CASE WHEN ok AND st THEN 'manual' ELSE vehicle_type_source END AS vehicle_type_source,
-        CASE WHEN ok THEN '{{"manually_corrected":"true"}}' END AS extra FROM go""",
+        CASE WHEN ok THEN coalesce(confidence, vehicle_confidence) ELSE confidence END AS confidence,
+        CASE WHEN ok THEN coalesce(vehicle_confidence, confidence) ELSE vehicle_confidence END AS vehicle_confidence,
+        extra IS NULL AS bare, CASE WHEN ok THEN true ELSE coalesce(extra LIKE '%"manually_corrected":true%', false) END AS flagged,
+        coalesce(json_extract_string(extra, '$.notes'), '') AS notes, coalesce(CAST(json_extract(extra, '$.plate_ocr_disagreement_positions[1]') AS integer), 0) AS second_position,
+        coalesce(CAST(json_extract(extra, '$.evidence[0].score') AS integer), 0) AS evidence_score
+    FROM (SELECT * REPLACE (CASE WHEN ok THEN json_merge_patch(coalesce(extra, '{{}}'), '{{"manually_corrected":true}}') ELSE extra END AS extra) FROM go) g""",
 )
 def _(fx):
-    corrected, _rejected = op.apply_corrections(fx.v_detection, fx.v_patch)
-    return corrected.select("detection_id", "vehicle_type", "license_plate", "plate_readable", "plate_status", "plate_ocr_confidence", "vehicle_type_source", "extra")
+    corrected, _rejected = _corrected(fx)
+    return corrected.select(
+        "detection_id", "vehicle_type", "license_plate", "plate_readable", "plate_status", "plate_ocr_confidence", "vehicle_type_source", "confidence", "vehicle_confidence",
+        F.col("extra").isNull().alias("bare"), F.coalesce(F.col("extra").contains('"manually_corrected":true'), F.lit(False)).alias("flagged"),
+        F.coalesce(F.get_json_object("extra", "$.notes"), F.lit("")).alias("notes"),
+        F.coalesce(F.get_json_object("extra", "$.plate_ocr_disagreement_positions[1]").cast("int"), F.lit(0)).alias("second_position"),
+        F.coalesce(F.get_json_object("extra", "$.evidence[0].score").cast("int"), F.lit(0)).alias("evidence_score"),
+    )
 
 
 @query("rejected_corrections", f"WITH {PATCHED} SELECT detection_id, reject AS reason FROM v WHERE reject IS NOT NULL")
 def _(fx):
-    return op.apply_corrections(fx.v_detection, fx.v_patch)[1]
+    return _corrected(fx)[1]
 
 
 NOTED = """SELECT detection_id, CASE WHEN box_idx % 2 = 0 THEN 'seen twice' WHEN box_idx % 3 = 0 THEN '' END AS notes,
