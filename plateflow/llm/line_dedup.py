@@ -2,29 +2,25 @@
 
 DataFrame functions only."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plateflow.llm.common import documents, staged
 
 #: Lines in a window. The expressions below are written for three.
 WINDOW = 3
+BLANKS = " \t\n\x0b\f\r"
 
 
-def _windows(lines: Column) -> Column:
-    """Per start of a window with a non-blank line: its place and two 64-bit hashes."""
-    starts = F.sequence(F.lit(0), F.size(lines) - WINDOW)
-    line = [lambda i, k=k: F.get(lines, i + k) for k in range(WINDOW)]
-    every = F.transform(
-        F.when(F.size(lines) >= WINDOW, starts).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(*[f(i) for f in line]).alias("h1"),
-            F.xxhash64(F.lit(WINDOW), *[f(i) for f in line]).alias("h2"),
-            F.concat_ws("", *[f(i) for f in line]).rlike(r"[^\x20\x09-\x0D]").alias("told"),
-        ),
+def _windows(docs: DataFrame) -> DataFrame:
+    """``(doc_id, pos, h1, h2)``: place and two 64-bit hashes of every window with a non-blank line."""
+    lines = F.split("text", "\n")
+    shifted = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, 1 << 30).alias("b"), F.slice(lines, 3, 1 << 30).alias("c"))
+    every = docs.select("doc_id", F.posexplode(shifted).alias("pos", "w")).select("doc_id", "pos", "w.*").filter("c IS NOT NULL")
+    told = [F.ltrim(c, F.lit(BLANKS)) != "" for c in ("a", "b", "c")]
+    return every.filter(told[0] | told[1] | told[2]).select(
+        "doc_id", "pos", F.xxhash64("a", "b", "c").alias("h1"), F.xxhash64(F.lit(WINDOW), "a", "b", "c").alias("h2")
     )
-    return F.filter(every, lambda w: w["told"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -35,13 +31,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hashes are shuffled. A window that a third of all documents hold is counted by partial
     aggregation, and met in a join whose large partitions are split at run time.
     """
-    at = staged(
-        documents(docs)
-        .filter("doc_id IS NOT NULL")
-        .select("doc_id", F.explode(_windows(F.split("text", "\n"))).alias("w"))
-        .select("doc_id", "w.pos", "w.h1", "w.h2"),
-        "windows",
-    )
+    at = staged(_windows(documents(docs).filter("doc_id IS NOT NULL")), "windows")
     first = staged(
         at.groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -53,17 +43,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return at.join(first, ["h1", "h2"]).filter(later).select("doc_id", "pos")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Per document ``doc_id, text, n_lines, n_removed``: the text without the lines that any later
-    occurrence of a three-line window covers.
-
-    Lines are what ``\\n`` separates, compared exactly; a window of blank lines only is no repeat.
-    Documents of fewer than three lines stay as they are; a null text stays null with 0 lines; an
-    empty text is one empty line. A text whose lines are all removed becomes empty. Rows with the same
-    doc_id count as one document and lose the same lines; rows with a null doc_id stay as they are.
-    Other columns are not returned.
-    """
-    docs = documents(docs)
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, _rest, n_lines, n_removed``: the cleaned texts, with all other columns in ``_rest``."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("_rest"))
     covered = (
         repeated_windows(docs)
         .distinct()
@@ -76,14 +59,36 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         lambda x: x["l"],
     )
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return docs.join(covered, "doc_id", "left").select(
-        "doc_id",
+    joined = packed.join(covered, "doc_id", "left")
+    return joined.select(
+        "doc_id", "_rest",
         F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         count.cast("bigint").alias("n_lines"),
         F.when(F.col("_covered").isNull(), 0).otherwise(count - F.size(kept)).cast("bigint").alias("n_removed"),
     )
 
 
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """Per document ``doc_id, text, n_lines, n_removed``: the text without the lines that any later
+    occurrence of a three-line window covers.
+
+    Lines are what ``\\n`` separates, compared exactly; a window of blank lines only is no repeat.
+    Documents of fewer than three lines stay as they are; a null text stays null with 0 lines; an
+    empty text is one empty line. A text whose lines are all removed becomes empty. Rows with the same
+    doc_id count as one document and lose the same lines; rows with a null doc_id stay as they are.
+    Other columns are not returned.
+    """
+    return _cleaned(documents(docs)).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with cleaned texts, and ``n_chars``, where there is one, of the new text. A document all of
+    whose lines were repeats is left out; one that was empty before stays."""
+    cleaned = _cleaned(docs).filter("n_removed = 0 OR n_removed < n_lines")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return cleaned.select(*[new.get(c, F.col("_rest")[c]).alias(c) for c in docs.columns])
+
+
 #: The same for another engine.
 SQL = r"""
 WITH lines AS (
