@@ -23,6 +23,8 @@ BAND, WIDER = 32, 4
 HOT_SAMPLE, HOT_SEEN, HOT_MOST, HOT_BITS = 16, 4, 1 << 20, 26
 #: Bits of the filter that keeps documents without any candidate from being read twice.
 FILTER_BITS = 23
+#: So many ids of documents are sent to all tasks at most.
+SENT_IDS = 100_000
 #: Signatures a task gathers before it hands them on, and aims at per shuffle partition.
 FLUSH, PER_PARTITION = 1 << 20, 1 << 20
 #: Members of a candidate group that are compared with all others, per round; grows until all groups are settled.
@@ -115,19 +117,35 @@ def _is_hot(shingles: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
     return (hot[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """One bit per value of the trailing bits of a hash: whether an odd number of shingles has it. The bits in
+    which two sketches differ are at most the shingles in which the sets differ. From 2 to 4 bits a shingle."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the difference of two sets, from their sketches; the longer one is folded."""
+    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def profile(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, n_shingles, c1, c2)``: the size and the identity of every document's set."""
+    """``(doc_id, n_shingles, c1, c2, sketch)``: size, identity and sketch of every document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), size)
-                rows.append((len(found), *_identity(found)))
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "c1", "c2"])
+                rows.append((len(found), *_identity(found), sketch(found)))
+            kinds = [pa.int64()] * 3 + [pa.binary()]
+            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
 
-    return documents(docs).mapInArrow(run, schema("doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint"))
+    return documents(docs).mapInArrow(run, schema("doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, sketch binary"))
 
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], size: int):
@@ -235,8 +253,9 @@ def _groups(dealt: DataFrame, partitions: int, least: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """``(rep, hs)``: the sets of the named documents. A bitmap of fixed size, which passes all of them and
-    some more, keeps most other documents from being hashed and shuffled again."""
+    """``(rep, hs)``: the sets of the documents ``reps (rep, c1, c2)``. Few ids are sent to the documents;
+    for many, a bitmap of fixed size, which passes all of them and some more, keeps most other documents
+    from being hashed and shuffled again."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.zeros(1 << FILTER_BITS, bool)
@@ -247,28 +266,52 @@ def _sets_of(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     def place(ids: np.ndarray) -> np.ndarray:
         return _mix(ids.view(np.uint64) + _STEP) >> np.uint64(64 - FILTER_BITS)
 
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for row in reps.select("rep").coalesce(4).mapInArrow(marks, schema("bits binary")).toLocalIterator():
-        bits |= np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    texts, shared = documents(docs).filter("doc_id IS NOT NULL"), None
+    if reps.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(reps.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    else:
+        bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+        for row in reps.select("rep").coalesce(4).mapInArrow(marks, schema("bits binary")).toLocalIterator():
+            bits |= np.frombuffer(row["bits"], np.uint8)
+        shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(shared.value).astype(bool)
+        wanted = np.unpackbits(shared.value).astype(bool) if shared else None
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i in np.flatnonzero(wanted[place(ids)]):
+            for i in np.flatnonzero(wanted[place(ids)]) if shared else range(len(ids)):
                 found = shingle_set(batch.column(1)[int(i)].as_py(), size)
                 c1, c2 = _identity(found)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[i]]), pa.array([c1]), pa.array([c2]), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], names=["rep", "c1", "c2", "hs"]
                 )
 
-    found = documents(docs).filter("doc_id IS NOT NULL").mapInArrow(run, schema("rep bigint, c1 bigint, c2 bigint, hs array<bigint>"))
+    found = texts.mapInArrow(run, schema("rep bigint, c1 bigint, c2 bigint, hs array<bigint>"))
     return found.join(reps.select("rep", "c1", "c2"), ["rep", "c1", "c2"], "left_semi").dropDuplicates(["rep"]).select("rep", "hs")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, counted exactly."""
+def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs that their sketches do not rule out. No pair that links is ruled out."""
+    known = classes.select("rep", "n", "sketch")
+    one = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - least) // (100 + least)
+            keep = [least_difference(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch.column("sa"), batch.column("sb"), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema("a bigint, b bigint"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough: sketches rule out most others, the rest is counted
+    exactly."""
+    pairs = staged(_plausible(pairs, classes, least), "plausible")
+    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    reps = staged(classes.select("rep", "c1", "c2").join(ends, "rep", "left_semi"), "reps")
+    sets = staged(_sets_of(docs, reps, size), "sets")
     joined = pairs.join(sets.select(F.col("rep").alias("b"), F.col("hs").alias("hb")), "b").join(
         sets.select(F.col("rep").alias("a"), F.col("hs").alias("ha")), "a"
     )
@@ -276,8 +319,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return joined.filter(100 * both >= least * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def _settled(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _settled(members: DataFrame, least: int, check) -> DataFrame:
     """Links enough to connect all linked sets, from groups ``(gid, rep, n)`` of candidates.
+    ``check`` keeps the pairs that link.
 
     A few members of each group, the leaders of the round, are compared with all other members; then
     a pair matters only if its two sets are not connected yet and neither has been a leader. Groups
@@ -307,7 +351,7 @@ def _settled(members: DataFrame, sets: DataFrame, least: int) -> DataFrame:
             .select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
             .distinct()
         )
-        found = staged(_verified(staged(pairs, "pairs"), sets, least), "verified")
+        found = staged(check(staged(pairs, "pairs")), "verified")
         links = found if links is None else links.unionByName(found)
         component = staged(connected_components(links), "component")
         rest = staged(open_.select("gid", "rep", "n").join(lead.select("gid", F.col("lead").alias("rep")), ["gid", "rep"], "left_anti"), "rest")
@@ -326,7 +370,7 @@ def join_near(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataF
     spark = docs.sparkSession
     known = staged(profile(docs, size), "profile")
     classes = staged(
-        known.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")).filter("rep IS NOT NULL"), "classes"
+        known.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).filter("rep IS NOT NULL"), "classes"
     )
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     expected = total * 2 * (100 - least) // (100 + least) * 3 // 2
@@ -334,12 +378,10 @@ def join_near(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataF
     groups = _groups(_dealt(docs, frequent_shingles(docs, size), partitions, size, least), partitions, least)
     groups = staged(groups.distinct(), "groups")
     members = staged(groups.join(classes.select(F.col("c1").alias("c"), "rep"), "c").select("gid", "rep", "n"), "members")
-    reps = staged(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "c1", "c2"), "reps")
-    sets = staged(_sets_of(docs, reps, size), "sets")
-    links = _settled(members, sets, least)
+    links = _settled(members, least, lambda pairs: _verified(pairs, docs, classes, size, least))
     component = connected_components(links).select(F.col("node").alias("rep"), "component")
     answer = staged(classes.join(component, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "answer")
-    return known.join(answer, ["c1", "c2"], "left").select(
+    return known.drop("sketch").join(answer, ["c1", "c2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
