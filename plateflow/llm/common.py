@@ -12,10 +12,17 @@ from plateflow.operators.skew import shared_folder
 SPACE = "\x20\x09-\x0d"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Narrow rows that one file holds, where their number is known.
+FILE_ROWS = 200_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written to the folder all executors share and read again. Cuts the lineage, so later
-    jobs neither repeat the work nor depend on the executors that did it."""
+    jobs neither repeat the work nor depend on the executors that did it. Of narrow tables with at most
+    ``rows`` rows the files are as few as that number asks for, and grow with it."""
     path = shared_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(2 + rows // FILE_ROWS)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

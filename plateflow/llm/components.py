@@ -8,7 +8,7 @@ from plateflow.llm.common import staged
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """One star operation over edges (a, b) with a > b.
 
     Large star: every neighbour above a node is hung on the smallest neighbour. Small star: the node
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
-    lowest = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star")
+    lowest = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "star", 2 * rows)
     joined = both.join(lowest, "a")
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -52,7 +52,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not mark[0]:
             break
-        edges = staged(_star(staged(_star(edges, True), "large"), False), "small")
+        large = staged(_star(edges, True, mark[0]), "large", 2 * mark[0])
+        edges = staged(_star(large, False, 2 * mark[0]), "small", 2 * mark[0])
         now = _mark(edges)
         if now == mark:
             break

@@ -20,15 +20,15 @@ LEAST = 75
 BAND, WIDER = 32, 4
 #: One document in so many is looked at to learn which shingles are frequent; a shingle that occurs in at
 #: least HOT_SEEN distinct ones of them is. This only orders signatures, so no link depends on it.
-HOT_SAMPLE, HOT_SEEN, HOT_MOST, HOT_BITS = 16, 4, 1 << 20, 26
+HOT_SAMPLE, HOT_SEEN, HOT_MOST, HOT_BITS = 16, 3, 1 << 20, 26
 #: Bits of the filter that keeps documents without any candidate from being read twice.
 FILTER_BITS = 23
 #: So many ids of documents are sent to all tasks at most.
 SENT_IDS = 100_000
 #: Signatures a task gathers before it hands them on, and aims at per shuffle partition.
-FLUSH, PER_PARTITION = 1 << 20, 1 << 20
+FLUSH, PER_PARTITION = 1 << 18, 1 << 20
 #: Members of a candidate group that are compared with all others, per round; grows until all groups are settled.
-LEADERS = (1, 64, 512, 4096)
+LEADERS = (2, 256, 4096)
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +36,7 @@ _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111E
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 300_000:
             self[word] = value
         return value
 
@@ -320,30 +320,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
 
 
 def _settled(members: DataFrame, least: int, check) -> DataFrame:
-    """Links enough to connect all linked sets, from groups ``(gid, rep, n)`` of candidates.
+    """``(node, component)`` of the sets that link with others, from groups ``(gid, rep, n)`` of candidates.
     ``check`` keeps the pairs that link.
 
-    A few members of each group, the leaders of the round, are compared with all other members; then
+    A few members of each group, the leaders of the round, are compared with all other members. Leaders are
+    first those outside the largest component, and of these the members of most groups: the text that
+    near copies were made from shares more with them than they do with each other. After a round
     a pair matters only if its two sets are not connected yet and neither has been a leader. Groups
     without such a pair are settled. Groups of near copies are settled in the first round; the number
     of leaders grows from round to round, so the others follow in a number of rounds that is the
     logarithm of their size. No pair is left out, and none within a settled group is ever made.
     """
     links, component, rest, number = None, None, members, 0
+    rows = members.count()
+    rest = staged(members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("_deg")), "rep"), "rest", rows)
     while True:
         leaders = LEADERS[min(number, len(LEADERS) - 1)] * WIDER ** max(0, number - len(LEADERS) + 1)
         if component is None:
             open_ = rest.withColumn("component", F.col("rep")).withColumn("_m", F.lit(1))
         else:
-            known = rest.join(component, F.col("rep") == F.col("node"), "left").select("gid", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            known = rest.join(component, F.col("rep") == F.col("node"), "left").select("gid", "rep", "n", "_deg", F.coalesce("component", "rep").alias("component"))
             sizes = known.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("_m"))
-            mixed = staged(sizes.groupBy("gid").agg(F.count(F.lit(1)).alias("_k"), F.max(F.struct("_m", "component"))["component"].alias("_main")).filter("_k > 1"), "mixed")
+            mixed = staged(sizes.groupBy("gid").agg(F.count(F.lit(1)).alias("_k"), F.max(F.struct("_m", "component"))["component"].alias("_main")).filter("_k > 1"), "mixed", rows)
             if mixed.isEmpty():
-                return links
+                return component
             open_ = known.join(mixed.select("gid", "_main"), "gid").withColumn("_m", F.col("component") == F.col("_main")).drop("_main")
-        open_ = staged(open_, "open")
-        lead = staged(top_per_key(open_, ["gid"], [F.col("_m"), F.xxhash64("rep"), F.col("rep")], leaders).select(
-            "gid", F.col("rep").alias("lead"), F.col("n").alias("_ln"), F.col("component").alias("_lc")), "leaders")
+        open_ = staged(open_, "open", rows)
+        lead = staged(top_per_key(open_, ["gid"], [F.col("_m"), F.col("_deg").desc(), F.col("rep")], leaders).select(
+            "gid", F.col("rep").alias("lead"), F.col("n").alias("_ln"), F.col("component").alias("_lc")), "leaders", rows)
         pairs = (
             open_.join(lead, "gid")
             .filter((F.col("rep") != F.col("lead")) & (F.col("component") != F.col("_lc")))
@@ -353,8 +357,8 @@ def _settled(members: DataFrame, least: int, check) -> DataFrame:
         )
         found = staged(check(staged(pairs, "pairs")), "verified")
         links = found if links is None else links.unionByName(found)
-        component = staged(connected_components(links), "component")
-        rest = staged(open_.select("gid", "rep", "n").join(lead.select("gid", F.col("lead").alias("rep")), ["gid", "rep"], "left_anti"), "rest")
+        component = staged(connected_components(links), "component", 2 * rows)
+        rest = staged(open_.select("gid", "rep", "n", "_deg").join(lead.select("gid", F.col("lead").alias("rep")), ["gid", "rep"], "left_anti"), "rest", rows)
         number += 1
 
 
@@ -378,8 +382,8 @@ def join_near(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataF
     groups = _groups(_dealt(docs, frequent_shingles(docs, size), partitions, size, least), partitions, least)
     groups = staged(groups.distinct(), "groups")
     members = staged(groups.join(classes.select(F.col("c1").alias("c"), "rep"), "c").select("gid", "rep", "n"), "members")
-    links = _settled(members, least, lambda pairs: _verified(pairs, docs, classes, size, least))
-    component = connected_components(links).select(F.col("node").alias("rep"), "component")
+    component = _settled(members, least, lambda pairs: _verified(pairs, docs, classes, size, least))
+    component = component.select(F.col("node").alias("rep"), "component")
     answer = staged(classes.join(component, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "answer")
     return known.drop("sketch").join(answer, ["c1", "c2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
