@@ -311,17 +311,24 @@ ANSWERS = r"""SELECT detection_id, concat('{"choices":[{"finish_reason":"', CASE
         CASE WHEN detection_id % 31 = 0 THEN '[1]' ELSE concat('{"detections":[{"vehicle_type":"', vehicle_type, '","confidence":', cast(confidence AS string),
             ',"plate_readable":', CASE WHEN detection_id % 37 = 0 THEN 'true' ELSE 'false' END, CASE WHEN detection_id % 41 = 0 THEN ',"colour":"red"' ELSE '' END,
             ',"bbox":{"x1":', cast(bbox_x1 AS string), ',"y1":', cast(bbox_y1 AS string), ',"x2":', CASE WHEN detection_id % 43 = 0 THEN '1.5' ELSE cast(bbox_x2 AS string) END,
-            ',"y2":', cast(bbox_y2 AS string), '}}]}') END, CASE WHEN detection_id % 2 = 0 THEN concat(chr(10), '```') ELSE '' END) AS body FROM v_detection) t"""
+            ',"y2":', cast(bbox_y2 AS string), '}', CASE WHEN plate_text_raw IS NULL THEN '' ELSE concat(',"plate":{"detection_confidence":', CASE WHEN detection_id % 47 = 0 THEN '7' ELSE '0.5' END,
+            ',"text":"', plate_text_raw, '","text_raw":"', plate_text_raw, '","readable":', CASE WHEN detection_id % 5 = 0 THEN 'true' ELSE 'false' END, CASE WHEN detection_id % 53 = 0 THEN ',"shade":1' ELSE '' END,
+            ',"alternatives":[{"text":"', plate_text_raw, '"}],"bbox":{"x1":0.1,"y1":0.1,"x2":', CASE WHEN detection_id % 59 = 0 THEN '0.05' ELSE '0.2' END, ',"y2":0.2}}') END, '}]}') END, CASE WHEN detection_id % 2 = 0 THEN concat(chr(10), '```') ELSE '' END) AS body FROM v_detection) t"""
+
+
+BAD_PLATE = "(plate_text_raw IS NOT NULL AND (detection_id % 47 = 0 OR detection_id % 53 = 0 OR detection_id % 59 = 0))"
 
 
 @query(
     "parse_recognition_json",
-    """SELECT detection_id, CASE WHEN detection_id % 29 = 0 THEN 'not_json' WHEN detection_id % 23 = 0 THEN 'truncated_or_filtered' WHEN detection_id % 31 = 0 THEN 'not_an_object'
-        WHEN detection_id % 37 = 0 OR detection_id % 41 = 0 OR detection_id % 43 = 0 THEN 'schema' END AS problem,
-        CASE WHEN NOT (detection_id % 29 = 0 OR detection_id % 23 = 0 OR detection_id % 31 = 0 OR detection_id % 37 = 0 OR detection_id % 41 = 0 OR detection_id % 43 = 0)
-             THEN vehicle_type END AS vehicle_type FROM v_detection""",
+    f"""WITH j AS (SELECT *, CASE WHEN detection_id % 29 = 0 THEN 'not_json' WHEN detection_id % 23 = 0 THEN 'truncated_or_filtered' WHEN detection_id % 31 = 0 THEN 'not_an_object'
+        WHEN detection_id % 37 = 0 OR detection_id % 41 = 0 OR detection_id % 43 = 0 OR {BAD_PLATE} THEN 'schema' END AS problem FROM v_detection)
+    SELECT detection_id, problem, CASE WHEN problem IS NULL THEN vehicle_type END AS vehicle_type, CASE WHEN problem IS NULL THEN confidence END AS vehicle_confidence,
+        CASE WHEN problem IS NULL AND detection_id % 5 = 0 THEN plate_text_raw END AS plate_text, CASE WHEN problem IS NULL THEN plate_text_raw END AS alternative FROM j""",
 )
 def _(fx):
+    first = F.get("detections", 0)
     return ingest.parse_recognition_json(fx.sql(ANSWERS)).select(
-        "detection_id", "problem", F.col("detections")[0]["vehicle_type"].alias("vehicle_type")
+        "detection_id", "problem", first["vehicle_type"].alias("vehicle_type"), first["vehicle_confidence"].alias("vehicle_confidence"), first["plate"]["text"].alias("plate_text"),
+        F.get(first["plate"]["alternatives"], 0)["text"].alias("alternative"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plateflow import dims, providers
 from plateflow.fixtures import VIEWS
-from plateflow.operators.skew import shared_folder
+from plateflow.operators.skew import shared_folder, top_per_key
 from plateflow.plans.registry import query
 from plateflow.streaming import jobs as op
 
@@ -20,7 +20,7 @@ def _event_stream(fx) -> DataFrame:
 
 def _run(stream: DataFrame, fx, name: str, mode: str) -> DataFrame:
     """Run ``stream`` until its source is drained and return what the last state of the sink is:
-    everything appended, or the last complete result."""
+    everything appended, or the newest row per image."""
     folder = shared_folder(fx.spark, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -32,9 +32,9 @@ def _run(stream: DataFrame, fx, name: str, mode: str) -> DataFrame:
     )
     running.awaitTermination()
     out = fx.spark.read.parquet(f"{folder}/out")
-    if mode == "complete":
-        last = out.agg(F.max("epoch").alias("epoch"))
-        out = out.join(F.broadcast(last), "epoch")  # one row
+    if mode == "update":
+        # Each batch has the images it changed; the newest epoch of an image is its state.
+        out = top_per_key(out, ["image_id"], [F.col("epoch").desc()])
     return out.drop("epoch")
 
 
@@ -46,7 +46,7 @@ def _run(stream: DataFrame, fx, name: str, mode: str) -> DataFrame:
     FROM l LEFT JOIN d ON d.image_id = l.image_id""",
 )
 def _(fx):
-    return _run(op.stream_current_job(_event_stream(fx)), fx, "current-job", "complete")
+    return _run(op.stream_current_job(_event_stream(fx)), fx, "current-job", "update")
 
 
 # A result arrives up to ten minutes after its job was created and quotes a lease token that is
@@ -68,8 +68,10 @@ def _(fx):
     fx.v_job.select("job_id", "status", "lease_token", "lease_expires_at").write.parquet(f"{folder}/leases")
     _event_stream(fx).createOrReplaceTempView("job_stream")
     results = fx.spark.sql(RESULTS.format(delay=SPARK_DELAY, table="job_stream"))
-    op.stream_publish(results, f"{folder}/leases", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return op.published(fx.spark.read.parquet(f"{folder}/out")).select("image_id", "job_id", "payload")
+    # The same events once more: every result arrives again, later and with another payload.
+    again = results.withColumns({"finished_at": F.col("finished_at") + F.expr("INTERVAL 1 SECOND"), "payload": F.col("payload") + 1})
+    op.stream_publish(results.unionByName(again), f"{folder}/leases", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return op.current_results(fx.spark, f"{folder}/out").select("image_id", "job_id", "payload")
 
 
 DEADLINES = f"""WITH f AS (

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow import dims
+from plateflow.functions import expr
 
 
 def has_suffix(column: str, suffixes: Sequence[str]) -> Column:
@@ -108,57 +109,136 @@ def pending_sources(files: DataFrame, manifest: DataFrame, run: Mapping[str, str
 # ---- raw model answers ---------------------------------------------------------------------
 
 BOX = "struct<x1:double,y1:double,x2:double,y2:double>"
-_PLATE = (
-    f"bbox:{BOX}, quad:array<array<double>>, detection_confidence:double, ocr_confidence:double, text:string, text_raw:string, "
-    "readable:boolean, plate_format:string, region:string, ocr_engine:string, ocr_variant:string, rectified:boolean, "
-    "perspective_skew:double, status:string, crop_filename:string, rectified_crop_filename:string, "
-    "disagreement_positions:array<int>"
-)
-_DETECTION = (
-    "vehicle_type:string, manufacturer:string, model:string, license_plate:string, plate_readable:boolean, confidence:double, "
-    f"bbox:{BOX}, notes:string, vehicle_confidence:double, manufacturer_confidence:double, plate:struct<{_PLATE}>, "
-    f"extra_plates:array<struct<{_PLATE}>>, source_label:string, vehicle_type_source:string, vehicle_type_confidence:double, "
-    "evidence:array<map<string,string>>"
-)
-RESULT_SCHEMA = f"detections array<struct<{_DETECTION}>>"
-_FIELDS = (
-    "vehicle_type", "manufacturer", "model", "license_plate", "plate_readable", "confidence", "bbox", "notes",
-    "vehicle_confidence", "manufacturer_confidence", "plate", "extra_plates", "source_label", "vehicle_type_source",
-    "vehicle_type_confidence", "evidence",
-)
-MAX_DETECTIONS = 100
-
-
-def _detection_problem(d: Column) -> Column:
-    """True when one parsed detection breaks the result schema."""
-
-    def share(c: Column) -> Column:
-        return c.isNull() | c.between(0.0, 1.0)
-
-    box = d["bbox"]
-    boxed = (
-        box["x1"].between(0.0, 1.0) & box["y1"].between(0.0, 1.0) & box["x2"].between(0.0, 1.0) & box["y2"].between(0.0, 1.0)
-        & (box["x2"] > box["x1"]) & (box["y2"] > box["y1"])
+_PLATE = {
+    "bbox": BOX, "quad": "array<array<double>>", "detection_confidence": "double", "ocr_confidence": "double", "text": "string", "text_raw": "string",
+    "readable": "boolean", "plate_format": "string", "region": "string", "ocr_engine": "string", "ocr_variant": "string", "rectified": "boolean",
+    "perspective_skew": "double", "status": "string", "crop_filename": "string", "rectified_crop_filename": "string",
+    "alternatives": "array<map<string,string>>", "disagreement_positions": "array<int>",
+}
+_PLATE_TYPE = f"struct<{','.join(f'{name}:{kind}' for name, kind in _PLATE.items())}>"
+_DETECTION = {
+    "vehicle_type": "string", "manufacturer": "string", "model": "string", "license_plate": "string", "plate_readable": "boolean",
+    "confidence": "double", "bbox": BOX, "notes": "string", "vehicle_confidence": "double", "manufacturer_confidence": "double",
+    "plate": _PLATE_TYPE, "extra_plates": f"array<{_PLATE_TYPE}>", "source_label": "string", "vehicle_type_source": "string",
+    "vehicle_type_confidence": "double", "evidence": "array<map<string,string>>",
+}
+#: How long text may be.
+_PLATE_TEXT = {
+    "text": 64, "text_raw": 64, "plate_format": 40, "region": 60, "ocr_engine": 40, "ocr_variant": 40, "status": 60, "crop_filename": 255,
+    "rectified_crop_filename": 255,
+}
+_DETECTION_TEXT = {
+    "vehicle_type": 120, "manufacturer": 120, "model": 120, "license_plate": 64, "notes": 1000, "source_label": 60, "vehicle_type_source": 40,
+}
+RESULT_SCHEMA = f"detections array<struct<{','.join(f'{name}:{kind}' for name, kind in _DETECTION.items())}>>"
+MAX_DETECTIONS, MAX_EXTRA_PLATES, MAX_EVIDENCE, MAX_POSITIONS, MAX_SKEW = 100, 4, 12, 64, 10.0
+_OBJECTS = "array<map<string,string>>"
+
+
+def _share(c: Column, high: float = 1.0) -> Column:
+    return c.isNull() | c.between(0.0, high)
+
+
+def _boxed(box: Column) -> Column:
+    sides = [box[corner].between(0.0, 1.0) for corner in ("x1", "y1", "x2", "y2")]
+    return sides[0] & sides[1] & sides[2] & sides[3] & (box["x2"] > box["x1"]) & (box["y2"] > box["y1"])
+
+
+def _short(d: Column, lengths: Mapping[str, int]) -> Column:
+    good = F.lit(True)
+    for name, most in lengths.items():
+        good = good & (F.coalesce(F.length(expr.strip(d[name])), F.lit(0)) <= most)
+    return good
+
+
+def _at_most(c: Column, most: int) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)) <= most
+
+
+def _plate_good(plate: Column) -> Column:
+    """A typed plate keeps to the ranges and lengths of the schema."""
+    return (
+        _boxed(plate["bbox"]) & plate["detection_confidence"].between(0.0, 1.0) & _share(plate["ocr_confidence"])
+        & _share(plate["perspective_skew"], MAX_SKEW) & _short(plate, _PLATE_TEXT)
+        & _at_most(plate["alternatives"], MAX_EVIDENCE) & _at_most(plate["disagreement_positions"], MAX_POSITIONS)
     )
-    named = F.length(F.trim(d["vehicle_type"])).between(1, 120)
-    text = F.coalesce(F.trim(d["license_plate"]), F.lit(""))
+
+
+def _detection_good(d: Column) -> Column:
+    """The same for a typed detection."""
     readable = F.coalesce(d["plate_readable"], F.lit(False))
+    return (
+        (F.length(expr.strip(d["vehicle_type"])) > 0) & _boxed(d["bbox"]) & _short(d, _DETECTION_TEXT)
+        & _share(d["confidence"]) & _share(d["vehicle_confidence"]) & _share(d["manufacturer_confidence"]) & _share(d["vehicle_type_confidence"])
+        & (~readable | expr.clean_plate(d["license_plate"]).isNotNull())
+        & (d["plate"].isNull() | _plate_good(d["plate"]))
+        & _at_most(d["extra_plates"], MAX_EXTRA_PLATES) & ~F.coalesce(F.exists(d["extra_plates"], lambda p: ~F.coalesce(_plate_good(p), F.lit(False))), F.lit(False))
+        & _at_most(d["evidence"], MAX_EVIDENCE)
+    )
+
+
+def _as_written(item: Column, typed: Column, kinds: Mapping[str, str]) -> Column:
+    """Every field of the written object (a map to JSON text) is known, and none was lost to its type."""
+    good = F.size(F.array_except(F.map_keys(item), F.array(*[F.lit(name) for name in kinds]))) == 0
+    for name in kinds:
+        good = good & (item[name].isNull() | typed[name].isNotNull())
+    return good
+
+
+def _plate_as_written(item: Column, typed: Column) -> Column:
+    return _as_written(item, typed, _PLATE) & _known_corners(item["bbox"])
+
+
+def _known_corners(box: Column) -> Column:
+    corners = F.array(*[F.lit(corner) for corner in ("x1", "y1", "x2", "y2")])
+    return F.size(F.array_except(F.coalesce(F.json_object_keys(box), F.array(F.lit("none"))), corners)) == 0
+
+
+def _wrong(pair: Column) -> Column:
+    """True when a detection, as written and as typed, breaks the schema."""
+    item, d = pair["_items"], pair["_parsed"]
+    plate = F.from_json(item["plate"], "map<string,string>")
+    extra = F.zip_with(F.from_json(item["extra_plates"], _OBJECTS), d["extra_plates"], _plate_as_written)
     good = (
-        named & boxed & share(d["confidence"]) & share(d["vehicle_confidence"]) & share(d["manufacturer_confidence"])
-        & share(d["vehicle_type_confidence"]) & (~readable | (text != "")) & (F.length(text) <= 64)
-        & (F.coalesce(F.size(d["extra_plates"]), F.lit(0)) <= 4) & (F.coalesce(F.size(d["evidence"]), F.lit(0)) <= 12)
+        _as_written(item, d, _DETECTION) & _known_corners(item["bbox"]) & (item["plate"].isNull() | _plate_as_written(plate, d["plate"]))
+        & (item["extra_plates"].isNull() | ~F.exists(extra, lambda fine: ~F.coalesce(fine, F.lit(False))))
     )
-    return ~F.coalesce(good, F.lit(False))
+    return ~F.coalesce(good & _detection_good(d), F.lit(False))
+
+
+def _normal_plate(plate: Column) -> Column:
+    """Stripped text; a plate that is not readable has none."""
+    fields = {name: expr.strip(plate[name]) if name in _PLATE_TEXT else plate[name] for name in _PLATE}
+    fields["text"] = F.when(F.coalesce(plate["readable"], F.lit(False)), fields["text"])
+    fields["status"] = F.coalesce(fields["status"], F.lit("unknown"))
+    for name in ("readable", "rectified"):
+        fields[name] = F.coalesce(plate[name], F.lit(False))
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def _normal(d: Column) -> Column:
+    """Stripped text, no plate text without a readable plate, and scores that fill each other."""
+    fields = {name: expr.strip(d[name]) if name in _DETECTION_TEXT else d[name] for name in _DETECTION}
+    readable = F.coalesce(d["plate_readable"], F.lit(False))
+    fields |= {
+        "plate_readable": readable,
+        "license_plate": F.when(readable, expr.clean_plate(d["license_plate"])),
+        "confidence": F.coalesce(d["confidence"], d["vehicle_confidence"]),
+        "vehicle_confidence": F.coalesce(d["vehicle_confidence"], d["confidence"]),
+        "plate": F.when(d["plate"].isNotNull(), _normal_plate(d["plate"])),
+        "extra_plates": F.transform(d["extra_plates"], _normal_plate),
+    }
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
 
 
 def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
     """Model-server answers to ``detections`` plus ``problem`` (null = accepted).
 
     The message content, a string or a list of text parts, is freed of a Markdown fence and must be
-    one JSON object of the result schema. A bad answer gets a problem and null detections; it never
-    passes as an image without detections.
+    one JSON object of the result schema, down to the fields of plates and boxes, their types, ranges and
+    the lengths of their text. A bad answer gets a problem and null detections; it never passes as an
+    image without detections.
     """
-    answer = F.try_parse_json(column)
     kind = F.schema_of_variant(F.try_variant_get("_answer", "$.choices[0].message.content", "variant"))
     parts = F.try_variant_get("_answer", "$.choices[0].message.content", "array<struct<text:string>>")
     content = F.when(
@@ -167,9 +247,7 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
     ).when(F.col("_kind") == "STRING", F.try_variant_get("_answer", "$.choices[0].message.content", "string"))
     bare = F.regexp_replace(F.regexp_replace(F.trim("_content"), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
     # The items as maps show every field they have, also those the typed parse would pass over.
-    items = F.from_json("_bare", "detections array<map<string,string>>")["detections"]
-    known = F.array(*[F.lit(name) for name in _FIELDS])
-    unknown = F.exists("_items", lambda item: F.size(F.array_except(F.map_keys(item), known)) > 0)
+    items = F.from_json("_bare", f"detections {_OBJECTS}")["detections"]
     parsed = F.from_json("_bare", RESULT_SCHEMA)["detections"]
     problem = (
         F.when(F.col("_answer").isNull(), "not_json")
@@ -177,11 +255,11 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
         .when(F.col("_content").isNull(), "no_content")
         .when(F.col("_names").isNull(), "not_an_object")
         .when(F.array_join("_names", ",") != "detections", "schema")
-        .when(F.col("_items").isNull() | (F.size("_items") > MAX_DETECTIONS) | F.coalesce(unknown, F.lit(True)), "schema")
-        .when(F.col("_parsed").isNull() | F.coalesce(F.exists("_parsed", _detection_problem), F.lit(True)), "schema")
+        .when(F.col("_items").isNull() | F.col("_parsed").isNull() | (F.size("_items") > MAX_DETECTIONS), "schema")
+        .when(F.coalesce(F.exists(F.arrays_zip("_items", "_parsed"), _wrong), F.lit(True)), "schema")
     )
     return (
-        raw.withColumn("_answer", answer)
+        raw.withColumn("_answer", F.try_parse_json(column))
         .withColumn("_finish", F.try_variant_get("_answer", "$.choices[0].finish_reason", "string"))
         .withColumn("_kind", kind)
         .withColumn("_content", content)
@@ -190,6 +268,6 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
         .withColumn("_items", items)
         .withColumn("_parsed", parsed)
         .withColumn("problem", problem)
-        .withColumn("detections", F.when(F.col("problem").isNull(), F.col("_parsed")))
+        .withColumn("detections", F.when(F.col("problem").isNull(), F.transform("_parsed", _normal)))
         .drop("_answer", "_finish", "_kind", "_content", "_bare", "_names", "_items", "_parsed")
     )

@@ -50,34 +50,54 @@ def stream_current_job(events: DataFrame) -> DataFrame:
 # ---- publication ---------------------------------------------------------------------------
 
 
-def valid_publications(results: DataFrame, leases: DataFrame) -> DataFrame:
-    """The result each image may be replaced with: newest successful one whose lease token is the
-    job's current one and had not expired when it finished.
+def fenced(results: DataFrame, leases: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Results that may be published: successful ones that quote the current token of a lease that had not
+    expired when they finished. A lease is good for one publication, so of several results of a job the
+    first one finished counts, and none once the job is in ``done``.
 
     ``results`` has job_id, image_id, lease_token, status, finished_at and payload columns;
-    ``leases`` has job_id, status, lease_token and lease_expires_at. Stale, failed and duplicate
-    results drop out.
+    ``leases`` has job_id, status, lease_token and lease_expires_at.
     """
     current = leases.filter(F.col("status") == "processing").select(
         "job_id", F.col("lease_token").alias("_token"), F.col("lease_expires_at").alias("_until")
     )
-    fenced = (
+    valid = (
         results.filter(F.col("status") == "completed").join(current, "job_id")
         .filter((F.col("lease_token") == F.col("_token")) & (F.col("_until") > F.col("finished_at")))
         .drop("_token", "_until")
     )
-    return top_per_key(fenced, ["image_id"], [F.col("finished_at").desc(), F.col("job_id").desc()])
+    if done is not None:
+        valid = valid.join(done.select("job_id").distinct(), "job_id", "left_anti")
+    rest = [F.col(name).asc() for name in sorted(valid.columns) if name not in ("job_id", "finished_at")]
+    return top_per_key(valid, ["job_id"], [F.col("finished_at").asc(), *rest])
+
+
+def valid_publications(results: DataFrame, leases: DataFrame) -> DataFrame:
+    """The result each image may be replaced with: of those :func:`fenced` lets pass, the one finished last."""
+    return published(fenced(results, leases))
 
 
 def stream_publish(results: DataFrame, leases_path: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Publish results batch by batch. Every batch owns one ``epoch`` folder and overwrites it when
-    it is retried, so a repeated or recovered batch changes nothing and older epochs are never
-    rewritten. :func:`published` gives the current result of each image."""
+    """Publish results batch by batch. Every batch writes what it publishes to ``log/epoch=n``, which says
+    which leases are used up, and the results then in force, one per image, to ``current/epoch=n``. It reads only
+    what earlier epochs wrote and overwrites its own folders when it is retried, so a repeated
+    batch, or a result that arrives again in a later one, changes nothing. :func:`current_results` reads the answer.
+    """
     spark = results.sparkSession
 
     def publish(batch: DataFrame, epoch: int) -> None:
         leases = spark.read.parquet(leases_path)
-        valid_publications(batch, leases).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+        log = f"{target}/log"
+        if not epoch:
+            fresh = fenced(batch, leases)
+            fresh.write.mode("overwrite").parquet(f"{log}/epoch=0")
+            published(spark.read.parquet(f"{log}/epoch=0")).write.mode("overwrite").parquet(f"{target}/current/epoch=0")
+            return
+        done = spark.read.parquet(log).filter(F.col("epoch") < epoch)
+        fenced(batch, leases, done).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
+        new = spark.read.parquet(f"{log}/epoch={epoch}")
+        old = spark.read.parquet(f"{target}/current/epoch={epoch - 1}")
+        published(old.unionByName(new)).write.mode("overwrite").parquet(f"{target}/current/epoch={epoch}")
 
     return (
         results.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -89,6 +109,12 @@ def published(publications: DataFrame) -> DataFrame:
     return top_per_key(publications, ["image_id"], [F.col("finished_at").desc(), F.col("job_id").desc()])
 
 
+def current_results(spark: SparkSession, target: str) -> DataFrame:
+    """What :func:`stream_publish` has in force: the newest epoch, one row per image."""
+    current = spark.read.parquet(f"{target}/current")
+    return current.join(F.broadcast(current.agg(F.max("epoch").alias("epoch"))), "epoch").drop("epoch")
+
+
 # ---- deadlines -----------------------------------------------------------------------------
 
 def job_deadlines(started: DataFrame, finished: DataFrame, seconds: int = 300, max_attempts: int = 3,

@@ -36,7 +36,9 @@ def test_large_image_is_exported_in_parts(spark):
     dets = spark.createDataFrame([det(i) for i in range(57)] + [det(100, 2)], DET)
     out = results.export_nested(images, spark.createDataFrame([], JOB), dets, record_rows=10).collect()
     found = [d.detection_id for row in out if row.image_id == 1 for d in row.detections]
-    assert sorted(found) == list(range(57)) and len([row for row in out if row.image_id == 1]) > 3
+    assert sorted(found) == list(range(57))
+    parts = {row.part: [d.detection_id for d in row.detections] for row in out if row.image_id == 1}
+    assert [x for part in sorted(parts) for x in parts[part]] == list(range(57)) and {len(parts[p]) for p in range(5)} == {10}
     assert [(row.part, len(row.detections)) for row in out if row.image_id == 3] == [(0, 0)]
 
 
@@ -73,7 +75,7 @@ def patch(spark, **values):
 def test_text_correction(spark):
     row, bad = patch(spark, license_plate=("string", " 456  xyz 02 "))
     assert bad is None and (row.license_plate, row.plate_readable, row.plate_status, row.plate_ocr_confidence) == ("456 XYZ 02", True, "manually_corrected", None)
-    assert json.loads(row.extra) == {"manually_corrected": "true"}
+    assert json.loads(row.extra) == {"manually_corrected": True} and row.vehicle_confidence == 0.5
     row, bad = patch(spark, plate_readable=("boolean", False))
     assert (row.license_plate, row.plate_readable) == (None, False)
 
@@ -83,11 +85,23 @@ def test_bad_patches_are_rejected_whole(spark):
         ({"vehicle_type": ("string", None)}, "vehicle_type cannot be null"),
         ({"vehicle_type": ("string", "loader"), "plate_readable": ("boolean", True), "license_plate": ("string", " ")}, "readable plate requires text"),
         ({"confidence": ("double", 1.5)}, "confidence out of range"),
+        ({"vehicle_type": ("string", "\t")}, "vehicle_type cannot be empty"),
     ):
         row, bad = patch(spark, **values)
         assert bad.reason == reason and (row.vehicle_type, row.license_plate, row.extra) == ("truck", "123 ABC 10", None)
 
 
+def test_extra_keeps_its_types_and_patches_do_not_double_rows(spark):
+    dets = spark.createDataFrame([(*det(i), '{"a":[1,4],"e":[{"t":"x","n":null}],"manually_corrected":false}') for i in (1, 2, 3)], DET + ", extra string")
+    dets = dets.withColumn("bbox_x2", F.when(F.col("detection_id") == 3, 0.05).otherwise(F.col("bbox_x2")))
+    patches = spark.createDataFrame([(1, True, "a"), (2, True, "b"), (2, True, "c"), (3, True, "d")], "detection_id bigint, set_model boolean, model string")
+    corrected, rejected = results.apply_corrections(dets, patches)
+    rows = {row.detection_id: row for row in corrected.collect()}
+    assert len(rows) == corrected.count() == 3 and rows[2].model is None
+    assert json.loads(rows[1].extra) == {"a": [1, 4], "e": [{"t": "x", "n": None}], "manually_corrected": True}
+    assert {row.detection_id: row.reason for row in rejected.collect()} == {2: "several patches for one detection", 3: "corrected row is not valid"}
+
+
 def test_type_correction_is_manual(spark):
     row, _ = patch(spark, vehicle_type=("string", " loader "))
     assert (row.vehicle_type, row.vehicle_type_source, row.license_plate) == ("loader", "manual", "123 ABC 10")
@@ -121,6 +135,9 @@ def answer(content, finish="stop"):
 BODY = {"detections": [{"vehicle_type": "truck", "confidence": 0.5, "bbox": {"x1": 0, "y1": 0, "x2": 1, "y2": 1}}]}
 
 
+PLATE = {"bbox": {"x1": 0.1, "y1": 0.1, "x2": 0.2, "y2": 0.2}, "detection_confidence": 0.5, "text": " a1 ", "alternatives": [{"text": "A1", "score": 0.5}]}
+
+
 def broken(**changes):
     return json.dumps({"detections": [{**BODY["detections"][0], **changes}]})
 
@@ -131,12 +148,25 @@ def broken(**changes):
     (answer("[]"), "not_an_object"), (answer("sorry"), "not_an_object"), (answer("{}"), "schema"), (answer(json.dumps({**BODY, "x": 1})), "schema"),
     (answer(broken(colour="red")), "schema"), (answer(broken(confidence=2)), "schema"), (answer(broken(plate_readable=True)), "schema"),
     (answer(broken(bbox={"x1": 0.5, "y1": 0, "x2": 0.5, "y2": 1})), "schema"), (answer(broken(vehicle_type="")), "schema"),
+    (answer(broken(bbox={"x1": 0, "y1": 0, "x2": 1, "y2": 1, "z": 1})), "schema"), (answer(broken(plate={**PLATE, "shade": 1})), "schema"),
+    (answer(broken(plate={k: v for k, v in PLATE.items() if k != "bbox"})), "schema"), (answer(broken(plate={**PLATE, "bbox": {"x1": 0.5, "y1": 0, "x2": 0.4, "y2": 1}})), "schema"),
+    (answer(broken(plate={**PLATE, "detection_confidence": 7})), "schema"), (answer(broken(manufacturer="m" * 121)), "schema"), (answer(broken(notes="n" * 1001)), "schema"),
+    (answer(broken(plate={**PLATE, "alternatives": [{}] * 13})), "schema"), (answer(broken(vehicle_type=" \t\u00a0 ")), "schema"), (answer(broken(extra_plates=[{**PLATE, "detection_confidence": 7}])), "schema"),
+    (answer(broken(plate=PLATE, extra_plates=[PLATE], evidence=[{"text": "K"}])), None), (answer(broken(confidence="x")), "schema"), (answer(broken(plate=None, notes=None)), None),
 ])
 def test_answers(spark, raw, problem):
     row = ingest.parse_recognition_json(spark.createDataFrame([(raw,)], "raw string")).first()
     assert row.problem == problem and (row.detections is None) == (problem is not None)
 
 
+def test_accepted_answers_are_normalised(spark):
+    body = broken(license_plate=" x 1 ", plate=PLATE, extra_plates=[{**PLATE, "readable": True}])
+    found = ingest.parse_recognition_json(spark.createDataFrame([(answer(body),)], "raw string")).select("problem", "detections", F.col("detections")[0]["plate"]["alternatives"][0]["text"].alias("alt"))
+    d = found.select("problem", "alt", *[F.col("detections")[0][n].alias(n) for n in ("license_plate", "vehicle_confidence")], F.col("detections")[0]["plate"]["text"].alias("text"),
+                     F.col("detections")[0]["extra_plates"][0]["text"].alias("other")).first()
+    assert (d.problem, d.license_plate, d.vehicle_confidence, d.text, d.other, d.alt) == (None, None, 0.5, None, "a1", "A1")
+
+
 def test_listing_labels_and_resume(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("b.JPG", "a.png", "notes.txt", "sub/c.webp"):

@@ -17,9 +17,9 @@ LEASE = "job_id bigint, status string, lease_token bigint, lease_expires_at time
 def test_new_images_are_ingested_once(spark, tmp_path):
     folder, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
     folder.mkdir()
-    (folder / "a.jpg").write_bytes(b"1")
+    (folder / "a.JPG").write_bytes(b"1")
     jobs.stream_new_images(spark, str(folder), target, checkpoint).awaitTermination()
-    (folder / "b.png").write_bytes(b"22")
+    (folder / "b.Png").write_bytes(b"22")
     (folder / "c.txt").write_bytes(b"3")
     for _ in range(2):
         jobs.stream_new_images(spark, str(folder), target, checkpoint).awaitTermination()
@@ -30,13 +30,13 @@ def test_stale_worker_cannot_publish(spark, tmp_path):
     leases = spark.createDataFrame([(1, "processing", 7, NOON), (2, "processing", 3, NOON), (3, "completed", 5, NOON), (4, "processing", 4, NOON)], LEASE)
     before, after = NOON - timedelta(minutes=1), NOON + timedelta(minutes=1)
     first = [(1, 10, 6, "completed", before, "stale token"), (1, 10, 7, "completed", before, "good"), (2, 20, 3, "completed", after, "expired")]
-    second = [(3, 10, 5, "completed", before, "job no longer processing"), (4, 10, 4, "failed", before, "failed"), (1, 10, 7, "completed", before, "good")]
+    second = [(3, 10, 5, "completed", before, "job no longer processing"), (4, 10, 4, "failed", before, "failed"), (1, 10, 7, "completed", NOON - timedelta(seconds=5), "a second result")]
     inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
     leases.write.parquet(str(tmp_path / "leases"))
     for batch in (first, second):
         spark.createDataFrame(batch, RESULT).coalesce(1).write.mode("append").parquet(inbox)
         jobs.stream_publish(jobs.read_events(spark, inbox, RESULT), str(tmp_path / "leases"), out, str(tmp_path / "cp")).awaitTermination()
-    assert [(row.image_id, row.payload) for row in jobs.published(spark.read.parquet(out)).collect()] == [(10, "good")]
+        assert [(row.image_id, row.payload) for row in jobs.current_results(spark, out).collect()] == [(10, "good")]
 
 
 def plan(df):
