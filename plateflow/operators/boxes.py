@@ -281,7 +281,7 @@ def combine_detections(vehicles: DataFrame, orphans: DataFrame, bar: float = dim
         F.lit(True).alias("plate_readable"),
         F.lit(None).cast("double").alias("confidence"),
         "x1", "y1", "x2", "y2",
-        F.lit("Plate read but no vehicle box contained it; bbox is the plate itself.").alias("notes"),
+        F.lit(dims.ORPHAN_NOTE).alias("notes"),
     )
     return vehicles.unionByName(reported, allowMissingColumns=True)
 

@@ -324,7 +324,7 @@ def best_variant_read(branches: DataFrame, bar: float = dims.VARIANT_BAR, keys:
             F.col("_best.branch_idx").alias("branch_idx"),
             "branches",
             "failures",
-            F.when(F.col("failures") == F.col("branches"), "All OCR branches failed").alias("error"),
+            F.when(F.col("failures") == F.col("branches"), dims.BRANCHES_FAILED).alias("error"),
         )
     )
 

@@ -7,28 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plateflow import dims
+from plateflow.dims import BOX_COLUMNS, DETECTION_COLUMNS, FLAT_COLUMNS, PLATE_BOX_COLUMNS, PLATE_COLUMNS
 from plateflow.functions import expr
 from plateflow.operators.skew import top_per_key
 
 #: Detections per exported record; the next ones of an image are in its next part.
 RECORD_ROWS = 1000
 
-DETECTION_COLUMNS = (
-    "detection_id", "vehicle_type", "manufacturer", "model", "license_plate", "plate_readable", "confidence",
-    "vehicle_confidence", "manufacturer_confidence", "source_label", "vehicle_type_source", "vehicle_type_confidence",
-)
-BOX_COLUMNS = ("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
-PLATE_BOX_COLUMNS = ("plate_bbox_x1", "plate_bbox_y1", "plate_bbox_x2", "plate_bbox_y2")
-PLATE_COLUMNS = (
-    "plate_detection_confidence", "plate_ocr_confidence", "plate_text_raw", "plate_format", "plate_region",
-    "plate_ocr_engine", "plate_ocr_variant", "plate_rectified", "plate_perspective_skew", "plate_status",
-    "plate_crop_filename", "plate_rectified_crop_filename",
-)
-IMAGE_COLUMNS = (
-    "image_id", "filename", "status", "latest_job_id", "result_job_id", "provider", "recognition_model", "is_mock", "error_message",
-)
-FLAT_COLUMNS = (*IMAGE_COLUMNS, *DETECTION_COLUMNS, *BOX_COLUMNS, *PLATE_BOX_COLUMNS, *PLATE_COLUMNS)
-
 _TYPES = {
     "plate_readable": "boolean", "plate_rectified": "boolean", "extra": "string",
     "confidence": "double", "vehicle_confidence": "double", "manufacturer_confidence": "double",

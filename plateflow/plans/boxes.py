@@ -242,7 +242,7 @@ def _(fx):
 
 ORPHANS = """SELECT image_id, plate_idx, x1, y1, x2, y2, plate_idx % 3 <> 0 AS readable, confidence AS ocr_confidence,
     CASE WHEN plate_idx % 3 <> 0 THEN concat('P', cast(image_id AS string)) END AS text FROM v_plate_box WHERE source = 'frame'"""
-NOTE = "Plate read but no vehicle box contained it; bbox is the plate itself."
+NOTE = dims.ORPHAN_NOTE
 
 
 @query(

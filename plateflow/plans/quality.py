@@ -229,6 +229,13 @@ def _(fx):
 
 # ---- what comes in -------------------------------------------------------------------------
 
+
+@query("scan_image_listing")
+def _(fx):
+    """The files of the test tables themselves; SQL over the tables cannot see them."""
+    listed = ingest.scan_image_listing(fx.spark, fx.sf_dir, recursive=True, suffixes=(".PARQUET",))
+    return listed.select("name", "length")
+
 UPLOADS = """SELECT image_id, cast(floor(image_id / 10) AS bigint) AS batch_id, CASE WHEN image_id % 13 = 0 THEN concat(mime_type, '; q=1') ELSE mime_type END AS mime_type,
     CASE WHEN image_id % 70 = 0 THEN 0 ELSE file_size END AS file_size,
     CASE WHEN image_id % 60 = 0 THEN NULL WHEN image_id % 45 = 0 THEN 'image/webp' ELSE mime_type END AS actual_type,

@@ -49,6 +49,15 @@ def _(fx):
     return _run(op.stream_current_job(_event_stream(fx)), fx, "current-job", "update")
 
 
+@query("stream_new_images")
+def _(fx):
+    """The files of the test tables, ingested by two runs of the stream; the second finds nothing new."""
+    folder = shared_folder(fx.spark, "new-images")
+    for _ in range(2):
+        op.stream_new_images(fx.spark, fx.sf_dir, f"{folder}/out", f"{folder}/checkpoint", (".PARQUET",)).awaitTermination()
+    return fx.spark.read.parquet(f"{folder}/out").select("path", "length")
+
+
 # A result arrives up to ten minutes after its job was created and quotes a lease token that is
 # sometimes an old one; leases run for six minutes.
 RESULTS = """SELECT job_id, image_id, CASE WHEN job_id % 8 = 0 THEN lease_token + 1 ELSE lease_token END AS lease_token,

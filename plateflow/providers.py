@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from plateflow import dims
+
 #: bytes, path -> list of detections (dicts of the result schema)
 Provider = Callable[[bytes, str], list[dict]]
 
@@ -46,10 +48,10 @@ def recognise(images: DataFrame, provider: str = "mock", factory: Callable[[], P
                     found = json.dumps(recogniser(content, path))
                     rows.append((path, provider, mock, "completed", None, found))
                 except TimeoutError:
-                    rows.append((path, provider, mock, "failed", "Processing deadline exceeded", None))
+                    rows.append((path, provider, mock, "failed", dims.DEADLINE_EXCEEDED, None))
                 except Exception as error:
                     # Only the kind of error is kept: messages may quote paths or plates.
-                    rows.append((path, provider, mock, "failed", f"Processing failed ({type(error).__name__})", None))
+                    rows.append((path, provider, mock, "failed", f"{dims.PROCESSING_FAILED} ({type(error).__name__})", None))
             yield pd.DataFrame(rows, columns=["path", "provider", "is_mock", "status", "error_message", "detections"])
 
     return images.select("path", "content").mapInPandas(run, RESULT_DDL)

@@ -1,5 +1,7 @@
 """Structured Streaming over job events. Each stream has a batch twin with the same answer."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,14 +20,15 @@ EVENT_SCHEMA = (
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def stream_new_images(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
+def stream_new_images(spark: SparkSession, folder: str, target: str, checkpoint: str,
+                      suffixes: Sequence[str] = dims.IMAGE_SUFFIXES) -> StreamingQuery:
     """Ingest the listing of new image files once; a restarted run goes on where it stopped.
 
     Files seen before are remembered in the checkpoint, so running twice adds nothing.
     """
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-        .load(folder).filter(has_suffix("path", dims.IMAGE_SUFFIXES)).select("path", "length", F.col("modificationTime").alias("modified_at"))
+        .load(folder).filter(has_suffix("path", suffixes)).select("path", "length", F.col("modificationTime").alias("modified_at"))
     )
     return (
         files.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)

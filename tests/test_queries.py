@@ -1,6 +1,7 @@
 """Every registered query against its check SQL, on the smallest tables."""
 
 import math
+from pathlib import Path
 
 import pytest
 
@@ -23,8 +24,18 @@ def table(columns, rows):
     return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
+#: Listings of files, which SQL over the tables cannot see.
+LISTINGS = {"scan_image_listing", "stream_new_images"}
+
+
 def test_every_query_has_a_check():
-    assert set(plans.queries()) == set(CHECKED)
+    assert set(plans.queries()) == {*CHECKED, *LISTINGS}
+
+
+@pytest.mark.parametrize("name", sorted(LISTINGS))
+def test_listings_match_the_folder(spark, name):
+    got = {(row[0].rsplit("/", 1)[-1], row[1]) for row in plans.queries()[name](spark, SF).collect()}
+    assert got == {(path.name, path.stat().st_size) for path in Path(SF).rglob("*.parquet")}
 
 
 @pytest.mark.parametrize("name", CHECKED)
