@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm.common import schema, staged
@@ -133,26 +133,19 @@ def parse(record: bytes) -> dict:
     }
 
 
-def _digests(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads = [(x.as_py() or "").encode("utf-8", "replace") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())],
-                names=["page_id", "digest", "bytes"],
-            )
-
-    return pages.select("page_id", "html").mapInArrow(run, schema("page_id bigint, digest string, bytes bigint"))
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
 
 
 def revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``(page_id, refers_to)`` of the pages whose payload a page with a larger id has as well. The largest
+    """``(page_id, digest, refers_to)`` of the pages whose payload a page with a larger id has as well. The largest
     id per digest comes from a partial aggregation; payloads are not shuffled."""
-    seen = staged(_digests(pages).filter(F.col("bytes") >= least_bytes).select("page_id", "digest"), "digests")
+    large = pages.filter(F.length(_payload()) >= least_bytes)
+    seen = staged(large.select("page_id", F.sha1(_payload()).alias("digest")), "digests")
     last = staged(
         seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("_low")).filter("_low < refers_to").drop("_low"), "last"
     )
-    return seen.join(last, "digest").filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return seen.join(last, "digest").filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -165,7 +158,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = REVISIT_BYT
     Pages with equal payloads of ``least_bytes`` or more: the largest page_id is a response, the
     others revisit it; rows that share that page_id are all responses. A null page_id is a response.
     """
-    typed = pages.select("page_id", "url", "html").join(revisits(pages, least_bytes), "page_id", "left")
+    keyed = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(_payload()))
+    typed = keyed.join(revisits(pages, least_bytes), ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()

@@ -48,6 +48,10 @@ def test_warc_round_trip(spark, rows, tmp_path):
         assert (r["record_type"], r["refers_to"]) == (("response", None) if last[text or ""] == page_id else ("revisit", last[text or ""]))
         assert (bytes(r["payload"]) if r["payload"] is not None else None) == (data if r["record_type"] == "response" else None)
     assert got[0]["url"] == "u0\nv"
+    twice = warc.write_archives(rows("page_id bigint, url string, html string", [(1, "a", "x"), (1, "a", "y"), (2, "a", "x"), (2, "a", "x")]), str(tmp_path / "twice"))
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_archives(twice).collect()), key=str) == [
+        (1, "response", None), (1, "revisit", 2), (2, "response", None), (2, "response", None),
+    ]
     files = sorted((tmp_path / "out").iterdir())
     assert {f.name.split(".", 1)[1] for f in files} == {"warc.gz", "warc.gz.idx"}
     assert sum(gzip.open(f).read().count(b"WARC/1.1\r\n") for f in files if f.name.endswith("gz")) == 9
