@@ -134,3 +134,27 @@ def test_main_vehicle_and_quads(spark):
     assert (row.ordered, row.tlx, row.tly, row.brx, row.bry) == (True, 0.0, 0.0, 100.0, 20.0)
     flat = spark.createDataFrame([([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (3.0, 0.0)],), ([(0.0, 0.0), (10.0, 0.0), (5.0, 2.0), (5.0, 10.0)],)], "points array<struct<x:double,y:double>>")
     assert [row.ordered for row in geometry.order_corners(flat).collect()] == [False, False]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 10}])
+def test_plates_without_a_centre_and_images_of_plates(spark, sizes):
+    """Null corners, and an image with few boxes and many plates, answer alike on both paths."""
+    vehicles = spark.createDataFrame([(1, 0, 0, 0, 50, 50, 0.9), (1, 1, 0, 0, 20, 20, 0.9)], BOX)
+    plates = spark.createDataFrame(
+        [(1, i, i, i, i + 2, i + 2, 0.5) for i in range(60)] + [(1, 99, None, 5, 6, 7, 0.5), (2, 0, None, None, None, None, 0.5)], BOX
+    ).withColumnRenamed("box_idx", "plate_idx")
+    got = {(row.image_id, row.plate_idx): row.box_idx for row in boxes.assign_plates(plates, vehicles, **sizes).collect()}
+    assert got == {**{(1, i): 1 if i < 20 else 0 if i < 50 else -1 for i in range(60)}, (1, 99): -1, (2, 0): -1}
+
+
+def test_tied_priorities_are_refused(spark):
+    df = spark.createDataFrame([(1, 0, i, 0, i + 5, 5, 0.5) for i in range(40)], BOX)
+    with pytest.raises(ValueError):
+        suppress.suppress_vehicles(df, group_rows=10, chunk=20)
+
+
+def test_frames_of_several_sizes(spark):
+    raw = spark.createDataFrame([(1, 0, 0.9, "car", 0.5, 0.5, 0.5, 0.5, 100, 80), (2, 0, 0.9, "car", 0.5, 0.5, 0.5, 0.5, 400, 200)],
+                                "image_id bigint, box_idx bigint, confidence double, coco_label string, cx double, cy double, bw double, bh double, w int, h int")
+    rows = boxes.decode_boxes(raw, F.col("w"), F.col("h")).collect()
+    assert {row.image_id: (row.x1, row.y1, row.x2, row.y2) for row in rows} == {1: (25, 20, 75, 60), 2: (100, 50, 300, 150)}

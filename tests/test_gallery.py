@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from plateflow.operators import badges, gallery
@@ -104,3 +105,24 @@ def test_type_precedence(spark, badge, score, match, margin, reason, answer):
     found = spark.createDataFrame([(1, match, 0.87, margin, reason)], "image_id bigint, vehicle_type string, similarity double, margin double, reason string")
     row = badges.resolve_types(vehicles, read_, found).first()
     assert (row.vehicle_type, row.vehicle_type_source, row.gallery_status) == answer
+
+
+@pytest.mark.parametrize("sizes", [{"block_rows": 3}, {"block_rows": 3, "broadcast_bytes": 0}])
+def test_tiles_do_not_change_the_answer(spark, monkeypatch, sizes):
+    """Blocks and tiles smaller than the gallery, with ties and exclusions, on both paths."""
+    rng = random.Random(9)
+    vectors = [unit(*(rng.choice((-1.0, 0.5, 1.0)) for _ in range(4))) for _ in range(60)]
+    refs = spark.createDataFrame([(i, f"n{i % 7}", f"c{i % 3}", "site", v) for i, v in enumerate(vectors)], REF)
+    queries = spark.createDataFrame([(i, f"n{i % 7}", v) for i, v in enumerate(vectors)], QUERY)
+    want = {}
+    for i, q in enumerate(vectors):
+        scored = [(-round(sum(float(np.float32(a)) * float(np.float32(b)) for a, b in zip(q, r)), 9), j) for j, r in enumerate(vectors) if j % 7 != i % 7]
+        want[i] = [j for _, j in sorted(scored)[:5]]
+    monkeypatch.setattr(gallery, "TILE_QUERIES", 2)
+    monkeypatch.setattr(gallery, "TILE_REFS", 5)
+    got = {}
+    for row in gallery.cosine_candidates(queries, refs, exclude_same=[("name", "name")], **sizes).orderBy("query_id", "neighbour_rank").collect():
+        got.setdefault(row.query_id, []).append(row.ref_id)
+    assert got == want
+    classes = gallery.score_blocks(queries, refs, exclude_same=[("name", "name")], **sizes).collect()
+    assert sum(row.refs_scored for row in classes) == sum(j % 7 != i % 7 for i in range(60) for j in range(60))
