@@ -18,21 +18,20 @@ FEATURES, DOMAINS = 256, 32
 ROUNDS, TOLERANCE, WRITE_EVERY = 150, 1e-6, 10
 
 
-def features(text: Column) -> Column:
+def split_words(text: Column) -> Column:
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
+
+
+def features(text: Column, words: Column) -> Column:
     """What a document shows of its domain: the shapes of its words (letters as a, digits as 0), the share of
     distinct words and the length, each as one distinct string."""
     shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"[0-9]+", "0")
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
     share = F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(F.size(words), F.lit(1)))
     long = F.floor(F.log2(F.size(words) + F.lit(1)))
     extra = F.array(F.concat(F.lit("distinct "), share.cast("string")), F.concat(F.lit("long "), long.cast("string")))
     return F.concat(F.array_distinct(F.split(shape, f"[{SPACE}]+")), extra)
 
 
-def token_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")).cast("bigint")
-
-
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, dict[str, np.ndarray]]:
     """``(domains, base, weight)`` of a Bernoulli naive Bayes classifier.
 
@@ -43,8 +42,12 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows:
     named = labels.select("doc_id", domain.cast("string").alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
     named = named.groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    text = F.coalesce("text", F.lit("")).alias("text")
     seen = staged(
-        documents(docs).join(F.broadcast(sample), "doc_id").select("domain", features(F.coalesce("text", F.lit(""))).alias("f")), "labelled"
+        documents(docs).join(F.broadcast(sample), "doc_id")
+        .select("domain", text, split_words(text).alias("_words"))
+        .select("domain", features(F.col("text"), F.col("_words")).alias("f")),
+        "labelled",
     )
     prior = {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(prior)
@@ -69,16 +72,16 @@ def memberships(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, n
     Worked out row by row: no join and no shuffle. A null or empty text has no tokens and the
     probabilities its features give it."""
     domains, base, weight = model
-    text = F.coalesce("text", F.lit(""))
-    rows = documents(docs)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = documents(docs).select("doc_id", text, split_words(text).alias("_words"))
     scores = F.array(*[F.lit(float(b)) for b in base])
     if weight:
         table = F.create_map(*[x for f, w in weight.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in w]))])
         scores = F.aggregate(
-            F.filter(features(text), lambda f: f.isin(*weight)), scores,
+            F.filter(features(F.col("text"), F.col("_words")), lambda f: f.isin(*weight)), scores,
             lambda acc, f: F.zip_with(acc, F.element_at(table, f), lambda a, b: a + b),
         )
-    scored = rows.select("doc_id", token_count(text).alias("n_tokens"), scores.alias("_s"))
+    scored = rows.select("doc_id", F.size("_words").cast("bigint").alias("n_tokens"), scores.alias("_s"))
     raised = scored.select("doc_id", "n_tokens", "_s", F.array_max("_s").alias("_m")).select(
         "doc_id", "n_tokens", F.transform("_s", lambda s: F.exp(s - F.col("_m"))).alias("_e")
     )
