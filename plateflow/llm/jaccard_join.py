@@ -1,6 +1,6 @@
 """N-gram Jaccard join (operator 10): PartEnum signatures over sets of word shingles."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateflow.llm.common import documents, schema, staged
+from plateflow.llm.common import by_key, documents, schema, staged
 from plateflow.llm.components import connected_components
 from plateflow.operators.skew import top_per_key
 
@@ -25,6 +25,8 @@ HOT_SAMPLE, HOT_SEEN, HOT_MOST, HOT_BITS = 16, 3, 1 << 20, 26
 FILTER_BITS = 23
 #: So many ids of documents are sent to all tasks at most.
 SENT_IDS = 100_000
+#: Members of a group that meet its leaders in one task.
+STRETCH = 2_000
 #: Signatures a task gathers before it hands them on, and aims at per shuffle partition.
 FLUSH, PER_PARTITION = 1 << 18, 1 << 20
 #: Members of a candidate group that are compared with all others, per round; grows until all groups are settled.
@@ -124,12 +126,23 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """A lower bound of the difference of two sets, from their sketches; the longer one is folded."""
-    x, y = (np.frombuffer(v, np.uint8) for v in sorted((a, b), key=len))
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def least_differences(one: bytes, others: list[bytes]) -> np.ndarray:
+    """Lower bounds of the differences of a set from others, from their sketches; the longer one of two is folded."""
+    own = np.frombuffer(one, np.uint8)
+    out = np.zeros(len(others), np.int64)
+    sizes = np.array([len(o) for o in others])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        least = min(len(own), size)
+        stack = np.stack([_folded(np.frombuffer(others[i], np.uint8), least) for i in at])
+        out[at] = np.bitwise_count(stack ^ _folded(own, least)).sum(axis=1)
+    return out
 
 
 def profile(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -290,25 +303,44 @@ def _sets_of(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return found.join(reps.select("rep", "c1", "c2"), ["rep", "c1", "c2"], "left_semi").dropDuplicates(["rep"]).select("rep", "hs")
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """Pairs that their sketches do not rule out. No pair that links is ruled out."""
-    known = classes.select("rep", "n", "sketch")
-    one = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    two = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+def _plausible(members: DataFrame, leaders: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a member and a leader of its group that are not connected yet and that neither sizes nor
+    sketches rule out. No pair that links is ruled out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (100 - least) // (100 + least)
-            keep = [least_difference(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch.column("sa"), batch.column("sb"), most)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    A large group is dealt out in stretches, each with all leaders, and compared inside the tasks: only
+    plausible pairs come out.
+    """
+    sizes = members.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / STRETCH).alias("_stretches"))
+    sketches = classes.select("rep", "sketch")
+    each = members.join(sketches, "rep").join(sizes, "gid").select(
+        "gid", F.pmod(F.xxhash64("rep"), F.col("_stretches")).alias("stretch"), F.lit(False).alias("leads"), "rep", "n", "component", "sketch"
+    )
+    first = leaders.join(sketches, "rep").join(sizes, "gid").select(
+        "gid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_stretches") - 1)).alias("stretch"), F.lit(True).alias("leads"), "rep", "n", "component", "sketch"
+    )
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, schema("a bigint, b bigint"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, 2):
+            leads = rows.column("leads").to_numpy()
+            rep, n, component = (rows.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "component"))
+            bits = rows.column("sketch").to_pylist()
+            top = np.flatnonzero(leads)
+            found: list[tuple[int, int]] = []
+            for i in np.flatnonzero(~leads):
+                fit = top[(component[top] != component[i]) & (100 * n[top] >= least * n[i]) & (100 * n[i] >= least * n[top])]
+                if len(fit):
+                    most = (n[fit] + n[i]) * (100 - least) // (100 + least)
+                    near = fit[least_differences(bits[i], [bits[j] for j in fit]) <= most]
+                    found += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in near]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = each.unionByName(first).repartition("gid", "stretch").sortWithinPartitions("gid", "stretch")
+    return dealt.mapInArrow(run, schema("a bigint, b bigint")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, least: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough: sketches rule out most others, the rest is counted
-    exactly."""
-    pairs = staged(_plausible(pairs, classes, least), "plausible")
+    """The pairs ``(a, b)`` whose sets are similar enough, counted exactly."""
     ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     reps = staged(classes.select("rep", "c1", "c2").join(ends, "rep", "left_semi"), "reps")
     sets = staged(_sets_of(docs, reps, size), "sets")
@@ -319,9 +351,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return joined.filter(100 * both >= least * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
-def _settled(members: DataFrame, least: int, check) -> DataFrame:
+def _settled(members: DataFrame, check: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """``(node, component)`` of the sets that link with others, from groups ``(gid, rep, n)`` of candidates.
-    ``check`` keeps the pairs that link.
+    ``check`` finds the links between members and leaders.
 
     A few members of each group, the leaders of the round, are compared with all other members. Leaders are
     first those outside the largest component, and of these the members of most groups: the text that
@@ -346,19 +378,11 @@ def _settled(members: DataFrame, least: int, check) -> DataFrame:
                 return component
             open_ = known.join(mixed.select("gid", "_main"), "gid").withColumn("_m", F.col("component") == F.col("_main")).drop("_main")
         open_ = staged(open_, "open", rows)
-        lead = staged(top_per_key(open_, ["gid"], [F.col("_m"), F.col("_deg").desc(), F.col("rep")], leaders).select(
-            "gid", F.col("rep").alias("lead"), F.col("n").alias("_ln"), F.col("component").alias("_lc")), "leaders", rows)
-        pairs = (
-            open_.join(lead, "gid")
-            .filter((F.col("rep") != F.col("lead")) & (F.col("component") != F.col("_lc")))
-            .filter((100 * F.col("n") >= least * F.col("_ln")) & (100 * F.col("_ln") >= least * F.col("n")))
-            .select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
-            .distinct()
-        )
-        found = staged(check(staged(pairs, "pairs")), "verified")
+        lead = staged(top_per_key(open_, ["gid"], [F.col("_m"), F.col("_deg").desc(), F.col("rep")], leaders).select("gid", "rep", "n", "component"), "leaders", rows)
+        found = staged(check(open_, lead), "verified")
         links = found if links is None else links.unionByName(found)
         component = staged(connected_components(links), "component", 2 * rows)
-        rest = staged(open_.select("gid", "rep", "n", "_deg").join(lead.select("gid", F.col("lead").alias("rep")), ["gid", "rep"], "left_anti"), "rest", rows)
+        rest = staged(open_.select("gid", "rep", "n", "_deg").join(lead.select("gid", "rep"), ["gid", "rep"], "left_anti"), "rest", rows)
         number += 1
 
 
@@ -382,7 +406,12 @@ def join_near(docs: DataFrame, size: int = SHINGLE, least: int = LEAST) -> DataF
     groups = _groups(_dealt(docs, frequent_shingles(docs, size), partitions, size, least), partitions, least)
     groups = staged(groups.distinct(), "groups")
     members = staged(groups.join(classes.select(F.col("c1").alias("c"), "rep"), "c").select("gid", "rep", "n"), "members")
-    component = _settled(members, least, lambda pairs: _verified(pairs, docs, classes, size, least))
+
+    def check(rest: DataFrame, leaders: DataFrame) -> DataFrame:
+        pairs = staged(_plausible(rest, leaders, classes, least), "plausible")
+        return _verified(pairs, docs, classes, size, least)
+
+    component = _settled(members, check)
     component = component.select(F.col("node").alias("rep"), "component")
     answer = staged(classes.join(component, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component")), "answer")
     return known.drop("sketch").join(answer, ["c1", "c2"], "left").select(

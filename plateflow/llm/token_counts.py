@@ -15,7 +15,7 @@ BLANK = "▁"
 #: What an unknown character costs below the lowest score of the vocabulary. A fixed value of the tokenizers.
 UNKNOWN_PENALTY = 10.0
 #: Segments a worker remembers, and how long they may be.
-CACHE, CACHE_CHARS = 1_000_000, 40
+CACHE, CACHE_CHARS = 300_000, 40
 _CUT = re.compile(f"(?<=[^{BLANK}])(?={BLANK})")
 
 
