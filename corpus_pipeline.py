@@ -27,10 +27,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated so that the expected tokens per domain meet the targets. The budget is as large
-    as lets no domain be thinned out, so every document stays at least once."""
+    """Documents are repeated so that the expected tokens per domain meet the targets. Without a budget the
+    fit itself keeps every rate at one or more, so every document stays at least once."""
     rates = staged(mixing.mix(docs, table(spark, sf_dir, "labels"), F.col("quality"), TARGETS, epochs=None), "rates")
-    return mixing.apply_rates(docs, rates.withColumn("rate", F.greatest("rate", F.lit(1.0))))
+    return mixing.apply_rates(docs, rates)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

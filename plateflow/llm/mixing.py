@@ -2,7 +2,7 @@
 
 DataFrame functions only."""
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,11 @@ from plateflow.llm.common import SPACE, documents, staged
 SAMPLE_ROWS = 20_000
 #: Features the classifier keeps, at most, and domains it may tell apart.
 FEATURES, DOMAINS = 256, 32
-#: Rounds of projected gradient at most, share of the token total that may be missed, rounds between two written tables.
-ROUNDS, TOLERANCE, WRITE_EVERY = 150, 1e-6, 10
+#: Rounds of the fit at most, share of the tokens at which it ends, weight of staying near rates of one, least product looked at.
+ROUNDS, TOLERANCE, RIDGE, SLIGHT = 150, 1e-8, 1e-10, 1e-9
+#: Without a given budget: share of the tokens by which a met target may be off, the same of one that can only be
+#: approached, and the largest budget tried for it, in epochs.
+MET, NEAR, MOST_EPOCHS = 1e-5, 0.01, 64
 
 
 def split_words(text: Column) -> Column:
@@ -90,50 +93,104 @@ def memberships(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, n
     )
 
 
+def numbers(values: Iterable[float]) -> Column:
+    """A constant array of doubles: one literal, however many there are."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def weighed(pull: np.ndarray, offset: float, least: float) -> tuple[Column, Column]:
+    """Rate of a row of ``p`` that a pull per domain gives, and whether it lies above the least rate."""
+    free = F.aggregate(F.zip_with("p", numbers(pull), lambda a, b: a * b), F.lit(float(offset)), lambda a, b: a + b)
+    return F.greatest(F.lit(float(least)), free), free > F.lit(float(least))
+
+
+def solve(members: DataFrame, tokens: float, share: np.ndarray, budget: float | None, least: float) -> tuple[np.ndarray, float, np.ndarray]:
+    """``(pull, offset, totals)``: the rates nearest to one, none below ``least``, whose tokens per domain
+    come nearest to ``share`` of ``budget`` (in units of all tokens), by least squares; without a budget, to
+    ``share`` of whatever the rates come to.
+
+    Such rates are ``max(least, 1 + pull . p)`` for one number per domain, found by Newton's method on the dual;
+    so the rounds change nothing on the executors. Per round one aggregation returns the totals per domain and
+    the products of domains over the rows above ``least``, as rows.
+    """
+    n = len(share)
+
+    def look(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        offset = 1.0 - (pull @ share if budget is None else 0.0)
+        rate, above = weighed(pull, offset, least)
+        rows = members.select("p", (rate * F.col("n_tokens")).alias("_seen"), F.when(above, F.col("n_tokens")).otherwise(F.lit(0)).alias("_free"))
+        rows = rows.select("p", "_seen", "_free", F.posexplode("p").alias("i", "_p"))
+        # Products below SLIGHT only steer the steps, not where they end; they stay out.
+        inner = F.filter(F.transform("p", lambda x, j: F.struct(j.alias("j"), (x * F.col("_p") * F.col("_free")).alias("v"))), lambda x: x["v"] > SLIGHT)
+        whole = F.struct(F.lit(-1).alias("j"), (F.col("_p") * F.col("_seen")).alias("v"))
+        part = F.struct(F.lit(-2).alias("j"), (F.col("_p") * F.col("_free")).alias("v"))
+        cells = rows.select("i", F.explode(F.concat(F.array(whole, part), inner)).alias("c")).groupBy("i", "c.j").agg(F.sum("c.v").alias("v"))
+        total, free, curve = np.zeros(n), np.zeros(n), np.zeros((n, n))
+        for i, j, v in cells.collect():
+            if j == -1:
+                total[i] = v / tokens
+            elif j == -2:
+                free[i] = v / tokens
+            else:
+                curve[i, j] = v / tokens
+        if budget is None:
+            gap = total - share * total.sum()
+            curve = curve - np.outer(free, share) - np.outer(share, free) + free.sum() * np.outer(share, share)
+        else:
+            gap = total - share * budget
+        return total, gap + RIDGE * pull, curve + RIDGE * np.eye(n)
+
+    pull, length = np.zeros(n), 1.0
+    total, slope, curve = look(pull)
+    step = -np.linalg.solve(curve, slope)
+    for _ in range(ROUNDS):
+        if np.abs(slope).max() <= TOLERANCE * total.sum():
+            break
+        new = look(pull + length * step)
+        before, after = slope @ step, new[1] @ step
+        if after > 0.9 * abs(before) and length > 1e-6:  # too far: the slope along the step only grows
+            length *= min(0.9, max(0.1, before / (before - after)))
+            continue
+        pull, length = pull + length * step, 1.0
+        total, slope, curve = new
+        step = -np.linalg.solve(curve, slope)
+    return pull, 1.0 - (pull @ share if budget is None else 0.0), total
+
+
 def fit_rates(members: DataFrame, shares: list[float], epochs: float | None = None) -> DataFrame:
     """``members (doc_id, n_tokens, p)`` with ``rate``, how often each document should be seen.
 
-    Projected gradient, accelerated, for the least squares of expected tokens per domain,
-    ``sum(rate * n_tokens * p)``, against ``shares`` of the budget, over rates of at least zero and from
-    rates of one. The budget is ``epochs`` times all tokens; without it, just as large as lets no domain be
-    thinned out. Per round one aggregation returns as many numbers as there are domains; the rates
-    are a column that the rounds rewrite, put into a table every few rounds to cut the lineage.
+    Least squares of expected tokens per domain, ``sum(rate * n_tokens * p)``, against ``shares`` of the budget,
+    over rates of at least zero; of several answers the one nearest to rates of one. The budget is ``epochs``
+    times all tokens. Without it no document is thinned out: rates are at least one, and the budget is what
+    the nearest rates that meet the shares come to. Shares outside of what the memberships span are only
+    approached as the budget grows; it is then doubled until they are met but for ``NEAR`` of the tokens, or
+    exceeds ``MOST_EPOCHS``.
     """
     n = len(shares)
-    p = [F.get("p", k) for k in range(n)]
-    state = staged(members.select("doc_id", "n_tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("_y")), "rates")
-
-    def totals(frame: DataFrame, rate: str) -> np.ndarray:
-        row = frame.agg(*[F.sum(F.col(rate) * F.col("n_tokens") * p[k]).alias(f"t{k}") for k in range(n)]).first()
-        return np.array([x or 0.0 for x in row])
-
-    now = totals(state, "rate")
+    state = staged(members.select("doc_id", "n_tokens", "p"), "members")
+    row = state.select("n_tokens", F.posexplode("p").alias("i", "p")).groupBy("i").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("t")).collect()
+    now = np.zeros(n)
+    for i, t in row:
+        now[i] = t or 0.0
     tokens, share = now.sum(), np.array(shares, dtype=float)
-    if not tokens:
-        return state.drop("_y")
     share = np.where(now > 0, share, 0)
-    if not share.sum():
-        return state.drop("_y")
+    if not tokens or not share.sum():
+        return state.withColumn("rate", F.lit(1.0))
     share = share / share.sum()
-    budget = epochs if epochs is not None else max(now[k] / tokens / share[k] for k in range(n) if share[k])
-    gram = state.agg(*[F.sum(p[i] * p[j] * F.col("n_tokens")) for i in range(n) for j in range(n)]).first()
-    step = 1 / max(np.linalg.eigvalsh(np.array(gram, dtype=float).reshape(n, n) / tokens)[-1], 1e-12)
-    momentum, gap = 1.0, now / tokens - share * budget
-    for number in range(1, ROUNDS + 1):
-        if np.abs(gap).max() <= TOLERANCE * budget:
-            break
-        follow = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        pull = sum((p[k] * float(step * gap[k]) for k in range(n)), F.lit(0.0))
-        state = state.select("doc_id", "n_tokens", "p", F.col("rate").alias("_old"), F.greatest(F.lit(0.0), F.col("_y") - pull).alias("rate"))
-        speed = float((momentum - 1) / follow)
-        state = state.select("doc_id", "n_tokens", "p", "rate", (F.col("rate") + (F.col("rate") - F.col("_old")) * speed).alias("_y"))
-        if number % WRITE_EVERY == 0:
-            state = staged(state, "rates")
-        momentum, last = follow, gap
-        gap = totals(state, "_y") / tokens - share * budget
-        if gap @ gap > last @ last:  # the momentum overshoots; begin it anew
-            momentum = 1.0
-    return state.select("doc_id", "n_tokens", "p", "rate")
+    least = 1.0 if epochs is None else 0.0
+    pull, offset, total = solve(state, tokens, share, epochs, least)
+    if epochs is None and missed(total, share) > MET:
+        budget = max(now[k] / tokens / share[k] for k in range(n) if share[k])
+        while missed(total, share) > NEAR and budget <= MOST_EPOCHS:
+            pull, offset, total = solve(state, tokens, share, budget, least)
+            budget *= 2
+    return state.withColumn("rate", weighed(pull, offset, least)[0])
+
+
+def missed(total: np.ndarray, share: np.ndarray) -> float:
+    """By how much of the tokens the domain that is farthest from its share misses it."""
+    return float(np.abs(total / total.sum() - share).max())
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: Mapping[str, float], epochs: float | None = 1.0) -> DataFrame:

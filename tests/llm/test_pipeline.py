@@ -60,6 +60,17 @@ def test_mixing_keeps_every_document(spark, kept):
         assert int(rate[r["doc_id"]]) <= r["count"] <= int(rate[r["doc_id"]]) + 1
 
 
+def test_mixing_meets_targets_with_every_document(spark, kept):
+    """Tokens per domain of what the stage returns; memberships are those of its own fit."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rates = {r["doc_id"]: r for r in mixing.mix(kept[3], labels, F.col("quality"), corpus_pipeline.TARGETS, None).collect()}
+    want = [corpus_pipeline.TARGETS[d] for d in sorted(corpus_pipeline.TARGETS)]
+    assert min(r["rate"] for r in rates.values()) >= 1
+    for times, off in (({d: r["rate"] for d, r in rates.items()}, 1e-4), ({r["doc_id"]: r["count"] for r in kept[4].groupBy("doc_id").count().collect()}, 0.02)):
+        got = [sum(n * rates[d]["n_tokens"] * rates[d]["p"][k] for d, n in times.items()) for k in range(2)]
+        assert abs(got[0] / sum(got) - want[0]) < off
+
+
 def test_everything_is_packed(kept):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = kept[5].collect()

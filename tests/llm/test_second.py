@@ -99,6 +99,17 @@ def test_rates_solve_the_least_squares(rows):
         assert rate.min() >= 0 and loss(rate) <= loss(r) + 3e-4
 
 
+def test_rates_of_at_least_one_meet_the_shares(rows):
+    """Soft memberships; the shares of the last case are met exactly only by dropping a document."""
+    rng = np.random.default_rng(6)
+    cases = [(rng.dirichlet([0.4] * 3, 60), [0.6, 0.25, 0.15], 1e-4), (rng.dirichlet([2, 2], 60), [0.35, 0.65], 1e-4), (np.array([[0.9, 0.1], [0.1, 0.9]]), [0.1, 0.9], 0.01)]
+    for p, share, off in cases:
+        members = rows("doc_id bigint, n_tokens bigint, p array<double>", [(i, 10 + i % 7, [float(x) for x in r]) for i, r in enumerate(p)] + [(-1, 0, [1.0 / len(share)] * len(share))])
+        got = mixing.fit_rates(members, share).filter("doc_id >= 0").collect()
+        total = sum(np.array(r["p"]) * r["rate"] * r["n_tokens"] for r in got)
+        assert min(r["rate"] for r in got) >= 1 and np.abs(total / total.sum() - share).max() < off
+
+
 def test_apply_rates(rows):
     docs = rows("doc_id bigint, text string, lang string", [(i, "t", "en") for i in range(400)])
     rates = rows("doc_id bigint, rate double", [(i, [0.0, 1.0, 2.5, 0.25][i % 4]) for i in range(400)])
