@@ -12,8 +12,12 @@ from plateflow.llm.common import SPACE, documents, staged
 
 #: Labelled rows the classifier is fitted on, at most; those with the smallest hash of the id.
 SAMPLE_ROWS = 20_000
-#: Features the classifier keeps, at most, and domains it may tell apart.
-FEATURES, DOMAINS = 256, 32
+#: Features the classifier keeps, at most, and buckets that words and shapes are hashed to.
+FEATURES, BUCKETS = 1024, 1 << 16
+#: Least log-likelihood ratio of a feature per domain but one, precision of the prior on weights, rounds of the fit.
+BAR, PRIOR, FIT_ROUNDS = 11.0, 1.0, 200
+#: Domains it may tell apart.
+DOMAINS = 32
 #: Rounds of the fit at most, share of the tokens at which it ends, weight of staying near rates of one, least product looked at.
 ROUNDS, TOLERANCE, RIDGE, SLIGHT = 150, 1e-8, 1e-10, 1e-9
 #: Without a given budget: share of the tokens by which a met target may be off, the same of one that can only be
@@ -25,22 +29,33 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
+def numbers(values: Iterable[float]) -> Column:
+    """A constant array of doubles: one literal, however many there are."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
 def features(text: Column, words: Column) -> Column:
-    """What a document shows of its domain: the shapes of its words (letters as a, digits as 0), the share of
-    distinct words and the length, each as one distinct string."""
+    """What a document shows of its domain, as distinct buckets of a hash: its words in lower case, the shapes of its
+    words (letters as a, digits as 0), the share of distinct words and the length."""
     shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"[0-9]+", "0")
     share = F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(F.size(words), F.lit(1)))
     long = F.floor(F.log2(F.size(words) + F.lit(1)))
     extra = F.array(F.concat(F.lit("distinct "), share.cast("string")), F.concat(F.lit("long "), long.cast("string")))
-    return F.concat(F.array_distinct(F.split(shape, f"[{SPACE}]+")), extra)
+    shown = F.concat(F.array_distinct(F.split(shape, f"[{SPACE}]+")), extra)
+    said = F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), ""))
 
+    def bucket(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x: F.pmod(F.xxhash64(F.lit(kind), x), F.lit(BUCKETS)).cast("int"))
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, dict[str, np.ndarray]]:
-    """``(domains, base, weight)`` of a Bernoulli naive Bayes classifier.
+    return F.array_distinct(F.concat(bucket("word", said), bucket("shape", shown)))
+
+
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, dict[int, np.ndarray]]:
+    """``(domains, base, weight)`` of a logistic regression over the features that tell most about the domain.
 
     ``labels (doc_id, ...)`` names the domain of some documents through the column ``domain``; null
     means none, and of several labels of a document the smallest counts. At most ``sample_rows``
-    labelled documents are read; all that reaches the driver is their counts per feature and domain.
+    labelled documents are read; all that reaches the driver is which of the chosen features each of them has.
     """
     named = labels.select("doc_id", domain.cast("string").alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
     named = named.groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -58,32 +73,94 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows:
         return ["none"], np.zeros(1), {}
     if len(domains) > DOMAINS:
         raise ValueError(f"{len(domains)} domains, {DOMAINS} at most")
+    wide = informative(seen, len(domains), sum(prior.values()))
+    chosen = sorted(r["f"] for r in wide.select("f").collect())
+    held = seen.select("domain", known(F.col("f"), chosen).alias("x")).groupBy("domain", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    base, table = logistic([(domains.index(r["domain"]), r["x"], r["n"]) for r in held], len(domains), len(chosen))
+    return domains, base, {f: table[k] for k, f in enumerate(chosen)}
+
+
+def known(buckets: Column, chosen: list[int]) -> Column:
+    """Places, from one, of those buckets that are among the chosen ones."""
+    place = np.zeros(BUCKETS, int)
+    place[chosen] = range(1, len(chosen) + 1)
+    places = F.split(F.lit(",".join(map(str, place))), ",").cast("array<int>")
+    return F.filter(F.transform(buckets, lambda f: F.get(places, f)), lambda x: x > 0)
+
+
+def logistic(rows: list[tuple[int, list[int], int]], domains: int, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bias and weights per domain of a logistic regression over ``(domain, places of features, times)``, with a normal
+    prior on the weights. Unlike naive Bayes it does not count what several words say together once per word."""
+    times, hot = np.array([r[2] for r in rows], dtype=np.float32), np.zeros((len(rows), domains), np.float32)
+    x = np.zeros((len(rows), features + 1), np.float32)
+    for i, (k, places, _) in enumerate(rows):
+        hot[i, k], x[i, places], x[i, 0] = 1, 1, 1
+    total = float(times.sum())
+    w = np.zeros((features + 1, domains))
+    w[0] = np.log(np.maximum(times @ hot, 0.5) / total)
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ w.astype(np.float32)
+        z -= z.max(axis=1, keepdims=True)
+        lead = np.log(np.exp(z).sum(axis=1, keepdims=True))
+        slope = (x.T @ ((np.exp(z - lead) - hot) * times[:, None])).astype(float)
+        slope[1:] += PRIOR * w[1:]
+        loss = -float(((z - lead) * hot).sum(axis=1, dtype=float) @ times) + PRIOR / 2 * float((w[1:] ** 2).sum())
+        return loss / total, slope / total
+
+    # Quasi-Newton steps from the last few changes (L-BFGS).
+    loss, slope = look(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(FIT_ROUNDS):
+        step, kept = -slope, []
+        for s, y in reversed(past):
+            kept.append((s * step).sum() / (s * y).sum())
+            step = step - kept[-1] * y
+        if past:
+            step = step * (past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum()
+        for (s, y), k in zip(past, reversed(kept)):
+            step = step + s * (k - (y * step).sum() / (s * y).sum())
+        length, down = 1.0, float((slope * step).sum())
+        while (new := look(w + length * step))[0] > loss + 1e-4 * length * down and length > 1e-6:
+            length /= 2
+        moved, turned = length * step, new[1] - slope
+        if length <= 1e-6 or loss - new[0] < 1e-7:
+            break
+        w, past = w + moved, [*past, (moved, turned)][-10:] if (moved * turned).sum() > 0 else past
+        loss, slope = new
+    return w[0], w[1:]
+
+
+def informative(seen: DataFrame, domains: int, rows: int) -> DataFrame:
+    """``f, g``: the features that tell most about the domain, by the log-likelihood ratio (twice the rows
+    times the information)."""
+    sizes = seen.groupBy("domain").agg(F.count(F.lit(1)).alias("d"))
     counts = seen.select("domain", F.explode("f").alias("f")).groupBy("f", "domain").agg(F.count(F.lit(1)).alias("n"))
-    wide = counts.groupBy("f").agg(F.sum("n").alias("n"), F.collect_list(F.struct("domain", "n")).alias("by")).orderBy(F.desc("n"), "f").limit(FEATURES)
-    total = np.array([prior[d] for d in domains], dtype=float)
-    base, weight = np.log(total / total.sum()), {}
-    for row in wide.collect():
-        by = {x["domain"]: x["n"] for x in row["by"]}
-        p = (np.array([by.get(d, 0) for d in domains]) + 0.5) / (total + 1)
-        base = base + np.log(1 - p)
-        weight[row["f"]] = np.log(p) - np.log(1 - p)
-    return domains, base, weight
-
-
-def memberships(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, np.ndarray]]) -> DataFrame:
+    whole = counts.groupBy("f").agg(F.sum("n").alias("t"), F.collect_list(F.struct("domain", "n")).alias("by"))
+    cells = whole.select("f", "t", F.inline("by")).join(F.broadcast(sizes), "domain")
+
+    def term(part: Column, of: Column, total: Column) -> Column:
+        """Of ``of`` rows of a domain, ``part`` are on the side that holds ``total`` of all rows."""
+        return F.when(part > 0, part * F.log(part * rows / (of * total))).otherwise(0.0)
+
+    n, d, t = F.col("n"), F.col("d"), F.col("t")
+    told = cells.groupBy("f").agg(F.max("t").alias("t"), F.sum("d").alias("d"), F.sum(term(n, d, t) + term(d - n, d, rows - t)).alias("g"))
+    absent = F.when(F.col("t") < rows, (rows - F.col("d")) * F.log(rows / (rows - F.col("t")))).otherwise(0.0)
+    bar = BAR * (domains - 1)
+    return told.select("f", (2 * (F.col("g") + absent)).alias("g")).filter(F.col("g") > float(bar)).orderBy(F.desc("g"), "f").limit(FEATURES)
+
+
+def memberships(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[int, np.ndarray]]) -> DataFrame:
     """``doc_id, n_tokens, p``: tokens of each document and the probability of each domain, in their order.
     Worked out row by row: no join and no shuffle. A null or empty text has no tokens and the
     probabilities its features give it."""
     domains, base, weight = model
     text = F.coalesce("text", F.lit("")).alias("text")
     rows = documents(docs).select("doc_id", text, split_words(text).alias("_words"))
-    scores = F.array(*[F.lit(float(b)) for b in base])
-    if weight:
-        table = F.create_map(*[x for f, w in weight.items() for x in (F.lit(f), F.array(*[F.lit(float(v)) for v in w]))])
-        scores = F.aggregate(
-            F.filter(features(F.col("text"), F.col("_words")), lambda f: f.isin(*weight)), scores,
-            lambda acc, f: F.zip_with(acc, F.element_at(table, f), lambda a, b: a + b),
-        )
+    n, table = len(domains), numbers([0.0] * len(domains) + [v for w in weight.values() for v in w])
+    # One pass over the buckets that count: each adds its weights, one per domain.
+    found = known(features(F.col("text"), F.col("_words")), list(weight))
+    scores = F.aggregate(found, numbers(base), lambda acc, x: F.zip_with(acc, F.slice(table, x * n + 1, n), lambda a, b: a + b))
     scored = rows.select("doc_id", F.size("_words").cast("bigint").alias("n_tokens"), scores.alias("_s"))
     raised = scored.select("doc_id", "n_tokens", "_s", F.array_max("_s").alias("_m")).select(
         "doc_id", "n_tokens", F.transform("_s", lambda s: F.exp(s - F.col("_m"))).alias("_e")
@@ -93,11 +170,6 @@ def memberships(docs: DataFrame, model: tuple[list[str], np.ndarray, dict[str, n
     )
 
 
-def numbers(values: Iterable[float]) -> Column:
-    """A constant array of doubles: one literal, however many there are."""
-    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
-
-
 def weighed(pull: np.ndarray, offset: float, least: float) -> tuple[Column, Column]:
     """Rate of a row of ``p`` that a pull per domain gives, and whether it lies above the least rate."""
     free = F.aggregate(F.zip_with("p", numbers(pull), lambda a, b: a * b), F.lit(float(offset)), lambda a, b: a + b)

@@ -83,6 +83,19 @@ def test_mixing_meets_targets(spark, docs, odd, empty):
     assert mixing.mix(empty, labels, F.col("quality"), {"1": 1.0}).count() == 0
 
 
+def test_domains_that_differ_in_words_only(rows):
+    """Same shapes, lengths and shares of distinct words; judged on documents that are not labelled."""
+    rng = np.random.default_rng(7)
+    common, own = [f"{a}{b}om" for a in "bdfgk" for b in "aeiou"], {"law": ["court", "judge", "trial"], "sea": ["coast", "ships", "tidal"]}
+    topics = [("law", "sea")[i % 2] for i in range(400)]
+    texts = [(i, t, [*rng.choice(common, 17, replace=False), *rng.permutation(own[t])]) for i, t in enumerate(topics)]
+    docs = rows("doc_id bigint, text string", [(i, " ".join(map(str, w))) for i, _, w in texts])
+    labels = rows("doc_id bigint, topic string", [(i, t) for i, t, _ in texts[:200]])
+    out = {r["doc_id"]: r for r in mixing.mix(docs, labels, F.col("topic"), {"law": 0.8, "sea": 0.2}).collect()}
+    assert all((out[i]["p"][0] > 0.9) == (t == "law") and (out[i]["p"][1] > 0.9) == (t == "sea") for i, t, _ in texts)
+    assert abs(sum(out[i]["rate"] for i, t, _ in texts if t == "law") / sum(r["rate"] for r in out.values()) - 0.8) < 0.01
+
+
 def test_rates_solve_the_least_squares(rows):
     """Against projected gradient on one machine, with targets that force rates to zero."""
     rng = np.random.default_rng(5)
