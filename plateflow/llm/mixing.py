@@ -2,6 +2,7 @@
 
 DataFrame functions only."""
 
+import warnings
 from collections.abc import Iterable, Mapping
 
 import numpy as np
@@ -14,10 +15,8 @@ from plateflow.llm.common import SPACE, documents, staged
 SAMPLE_ROWS = 20_000
 #: Features the classifier keeps, at most, and buckets that words and shapes are hashed to.
 FEATURES, BUCKETS = 1024, 1 << 16
-#: Least log-likelihood ratio of a feature per domain but one, precision of the prior on weights, rounds of the fit.
-BAR, PRIOR, FIT_ROUNDS = 11.0, 1.0, 200
-#: Domains it may tell apart.
-DOMAINS = 32
+#: Minus log of the share of features that may tell of a domain by chance, precision of the prior on weights, rounds of the fit.
+CHANCE, PRIOR, FIT_ROUNDS = 3.0, 1.0, 200
 #: Rounds of the fit at most, share of the tokens at which it ends, weight of staying near rates of one, least product looked at.
 ROUNDS, TOLERANCE, RIDGE, SLIGHT = 150, 1e-8, 1e-10, 1e-9
 #: Without a given budget: share of the tokens by which a met target may be off, the same of one that can only be
@@ -71,8 +70,6 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, sample_rows:
     domains = sorted(prior)
     if not domains:
         return ["none"], np.zeros(1), {}
-    if len(domains) > DOMAINS:
-        raise ValueError(f"{len(domains)} domains, {DOMAINS} at most")
     wide = informative(seen, len(domains), sum(prior.values()))
     chosen = sorted(r["f"] for r in wide.select("f").collect())
     held = seen.select("domain", known(F.col("f"), chosen).alias("x")).groupBy("domain", "x").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -146,7 +143,8 @@ def informative(seen: DataFrame, domains: int, rows: int) -> DataFrame:
     n, d, t = F.col("n"), F.col("d"), F.col("t")
     told = cells.groupBy("f").agg(F.max("t").alias("t"), F.sum("d").alias("d"), F.sum(term(n, d, t) + term(d - n, d, rows - t)).alias("g"))
     absent = F.when(F.col("t") < rows, (rows - F.col("d")) * F.log(rows / (rows - F.col("t")))).otherwise(0.0)
-    bar = BAR * (domains - 1)
+    free = domains - 1
+    bar = free + 2 * np.sqrt(CHANCE * free) + 2 * CHANCE  # above the chi-square of as many degrees but for a share of exp(-CHANCE)
     return told.select("f", (2 * (F.col("g") + absent)).alias("g")).filter(F.col("g") > float(bar)).orderBy(F.desc("g"), "f").limit(FEATURES)
 
 
@@ -215,9 +213,12 @@ def solve(members: DataFrame, tokens: float, share: np.ndarray, budget: float |
     pull, length = np.zeros(n), 1.0
     total, slope, curve = look(pull)
     step = -np.linalg.solve(curve, slope)
-    for _ in range(ROUNDS):
+    for number in range(ROUNDS + 1):
         if np.abs(slope).max() <= TOLERANCE * total.sum():
             break
+        if number == ROUNDS:
+            warnings.warn(f"rates are not at the optimum after {ROUNDS} rounds: {np.abs(slope).max() / total.sum():.2g} of the tokens off", stacklevel=3)
+            break
         new = look(pull + length * step)
         before, after = slope @ step, new[1] @ step
         if after > 0.9 * abs(before) and length > 1e-6:  # too far: the slope along the step only grows
@@ -237,7 +238,7 @@ def fit_rates(members: DataFrame, shares: list[float], epochs: float | None = No
     times all tokens. Without it no document is thinned out: rates are at least one, and the budget is what
     the nearest rates that meet the shares come to. Shares outside of what the memberships span are only
     approached as the budget grows; it is then doubled until they are met but for ``NEAR`` of the tokens, or
-    exceeds ``MOST_EPOCHS``.
+    exceeds ``MOST_EPOCHS``. Shares that are missed, and a fit that has not ended, are told by a warning.
     """
     n = len(shares)
     state = staged(members.select("doc_id", "n_tokens", "p"), "members")
@@ -257,6 +258,9 @@ def fit_rates(members: DataFrame, shares: list[float], epochs: float | None = No
         while missed(total, share) > NEAR and budget <= MOST_EPOCHS:
             pull, offset, total = solve(state, tokens, share, budget, least)
             budget *= 2
+    off = missed(total, share) if epochs is None else float(np.abs(total - share * epochs).max() / epochs)
+    if off > MET:
+        warnings.warn(f"the nearest rates miss the targets by {off:.2g} of the tokens: {np.round(total / (epochs or total.sum()), 6).tolist()} in place of {np.round(share, 6).tolist()}", stacklevel=2)
     return state.withColumn("rate", weighed(pull, offset, least)[0])
 
 

@@ -123,6 +123,32 @@ def test_rates_of_at_least_one_meet_the_shares(rows):
         assert min(r["rate"] for r in got) >= 1 and np.abs(total / total.sum() - share).max() < off
 
 
+def test_rates_of_alike_memberships_and_of_many_domains(rows):
+    """Posteriors that hardly differ, and more domains than 32."""
+    rng = np.random.default_rng(8)
+    alike = 0.5 + rng.uniform(-0.004, 0.004, 80)
+    for p, share in ((np.c_[alike, 1 - alike], [0.502, 0.498]), (rng.dirichlet([0.2] * 40, 200), rng.dirichlet([40.0] * 40).tolist())):
+        members = rows("doc_id bigint, n_tokens bigint, p array<double>", [(i, 10 + i % 7, [float(x) for x in r]) for i, r in enumerate(p)])
+        got = mixing.fit_rates(members, share, 1.0).collect()
+        total = sum(np.array(r["p"]) * r["rate"] * r["n_tokens"] for r in got) / sum(r["n_tokens"] for r in got)
+        assert min(r["rate"] for r in got) >= 0 and np.abs(total - share).max() < 1e-6
+
+
+def test_missed_shares_are_told(rows):
+    members = rows("doc_id bigint, n_tokens bigint, p array<double>", [(0, 10, [0.6, 0.4]), (1, 10, [0.5, 0.5])])
+    with pytest.warns(UserWarning, match="miss the targets"):
+        mixing.fit_rates(members, [0.1, 0.9], 1.0)
+
+
+def test_forty_domains(rows):
+    docs = rows("doc_id bigint, text string", [(i, f"topic{'abcdefgh'[i % 8]}{'vwxyz'[i % 40 // 8]} and the rest") for i in range(400)])
+    labels = rows("doc_id bigint, source string", [(i, f"{i % 40:02d}") for i in range(400)])
+    out = mixing.mix(docs, labels, F.col("source"), {f"{k:02d}": 40.0 + k for k in range(40)}).collect()
+    total = sum(np.array(r["p"]) * r["rate"] * r["n_tokens"] for r in out) / sum(r["n_tokens"] for r in out)
+    assert all(int(np.argmax(r["p"])) == r["doc_id"] % 40 for r in out)
+    assert np.abs(total - (40 + np.arange(40)) / 2380).max() < 1e-4
+
+
 def test_apply_rates(rows):
     docs = rows("doc_id bigint, text string, lang string", [(i, "t", "en") for i in range(400)])
     rates = rows("doc_id bigint, rate double", [(i, [0.0, 1.0, 2.5, 0.25][i % 4]) for i in range(400)])
