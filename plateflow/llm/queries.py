@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateflow.llm import embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, token_counts, toxicity, warc
+from plateflow.llm import (
+    centroids, embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, ranked_search, token_counts, toxicity, warc,
+)
 from plateflow.llm.common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +87,16 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_near(table(spark, sf_dir, "documents"))
 
 
+@query(centroids.SQL)
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(ranked_search.SQL)
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
