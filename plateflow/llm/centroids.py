@@ -218,13 +218,12 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, dims:
     for _ in range(rounds):
         centroids = moved(zones, centroids, dims)
     found = staged(assigned(zones, centroids, dims), "assigned")
-    digests = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
-    named = spark.createDataFrame(digests, "cluster int, centroid_sha256 string")
-    # At most k rows, collected from partial sums.
-    sums = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).collect()
-    sums = spark.createDataFrame([(r["cluster"], r["cluster_inertia"]) for r in sums], "cluster int, cluster_inertia bigint")
-    sums = sums.crossJoin(sums.agg(F.sum("cluster_inertia").alias("inertia"))).join(named, "cluster")
-    return found.join(F.broadcast(sums), "cluster").select(*out.names)
+    # At most k rows, from partial sums.
+    sums = {r["cluster"]: r["inertia"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("inertia")).collect()}
+    digest = lambda c: hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()
+    rows = [(i, n, sum(sums.values()), digest(centroids[i].tolist())) for i, n in sums.items()]
+    named = spark.createDataFrame(rows, "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    return found.join(F.broadcast(named), "cluster").select(*out.names)
 
 
 def _round_sql(n: int) -> str:

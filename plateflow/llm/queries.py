@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm import (
-    centroids, embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, ranked_search, token_counts, toxicity, warc,
+    centroids, embedding_dedup, jaccard_join, line_dedup, mixing, packing, pii, quality, ranked_search, suffix_dedup,
+    token_counts, toxicity, warc,
 )
 from plateflow.llm.common import table
 
@@ -87,6 +88,11 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_near(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query(centroids.SQL)
 def op12_centroid_clustering(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
