@@ -147,10 +147,31 @@ def test_plates_without_a_centre_and_images_of_plates(spark, sizes):
     assert got == {**{(1, i): 1 if i < 20 else 0 if i < 50 else -1 for i in range(60)}, (1, 99): -1, (2, 0): -1}
 
 
-def test_tied_priorities_are_refused(spark):
-    df = spark.createDataFrame([(1, 0, i, 0, i + 5, 5, 0.5) for i in range(40)], BOX)
-    with pytest.raises(ValueError):
-        suppress.suppress_vehicles(df, group_rows=10, chunk=20)
+@pytest.mark.parametrize("op", [suppress.suppress_vehicles, suppress.suppress_plates])
+def test_tied_priorities_are_decided_alike(spark, op):
+    """Ties go by the other columns; a group of any size gives the same rows."""
+    data = [(image, 0, x1, y1, x2, y2, 0.5) for image, _, x1, y1, x2, y2, _ in make(11, {1: 150}, frame=200, top=60)]
+    data += [(1, 0, None, 0, 5, 5, 0.5), (1, 0, 9, 9, 9, 20, 0.5), (1, 0, 9, 9, 9, 20, 0.5)]
+    df = spark.createDataFrame(data, BOX).withColumnRenamed("box_idx", "plate_idx" if op is suppress.suppress_plates else "box_idx")
+    want = sorted(map(str, op(df, group_rows=10_000).collect()))
+    for sizes in ({"group_rows": 10, "chunk": 7}, {"group_rows": 100}):
+        assert sorted(map(str, op(df, **sizes).collect())) == want
+    chosen = lambda **sizes: sorted(map(str, geometry.select_quads(quads, k=9, **sizes).collect()))
+    quads = spark.createDataFrame([(1, 0, float(i % 11), 0.0, 300.0, 30.0, 10.0) for i in range(60)], "image_id bigint, quad_idx bigint, cx double, cy double, quad_area double, edge_w double, edge_h double")
+    assert chosen(group_rows=5, chunk=7) == chosen()
+
+
+@pytest.mark.parametrize(("clash", "op", "index"), [
+    (vehicle_clash, suppress.suppress_vehicles, "box_idx"), (plate_clash, suppress.suppress_plates, "plate_idx"),
+])
+def test_few_rounds_for_a_hot_image(spark, caplog, clash, op, index):
+    """Boxes of all sizes in one image: the rounds follow chains of neighbours, not the number of boxes."""
+    data = make(21, {1: 1500}, frame=3000, top=90) + [(1, 5000 + i, 10 * i, 0, 10 * i + 1500, 1200, 0.1 * (i % 9)) for i in range(20)]
+    df = spark.createDataFrame(data, BOX).withColumnRenamed("box_idx", index)
+    with caplog.at_level("INFO", "plateflow.operators.suppress"):
+        got = {(row.image_id, row[index]) for row in op(df, group_rows=100).collect()}
+    assert got == greedy(data, clash)
+    assert 1 < len([r for r in caplog.records if "suppression round" in r.message]) <= 12
 
 
 def test_frames_of_several_sizes(spark):
