@@ -9,10 +9,12 @@ from pyspark.sql.window import Window
 from plateflow import dims
 from plateflow.dims import BOX_COLUMNS, DETECTION_COLUMNS, FLAT_COLUMNS, PLATE_BOX_COLUMNS, PLATE_COLUMNS
 from plateflow.functions import expr
-from plateflow.operators.skew import top_per_key
+from plateflow.operators.skew import BROADCAST_BYTES, cut_lineage, split_heavy, top_per_key
 
 #: Detections per exported record; the next ones of an image are in its next part.
 RECORD_ROWS = 1000
+#: Quantiles at which the ids of an image with more detections can be cut.
+QUANTILES = 256
 
 _TYPES = {
     "plate_readable": "boolean", "plate_rectified": "boolean", "extra": "string",
@@ -89,38 +91,52 @@ def detection_record() -> Column:
     )
 
 
-def place_in_image(dets: DataFrame, slice_rows: int = RECORD_ROWS) -> DataFrame:
-    """``dets`` with ``_place``, the position of a detection in the id order of its image, from 0.
+def place_in_image(dets: DataFrame, slice_rows: int = RECORD_ROWS, ident: str = "detection_id") -> DataFrame:
+    """``dets`` with ``_place``, the position of a detection in the id order of its image, from 0; null ids come first.
 
-    The ids of an image are cut into equally wide slices, as many as it has ``slice_rows``; a slice starts
-    where the ones before it end, and only its own rows are numbered together.
+    For images with many detections. The ids of an image are cut where an approximate quantile sketch of
+    them says, so slices hold about as many rows however the ids lie; an id far from all others is one row of
+    a slice. A slice starts where the counted rows of the ones before it end, and only its own rows are
+    sorted together: they are dealt by image and slice before that.
     """
-    span = dets.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("detection_id").alias("_low"), F.max("detection_id").alias("_high")
+    probes = F.array(*[F.lit(i / QUANTILES) for i in range(1, QUANTILES)])
+    # Every cut that leaves slices of about slice_rows is used, at most all of them.
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(QUANTILES * slice_rows)) / F.col("_n")))
+    cuts = dets.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(ident, probes, F.lit(10 * QUANTILES)).alias("_cuts")).select(
+        "image_id", F.coalesce(F.array_distinct(F.filter("_cuts", lambda x, i: i % step == 0)), F.array().cast("array<bigint>")).alias("_cuts")
     )
-    slices = F.ceil(F.col("_n") / slice_rows)
-    wide = F.greatest(F.ceil((F.col("_high") - F.col("_low") + 1) / slices), F.lit(1))
-    cut = dets.join(span, "image_id").withColumn("_slice", F.floor((F.col("detection_id") - F.col("_low")) / wide))
-    before = Window.partitionBy("image_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("image_id", "_slice").agg(F.count(F.lit(1)).alias("_n")).select(
-        "image_id", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = F.row_number().over(Window.partitionBy("image_id", "_slice").orderBy("detection_id")) - 1
-    placed = cut.drop("_n", "_low", "_high").withColumn("_inside", inside).join(starts, ["image_id", "_slice"])
+    cuts = cut_lineage(cuts)
+    if cuts.count() * QUANTILES * 8 <= BROADCAST_BYTES:
+        cuts = F.broadcast(cuts)
+    own = F.when(F.col(ident).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda x: x < F.col(ident))))
+    cut = dets.join(cuts, "image_id").withColumn("_slice", own).drop("_cuts").repartition("image_id", "_slice")
+    counts = dets.join(cuts, "image_id").groupBy("image_id", own.alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most QUANTILES + 1 slices of an image, put in order inside one row.
+    told = counts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("_slice", "_n"))).alias("_all"))
+    before = F.transform("_all", lambda x, i: F.struct(
+        x["_slice"].alias("_slice"), F.aggregate(F.slice("_all", 1, i), F.lit(0).cast("bigint"), lambda total, y: total + y["_n"]).alias("_start")
+    ))
+    starts = told.select("image_id", F.inline(before))
+    inside = F.row_number().over(Window.partitionBy("image_id", "_slice").orderBy(ident)) - 1
+    placed = cut.withColumn("_inside", inside).join(starts, ["image_id", "_slice"])
     return placed.withColumn("_place", F.col("_start") + F.col("_inside")).drop("_slice", "_start", "_inside")
 
 
 def export_nested(images: DataFrame, jobs: DataFrame, detections: DataFrame, record_rows: int = RECORD_ROWS) -> DataFrame:
     """Records of an image with its detections nested in id order, at most ``record_rows`` in each.
 
-    Part n holds the detections at the places from n * ``record_rows`` on, for every image; the parts
-    of an image put together are its record. An image without detections has one empty part.
-    Places are counted by ranges of ids, so no task numbers or gathers a whole image.
+    Part n holds the detections at the places from n * ``record_rows`` on, null ids first; the parts of an image
+    put together are its record. An image without detections has one empty part. Images of at most
+    ``record_rows`` detections, which partial counts tell, are one list each and need no places. In the others
+    places are counted by ranges of ids, so no task numbers or gathers a whole image.
     """
-    dets = place_in_image(complete_detections(detections), record_rows)
-    part = F.floor(F.col("_place") / record_rows).cast("int")
-    record = F.array_sort(F.collect_list(detection_record()))
-    nested = dets.withColumn("part", part).groupBy("image_id", "part").agg(record.alias("detections"))
+    dets = complete_detections(detections)
+    light, heavy, _ = split_heavy(dets, ["image_id"], record_rows)
+    record = F.array_sort(F.collect_list(detection_record())).alias("detections")
+    nested = light.groupBy("image_id").agg(record).withColumn("part", F.lit(0))
+    if heavy is not None:
+        part = F.floor(F.col("_place") / record_rows).cast("int").alias("part")
+        nested = nested.unionByName(place_in_image(heavy, record_rows).groupBy("image_id", part).agg(record))
     whole = image_results(images, jobs).join(nested, "image_id", "left")
     empty = F.array().cast(nested.schema["detections"].dataType)
     return whole.withColumns({"part": F.coalesce("part", F.lit(0)), "detections": F.coalesce("detections", empty)})
@@ -141,16 +157,89 @@ def export_flat(images: DataFrame, jobs: DataFrame, detections: DataFrame) -> Da
     return flat.select(*[expr.csv_safe(name).alias(name) if kind == "string" else F.col(name) for name, kind in flat.dtypes])
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int | None = None, offset: int = 0, maximum: int = 1000) -> DataFrame:
+#: A key of a page order: a column name, or (name, descending). Nulls come first ascending and last descending.
+Key = str | tuple[str, bool]
+#: Rows up to which the head of an order is taken row by row, ranges a pass counts, and sampled rows per range.
+SHALLOW, RANGES, PROBES = 20_000, 64, 20
+
+
+def _sorts(order: Sequence[Key | Column]) -> list[Column]:
+    out = []
+    for key in order:
+        name, descending = (key, False) if isinstance(key, (str, Column)) else key
+        out.append(name if isinstance(name, Column) else F.col(name).desc() if descending else F.col(name).asc())
+    return out
+
+
+def _behind(order: Sequence[Key], row, or_equal: bool = False) -> Column:
+    """Whether a row comes after ``row`` (any mapping of the keys) in the order."""
+    behind, equal = F.lit(False), F.lit(True)
+    for key in order:
+        name, descending = (key, False) if isinstance(key, str) else key
+        own, value = F.col(name), row[name]
+        if value is None:
+            after, same = (F.lit(False), own.isNull()) if descending else (own.isNotNull(), own.isNull())
+        else:
+            after = F.coalesce(own < F.lit(value), F.lit(True)) if descending else F.coalesce(own > F.lit(value), F.lit(False))
+            same = own.eqNullSafe(F.lit(value))
+        behind, equal = behind | (equal & after), equal & same
+    return behind | equal if or_equal else behind
+
+
+def narrow_to_page(df: DataFrame, order: Sequence[Key], offset: int, limit: int, rows: int = SHALLOW) -> tuple[DataFrame, int]:
+    """``(part, skip)``: the rows of a range of the order that holds the page, and how many of them come before it.
+
+    A pass counts, with partial aggregates only, how many rows lie behind each of some splitters that a
+    small sample of the keys gives, and keeps the range between the two splitters around the page. It is repeated
+    until the range is a few ``rows``, so three or four passes over the key columns serve any offset and nothing
+    is sorted but the range. Keys that many rows share are one range however many they are.
+    """
+    names = [key if isinstance(key, str) else key[0] for key in order]
+    total, skip, part = df.count(), offset, df
+    while total > rows + limit:
+        some = part.select(*names).sample(min(1.0, RANGES * PROBES / total), seed=total % 1009).orderBy(*_sorts(order)).limit(8 * RANGES * PROBES).collect()
+        splitters = list(dict.fromkeys(some[i] for i in range(PROBES // 2, len(some), PROBES)))
+        if not splitters:
+            break
+        counted = part.agg(*[F.count_if(~_behind(order, s, or_equal=True)).alias(f"n{i}") for i, s in enumerate(splitters)]).first()
+        starts = [0, *counted, total]
+        # The last splitter with nothing of the page before it, and the first one behind the page.
+        low = max(i for i, n in enumerate(starts[:-1]) if n <= skip)
+        high = min(i for i, n in enumerate(starts) if i > low and (n >= skip + limit or i == len(starts) - 1))
+        if low > 0:
+            part = part.filter(_behind(order, splitters[low - 1], or_equal=True))
+        if high < len(starts) - 1:
+            part = part.filter(~_behind(order, splitters[high - 1], or_equal=True))
+        left = starts[high] - starts[low]
+        skip -= starts[low]
+        if left > 0.9 * total:
+            break
+        total = left
+    return part, skip
+
+
+def page(df: DataFrame, order: Sequence[Key | Column], limit: int | None = None, offset: int = 0, maximum: int = 1000, shallow: int = SHALLOW) -> DataFrame:
     """A stable page. With an explicit limit the page is cut at ``maximum``; without one, more
-    rows than ``maximum`` are an error rather than a silent truncation."""
+    rows than ``maximum`` are an error rather than a silent truncation.
+
+    An offset above ``shallow`` is reached by counting ranges of the keys (``narrow_to_page``) where the order is given by
+    names; no rows before the page are sorted or moved. ``next_page`` goes on from a row without any counting.
+    """
     size = min(limit or maximum, maximum)
-    ordered = df.orderBy(*order).offset(offset)
+    named = not any(isinstance(key, Column) for key in order)
+    if offset > shallow and named:
+        df, offset = narrow_to_page(df, order, offset, size + 1, shallow)
+    ordered = df.orderBy(*_sorts(order)).offset(offset)
     if limit is None and ordered.limit(maximum + 1).count() > maximum:
         raise ValueError("export too large; use image filters or limit and offset")
     return ordered.limit(size)
 
 
+def next_page(df: DataFrame, order: Sequence[Key], after, limit: int) -> DataFrame:
+    """The ``limit`` rows behind the row ``after`` of the page before. The order has to tell all rows apart."""
+    return df.filter(_behind(order, after)).orderBy(*_sorts(order)).limit(limit)
+
+
 def page_bodies(page_ids: DataFrame, bodies: DataFrame, key: str = "image_id") -> DataFrame:
     """Bodies for the ids of a page (image_id, position); ids without a body are left out."""
     return bodies.join(page_ids, key).orderBy("position")
@@ -234,27 +323,37 @@ def review_search(results: DataFrame, detections: DataFrame, query: str) -> Data
 
 
 def _spanning_search(results: DataFrame, dets: DataFrame, text: Column, needle: str) -> DataFrame:
-    """Search over the joined text of an image without building it: each detection is put in
-    front of as many followers as the needle has blanks, since a match cannot reach further."""
+    """Search over the joined text of an image: file name, then the detections in id order, null ids first.
+
+    Images of few detections are joined and searched. Of the others no text is built: each detection is put in
+    front of as many followers as the needle has blanks, since a match cannot reach further.
+    """
     reach = needle.count(" ")
-    first = results.select("image_id", F.lit(-1).cast("bigint").alias("_order"), F.coalesce("filename", F.lit("")).alias("_text"))
-    rest = dets.select("image_id", F.col("detection_id").alias("_order"), text.alias("_text"))
-    rows = first.unionByName(rest).withColumn("_text", F.lower("_text")).filter(F.col("_text") != "")
-    inside = rows.filter(F.col("_text").contains(needle)).select("image_id")
+    first = results.select("image_id", F.lower(F.coalesce("filename", F.lit(""))).alias("_text")).filter(F.col("_text") != "")
+    rest = dets.select("image_id", "detection_id", F.lower(text).alias("_text")).filter(F.col("_text") != "")
+    both = first.unionByName(rest.drop("detection_id"))
+    inside = both.filter(F.col("_text").contains(needle)).select("image_id")
     # A match across two of them starts at the end of the first, which few images have.
-    heads = [needle[:cut] for cut, letter in enumerate(needle) if letter == " "]
     opens = F.lit(False)
-    for head in heads:
+    for head in [needle[:cut] for cut, letter in enumerate(needle) if letter == " "]:
         opens = opens | F.col("_text").endswith(head)
-    likely = rows.join(rows.filter(opens).select("image_id").distinct(), "image_id", "left_semi")
-    # Rows are numbered by slices of an image; the first rows of each stretch are repeated at the end of
-    # the stretch before, so a match over the seam is seen and no task holds a whole image.
-    placed = place_in_image(likely.withColumnRenamed("_order", "detection_id")).withColumn("_stretch", F.floor(F.col("_place") / RECORD_ROWS))
-    seam = F.when((F.col("_stretch") > 0) & (F.col("_place") % RECORD_ROWS < reach), F.array(F.col("_stretch"), F.col("_stretch") - 1))
-    spread = placed.withColumn("_stretch", F.explode(F.coalesce(seam, F.array("_stretch"))))
-    window = Window.partitionBy("image_id", "_stretch").orderBy("_place")
-    run = F.concat_ws(" ", "_text", *[F.lead("_text", step).over(window) for step in range(1, reach + 1)])
-    across = spread.withColumn("_run", run).filter(F.col("_run").contains(needle)).select("image_id")
+    likely = both.filter(opens).select("image_id").distinct()
+    light, heavy, _ = split_heavy(rest.join(likely, "image_id", "left_semi"), ["image_id"], RECORD_ROWS)
+    follow = F.transform(F.array_sort(F.collect_list(F.struct("detection_id", "_text"))), lambda d: d["_text"])
+    listed = light.groupBy("image_id").agg(follow.alias("_rest")).join(first.join(likely, "image_id", "left_semi"), "image_id", "left")
+    across = listed.filter(F.concat_ws(" ", "_text", "_rest").contains(needle)).select("image_id")
+    if heavy is not None:
+        hot = heavy.select("image_id").distinct()
+        placed = place_in_image(heavy).select("image_id", (F.col("_place") + 1).alias("_place"), "_text")
+        placed = placed.unionByName(first.join(hot, "image_id", "left_semi").select("image_id", F.lit(0).cast("bigint").alias("_place"), "_text"))
+        # The first rows of each stretch are repeated at the end of the stretch before, so a match over the
+        # seam is seen and no task holds a whole image.
+        placed = placed.withColumn("_stretch", F.floor(F.col("_place") / RECORD_ROWS))
+        seam = F.when((F.col("_stretch") > 0) & (F.col("_place") % RECORD_ROWS < reach), F.array(F.col("_stretch"), F.col("_stretch") - 1))
+        spread = placed.withColumn("_stretch", F.explode(F.coalesce(seam, F.array("_stretch"))))
+        window = Window.partitionBy("image_id", "_stretch").orderBy("_place")
+        run = F.concat_ws(" ", "_text", *[F.lead("_text", step).over(window) for step in range(1, reach + 1)])
+        across = across.unionByName(spread.withColumn("_run", run).filter(F.col("_run").contains(needle)).select("image_id"))
     return results.join(inside.unionByName(across).distinct(), "image_id", "left_semi")
 
 

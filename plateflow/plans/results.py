@@ -98,8 +98,28 @@ def _(fx):
     "SELECT image_id, original_filename FROM v_image ORDER BY created_at, image_id LIMIT 200 OFFSET 100",
 )
 def _(fx):
-    order = [F.col("created_at"), F.col("image_id")]
-    return op.page(fx.v_image, order, limit=200, offset=100).select("image_id", "original_filename")
+    return op.page(fx.v_image, ["created_at", "image_id"], limit=200, offset=100).select("image_id", "original_filename")
+
+
+@query(
+    "page_deep",
+    """SELECT detection_id, image_id, confidence FROM v_detection ORDER BY confidence DESC, detection_id LIMIT 100
+    OFFSET (SELECT count(*) // 2 FROM v_detection)""",
+)
+def _(fx):
+    order = [("confidence", True), "detection_id"]
+    middle = fx.v_detection.count() // 2
+    return op.page(fx.v_detection, order, limit=100, offset=middle, shallow=50).select("detection_id", "image_id", "confidence")
+
+
+@query(
+    "page_after",
+    """SELECT job_id, created_at FROM v_job ORDER BY created_at DESC, job_id DESC LIMIT 50 OFFSET 50""",
+)
+def _(fx):
+    newest = [("created_at", True), ("job_id", True)]
+    last = op.page(fx.v_job, newest, limit=50).tail(1)[0]
+    return op.next_page(fx.v_job, newest, last, 50).select("job_id", "created_at")
 
 
 @query(
@@ -109,9 +129,9 @@ def _(fx):
     SELECT ids.position, r.image_id, r.filename, r.status FROM ids JOIN res r ON r.image_id = ids.image_id WHERE r.annotated_available""",
 )
 def _(fx):
-    newest = [F.col("created_at").desc(), F.col("image_id").desc()]
+    newest = [("created_at", True), ("image_id", True)]
     # The page is at most 200 rows, so numbering it needs no partitioning.
-    ids = op.page(fx.v_image, newest, limit=200).select("image_id", F.row_number().over(Window.orderBy(*newest)).cast("bigint").alias("position"))
+    ids = op.page(fx.v_image, newest, limit=200).select("image_id", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("image_id"))).cast("bigint").alias("position"))
     bodies = _results(fx).filter("annotated_available").select("image_id", "filename", "status")
     return op.page_bodies(ids, bodies).select("position", "image_id", "filename", "status")
 
@@ -141,7 +161,7 @@ def _(fx):
 )
 def _(fx):
     found = op.search_detections(fx.v_detection, plate="A0")
-    listed = op.page(found, [F.col("image_id").desc(), F.col("detection_id").desc()], limit=50, offset=10)
+    listed = op.page(found, [("image_id", True), ("detection_id", True)], limit=50, offset=10)
     total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
     return listed.select("detection_id", "image_id", "license_plate", total.alias("total"))
 
@@ -149,12 +169,12 @@ def _(fx):
 @query("list_jobs", "SELECT job_id, image_id, status FROM v_job WHERE status = 'failed' ORDER BY created_at DESC, job_id DESC LIMIT 50 OFFSET 20")
 def _(fx):
     failed = op.list_jobs(fx.v_job, status="failed").select("job_id", "image_id", "status", "created_at")
-    return op.page(failed, [F.col("created_at").desc(), F.col("job_id").desc()], limit=50, offset=20).drop("created_at")
+    return op.page(failed, [("created_at", True), ("job_id", True)], limit=50, offset=20).drop("created_at")
 
 
 @query("list_images", "SELECT image_id, original_filename FROM v_image ORDER BY created_at DESC, image_id DESC LIMIT 50")
 def _(fx):
-    return op.page(fx.v_image, [F.col("created_at").desc(), F.col("image_id").desc()], limit=50).select("image_id", "original_filename")
+    return op.page(fx.v_image, [("created_at", True), ("image_id", True)], limit=50).select("image_id", "original_filename")
 
 
 REVIEW = f"""WITH {JOBS}, f AS (

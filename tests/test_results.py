@@ -1,6 +1,7 @@
 """Stored results, corrections, ingest and parsing."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,60 @@ def test_large_image_is_exported_in_parts(spark):
     assert [(row.part, len(row.detections)) for row in out if row.image_id == 3] == [(0, 0)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outlying_and_null_ids_of_a_hot_image(spark):
+    """Ids far away, equal ids and null ids keep their places; at the limit both ways give the same parts."""
+    images = spark.createDataFrame([(1, "a.jpg", 10, 10, None), (2, "b.jpg", 10, 10, None)], IMAGE)
+    ids = [-(10**17), None, *range(500, 700), 10**18]
+    dets = spark.createDataFrame([det(i) for i in ids] + [det(i, 2) for i in range(10)], DET)
+    out = results.export_nested(images, spark.createDataFrame([], JOB), dets, record_rows=10)
+    parts = {row.part: [d.detection_id for d in row.detections] for row in out.collect() if row.image_id == 1}
+    assert [x for part in sorted(parts) for x in parts[part]] == [None, -(10**17), *range(500, 700), 10**18]
+    assert sorted(map(len, parts.values())) == [3] + [10] * 20
+    slices = results.place_in_image(dets.filter("image_id = 1"), 10)
+    places = {row.detection_id: row._place for row in slices.collect()}
+    assert places[None] == 0 and places[-(10**17)] == 1 and places[10**18] == 202 and sorted(places.values()) == list(range(203))
+    two = [[d.detection_id for d in row.detections] for row in out.collect() if row.image_id == 2]
+    assert two == [list(range(10))]
+
+
+def test_a_hot_image_is_spread_over_tasks(spark):
+    """Slices are balanced however the ids lie, and no window stands on rows dealt by image alone."""
+    dets = spark.range(20_000).select(F.lit(1).cast("bigint").alias("image_id"), (F.col("id") * F.when(F.col("id") > 19_990, 10**12).otherwise(1)).alias("detection_id"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        placed = results.place_in_image(dets, 100)
+        text = plan_of(placed)
+        rows = [row["count"] for row in placed.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert len(rows) == 4 and max(rows) < 10_000
+    lines = [line.strip(" :+-*()0123456789") for line in text.splitlines()]
+    for i, line in enumerate(lines):
+        if line.startswith("Window "):
+            dealt = next(x for x in lines[i:] if x.startswith("Exchange"))
+            assert "_slice" in dealt
+    assert placed.filter("_place % 1000 = 0").count() == 20
+
+
+def test_spanning_search_in_a_hot_image(spark):
+    images = spark.createDataFrame([(1, "front.jpg", 10, 10, None), (2, "back.jpg", 10, 10, None)], IMAGE)
+    dets = spark.createDataFrame(
+        [det(i, manufacturer=f"m{i}") for i in range(3000)] + [det(10**18, manufacturer="last"), det(None, manufacturer="none")] + [det(i, 2, manufacturer=f"m{i}") for i in range(5)], DET
+    )
+    shown = results.image_results(images, spark.createDataFrame([], JOB))
+    found = lambda needle: sorted(row.image_id for row in results.review_search(shown, dets, needle).collect())
+    assert found("m0 truck m1 truck") == [1, 2] and found("m2999 truck last") == [1] and found("m999 truck m1000") == [1]
+    assert found("front.jpg truck none truck m0") == [1] and found("back.jpg truck m0") == [2] and found("front.jpg truck m0") == [] and found("m4 truck m6") == []
+
+
 def test_formula_text_is_defused_and_numbers_are_not(spark, tmp_path):
     images = spark.createDataFrame([(1, " =1+1.jpg", 10, 10, None)], IMAGE)
     flat = results.export_flat(images, spark.createDataFrame([], JOB), spark.createDataFrame([det(-1, manufacturer="@x")], DET))
@@ -61,6 +116,29 @@ def test_page_limits(spark):
         results.page(ids, [F.col("id")], maximum=20)
 
 
+def test_deep_pages_equal_sorted_rows(spark):
+    """Random orders with nulls, ties and both directions, at all offsets."""
+    rng = random.Random(6)
+    data = [(i, rng.choice([None, 1, 2, 2, 3]), rng.choice([None, "a", "b", "B"]), rng.random() if rng.random() > 0.1 else None) for i in range(3000)]
+    df = spark.createDataFrame(data, "id bigint, k int, s string, x double").repartition(5).cache()
+    for order in (["k", ("s", True), ("id", False)], [("x", True), ("id", True)], [("s", False), "x", "id"]):
+        want = df.orderBy(*[F.col(k).desc() if d else F.col(k) for k, d in ((o, False) if isinstance(o, str) else o for o in order)]).collect()
+        for offset in (0, 17, 1500, 2950, 2999, 3000, 9000):
+            assert results.page(df, order, limit=60, offset=offset, shallow=100).collect() == want[offset : offset + 60]
+        assert results.next_page(df, order, want[1234], 20).collect() == want[1235:1255]
+    same = spark.range(5000).select(F.lit(7).alias("k"))
+    assert results.page(same, ["k"], limit=10, offset=4995, shallow=100).count() == 5
+
+
+def test_a_page_at_ten_million(spark):
+    """Only a small range is sorted."""
+    df = spark.range(12_000_000, numPartitions=8).select(F.pmod(F.col("id") * 7_919, F.lit(12_000_000)).alias("key"))
+    part, skip = results.narrow_to_page(df, ["key"], 10_000_000, 50)
+    assert part.count() < 100_000 and skip < 100_000
+    assert [r.key for r in results.page(df, ["key"], limit=50, offset=10_000_000).collect()] == list(range(10_000_000, 10_000_050))
+    assert [r.key for r in results.next_page(df, ["key"], {"key": 10_000_049}, 3).collect()] == [10_000_050, 10_000_051, 10_000_052]
+
+
 def patch(spark, **values):
     dets = spark.createDataFrame([det(1, plate="123 ABC 10", raw="123ABC10")], DET)
     columns = ["detection_id bigint"]
