@@ -213,8 +213,9 @@ _BLANK = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column | str) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(_col(c), f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    """Without white space of any kind at both ends. Text between two visible ASCII signs is left as it is."""
+    shown = F.ascii(_col(c)).between(33, 126) & F.ascii(F.right(_col(c), F.lit(1))).between(33, 126)
+    return F.when(shown, _col(c)).otherwise(F.regexp_replace(_col(c), f"(?U)^{_BLANK}+|{_BLANK}+$", ""))
 
 
 def clean_plate(c: Column | str) -> Column:

@@ -147,7 +147,8 @@ def _boxed(box: Column) -> Column:
 def _short(d: Column, lengths: Mapping[str, int]) -> Column:
     good = F.lit(True)
     for name, most in lengths.items():
-        good = good & (F.coalesce(F.length(expr.strip(d[name])), F.lit(0)) <= most)
+        # Most text is short as it is and needs no stripping.
+        good = good & (d[name].isNull() | (F.length(d[name]) <= most) | (F.length(expr.strip(d[name])) <= most))
     return good
 
 
@@ -179,10 +180,9 @@ def _detection_good(d: Column) -> Column:
 
 def _as_written(item: Column, typed: Column, kinds: Mapping[str, str]) -> Column:
     """Every field of the written object (a map to JSON text) is known, and none was lost to its type."""
-    good = F.size(F.array_except(F.map_keys(item), F.array(*[F.lit(name) for name in kinds]))) == 0
-    for name in kinds:
-        good = good & (item[name].isNull() | typed[name].isNotNull())
-    return good
+    # The typed object comes from the same text, so it has no field that was not written: none was lost if as many are filled.
+    filled = [typed[name].isNotNull().cast("int") for name in kinds]
+    return F.forall(F.map_keys(item), lambda name: name.isin(list(kinds))) & (F.size(F.array_compact(F.map_values(item))) == sum(filled[1:], filled[0]))
 
 
 def _plate_as_written(item: Column, typed: Column) -> Column:
@@ -194,13 +194,22 @@ def _known_corners(box: Column) -> Column:
     return F.size(F.array_except(F.coalesce(F.json_object_keys(box), F.array(F.lit("none"))), corners)) == 0
 
 
-def _wrong(pair: Column) -> Column:
-    """True when a detection, as written and as typed, breaks the schema."""
-    item, d = pair["_items"], pair["_parsed"]
-    plate = F.from_json(item["plate"], "map<string,string>")
-    extra = F.zip_with(F.from_json(item["extra_plates"], _OBJECTS), d["extra_plates"], _plate_as_written)
+def _opened(pair: Column) -> Column:
+    """A detection as written and as typed, with its plates as maps. Tests read these from the struct, so the
+    text of a plate is parsed once, however many fields are asked for."""
+    item = pair["_items"]
+    return F.struct(
+        item.alias("item"), pair["_parsed"].alias("d"), F.from_json(item["plate"], "map<string,string>").alias("plate"),
+        F.from_json(item["extra_plates"], _OBJECTS).alias("extra"),
+    )
+
+
+def _wrong(opened: Column) -> Column:
+    """True when an opened detection breaks the schema."""
+    item, d = opened["item"], opened["d"]
+    extra = F.zip_with(opened["extra"], d["extra_plates"], _plate_as_written)
     good = (
-        _as_written(item, d, _DETECTION) & _known_corners(item["bbox"]) & (item["plate"].isNull() | _plate_as_written(plate, d["plate"]))
+        _as_written(item, d, _DETECTION) & _known_corners(item["bbox"]) & (item["plate"].isNull() | _plate_as_written(opened["plate"], d["plate"]))
         & (item["extra_plates"].isNull() | ~F.exists(extra, lambda fine: ~F.coalesce(fine, F.lit(False))))
     )
     return ~F.coalesce(good & _detection_good(d), F.lit(False))
@@ -249,25 +258,33 @@ def parse_recognition_json(raw: DataFrame, column: str = "raw") -> DataFrame:
     # The items as maps show every field they have, also those the typed parse would pass over.
     items = F.from_json("_bare", f"detections {_OBJECTS}")["detections"]
     parsed = F.from_json("_bare", RESULT_SCHEMA)["detections"]
-    problem = (
+    early = (
         F.when(F.col("_answer").isNull(), "not_json")
-        .when(F.coalesce(F.col("_finish").isin("length", "content_filter"), F.lit(False)), "truncated_or_filtered")
-        .when(F.col("_content").isNull(), "no_content")
-        .when(F.col("_names").isNull(), "not_an_object")
-        .when(F.array_join("_names", ",") != "detections", "schema")
+        .when(F.coalesce(F.try_variant_get("_answer", "$.choices[0].finish_reason", "string").isin("length", "content_filter"), F.lit(False)), "truncated_or_filtered")
+    )
+    shaped = (
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        .when(F.col("_bare").isNull(), "no_content")
+        .when(F.json_object_keys("_bare").isNull(), "not_an_object")
+        .when(F.array_join(F.json_object_keys("_bare"), ",") != "detections", "schema")
+    )
+    problem = (
+        F.when(F.col("_shaped").isNotNull(), F.col("_shaped"))
         .when(F.col("_items").isNull() | F.col("_parsed").isNull() | (F.size("_items") > MAX_DETECTIONS), "schema")
-        .when(F.coalesce(F.exists(F.arrays_zip("_items", "_parsed"), _wrong), F.lit(True)), "schema")
+        .when(F.coalesce(F.exists(F.transform(F.arrays_zip("_items", "_parsed"), _opened), _wrong), F.lit(True)), "schema")
     )
+    # Each step hands on only what the next one needs: the answer as a variant and the content are large. Content that
+    # cannot be accepted is not parsed.
+    keep = raw.columns
+    sound = F.when(F.col("_shaped").isNull(), F.col("_bare"))
     return (
-        raw.withColumn("_answer", F.try_parse_json(column))
-        .withColumn("_finish", F.try_variant_get("_answer", "$.choices[0].finish_reason", "string"))
+        raw.select(*keep, F.try_parse_json(column).alias("_answer"))
         .withColumn("_kind", kind)
-        .withColumn("_content", content)
-        .withColumn("_bare", bare)
-        .withColumn("_names", F.json_object_keys("_bare"))
-        .withColumn("_items", items)
-        .withColumn("_parsed", parsed)
-        .withColumn("problem", problem)
-        .withColumn("detections", F.when(F.col("problem").isNull(), F.transform("_parsed", _normal)))
-        .drop("_answer", "_finish", "_kind", "_content", "_bare", "_names", "_items", "_parsed")
+        .select(*keep, early.alias("_early"), content.alias("_content"))
+        .select(*keep, "_early", bare.alias("_bare"))
+        .select(*keep, shaped.alias("_shaped"), "_bare")
+        .select(*keep, "_shaped", sound.alias("_bare"))
+        .select(*keep, "_shaped", items.alias("_items"), parsed.alias("_parsed"))
+        .select(*keep, problem.alias("problem"), "_parsed")
+        .select(*keep, "problem", F.when(F.col("problem").isNull(), F.transform("_parsed", _normal)).alias("detections"))
     )
