@@ -4,10 +4,16 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from plateflow.operators.skew import GROUP_ROWS, cut_lineage, split_heavy
 from plateflow.operators.suppress import Rule, greedy_keep
 
 CORNERS = ("tl", "tr", "br", "bl")
+#: Distance in pixels from which Huber's rule takes weight off a point, and the least run of a line.
+HUBER, UPRIGHT = 1.345, 1e-6
+#: Rounds of re-weighting of a fitted line.
+FIT_ROUNDS = 6
 
 
 def _length(dx: Column, dy: Column) -> Column:
@@ -151,29 +157,98 @@ def select_quads(candidates: DataFrame, k: int = 5, min_height: float = 7.0, low
     return chosen.drop("x1", "y1", "x2", "y2")
 
 
-def glyph_row_quads(glyphs: DataFrame, key: str = "crop_id") -> DataFrame:
+def _weight(line: Column, u: Column, v: Column) -> Column:
+    """Huber weight of a point: 1 near the line, falling with the distance beyond."""
+    gap = F.abs(line["dx"] * (v - line["y0"]) - line["dy"] * (u - line["x0"]))
+    return F.when(gap > HUBER, F.lit(HUBER) / gap).otherwise(F.lit(1.0))
+
+
+def _line(n: Column, su: Column, sv: Column, suu: Column, suv: Column, svv: Column) -> Column:
+    """The line of least squared distances through weighted points, from their moments: a point and a direction."""
+    x0, y0 = su / n, sv / n
+    angle = F.atan2(2 * (suv / n - x0 * y0), (suu / n - x0 * x0) - (svv / n - y0 * y0)) / 2
+    return F.struct(x0.alias("x0"), y0.alias("y0"), F.cos(angle).alias("dx"), F.sin(angle).alias("dy"))
+
+
+_MOMENTS = ("n", "su", "sv", "suu", "suv", "svv")
+
+
+def _moments(w: Column, u: Column, v: Column) -> list[Column]:
+    return [w, w * u, w * v, w * u * u, w * u * v, w * v * v]
+
+
+#: Sides of a row of glyphs: the line through their tops and the one through their bottoms.
+_SIDES = {"_top": lambda: F.col("y").cast("double"), "_low": lambda: (F.col("y") + F.col("h")).cast("double")}
+
+
+def _sums(u: Column, weights: dict[str, Column]) -> dict[str, Column]:
+    """Weighted moments of both sides, as aggregates."""
+    return {f"{side}_{name}": F.sum(c) for side, v in _SIDES.items() for name, c in zip(_MOMENTS, _moments(weights[side], u, v()))}
+
+
+def _lines() -> list[Column]:
+    return [_line(*[F.col(f"{side}_{name}") for name in _MOMENTS]).alias(side) for side in _SIDES]
+
+
+def _reweighed(u: Column) -> dict[str, Column]:
+    return {side: _weight(F.col(side), u, v()) for side, v in _SIDES.items()}
+
+
+_SHAPE = {
+    "glyphs": lambda: F.count(F.lit(1)), "glyph_h": lambda: F.median("h"), "glyph_w": lambda: F.median("w"),
+    "_left": lambda: F.min("x"), "_right": lambda: F.max(F.col("x") + F.col("w")), "_width": lambda: F.max("crop_w"),
+}
+
+
+def _fits_of_windows(shaped: DataFrame, key: str) -> DataFrame:
+    """After one shuffle by crop every round is a window over its few glyphs: moments, then the next line."""
+    crop = Window.partitionBy(key)
+    row = shaped.withColumns({"_mid": F.median("h").over(crop), "_n": F.count(F.lit(1)).over(crop)})
+    row = row.filter((F.col("_n") >= 3) & F.col("h").between(0.62 * F.col("_mid"), 1.45 * F.col("_mid"))).drop("_mid", "_n")
+    own = row.columns
+    u = F.col("x") + F.col("w") / 2
+    weights = dict.fromkeys(_SIDES, F.lit(1.0))
+    for _ in range(FIT_ROUNDS + 1):
+        row = row.withColumns({name: c.over(crop) for name, c in _sums(u, weights).items()}).select(*own, *_lines())
+        weights = _reweighed(u)
+    shape = [c().alias(name) for name, c in _SHAPE.items()]
+    return row.groupBy(key).agg(*shape, *[F.first(side).alias(side) for side in _SIDES]).filter("glyphs >= 6")
+
+
+def _fits_of_moments(shaped: DataFrame, key: str) -> DataFrame:
+    """The same for crops with very many glyphs: every round is a partial aggregation of moments, and the
+    lines of the round before, one row per crop, are joined to the glyphs."""
+    typical = shaped.groupBy(key).agg(F.median("h").alias("_mid"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3").drop("_n")
+    row = cut_lineage(shaped.join(typical, key).filter(F.col("h").between(0.62 * F.col("_mid"), 1.45 * F.col("_mid"))).drop("_mid"))
+    u = F.col("x") + F.col("w") / 2
+
+    def fitted(rows: DataFrame, weights: dict[str, Column]) -> DataFrame:
+        return cut_lineage(rows.groupBy(key).agg(*[c.alias(name) for name, c in _sums(u, weights).items()]).select(key, *_lines()))
+
+    lines = fitted(row, dict.fromkeys(_SIDES, F.lit(1.0)))
+    for _ in range(FIT_ROUNDS):
+        lines = fitted(row.join(lines, key), _reweighed(u))
+    return row.groupBy(key).agg(*[c().alias(name) for name, c in _SHAPE.items()]).filter("glyphs >= 6").join(lines, key)
+
+
+def glyph_row_quads(glyphs: DataFrame, key: str = "crop_id", group_rows: int = GROUP_ROWS) -> DataFrame:
     """Plate corners from the glyph boxes of a crop: glyphs of one height, a line through their
     tops and one through their bottoms, closed past the outermost glyphs.
 
-    The lines are ordinary least squares. A robust fit, which is what the original method asks
-    for, differs where single glyphs are misplaced.
+    The lines are robust: least squared distances from the line, re-weighted by Huber's rule for a fixed number of
+    rounds, so a glyph off the row hardly tilts them. A line that stands upright gives no quad. Crops above
+    ``group_rows`` glyphs are fitted by partial aggregation, others in windows. Glyphs with null sizes are left out.
     """
     x, y, w, h = (F.col(name) for name in ("x", "y", "w", "h"))
     shaped = glyphs.filter(
-        h.between(0.16 * F.col("crop_h"), 0.80 * F.col("crop_h")) & (w >= 2) & (w <= 0.35 * F.col("crop_w")) & (w / h).between(0.10, 1.6)
-    )
-    typical = shaped.groupBy(key).agg(F.median("h").alias("_mid"), F.count(F.lit(1)).alias("_n")).filter("_n >= 3")
-    row = shaped.join(typical.drop("_n"), key).filter(h.between(0.62 * F.col("_mid"), 1.45 * F.col("_mid")))
-    centre = x + w / 2
-    # Centred sums keep the fit stable and are partial aggregates.
-    fits = row.groupBy(key).agg(
-        F.count(F.lit(1)).alias("glyphs"),
-        F.regr_slope(y.cast("double"), centre).alias("top_slope"), F.regr_intercept(y.cast("double"), centre).alias("top_at"),
-        F.regr_slope((y + h).cast("double"), centre).alias("low_slope"), F.regr_intercept((y + h).cast("double"), centre).alias("low_at"),
-        F.median("h").alias("glyph_h"), F.median("w").alias("glyph_w"),
-        F.min("x").alias("_left"), F.max(x + w).alias("_right"),
-        F.max("crop_w").alias("_width"),
-    ).filter((F.col("glyphs") >= 6) & F.col("top_slope").isNotNull() & F.col("low_slope").isNotNull())
+        h.between(0.16 * F.col("crop_h"), 0.80 * F.col("crop_h")) & (w >= 2) & (w <= 0.35 * F.col("crop_w")) & (w / h).between(0.10, 1.6) & x.isNotNull() & y.isNotNull()
+    ).select(key, "x", "y", "w", "h", "crop_w")
+    light, heavy, _ = split_heavy(shaped, [key], group_rows)
+    fits = _fits_of_windows(light, key)
+    if heavy is not None:
+        many = _fits_of_moments(heavy, key)
+        fits = fits.unionByName(many.select(*[F.col(name).cast(kind) for name, kind in fits.dtypes]))
+    fits = fits.filter((F.abs(F.col("_top.dx")) >= UPRIGHT) & (F.abs(F.col("_low.dx")) >= UPRIGHT))
     left = F.col("_left") - 0.9 * F.col("glyph_w")
     right = F.col("_right") + 1.6 * F.col("glyph_w")
     closed = fits.withColumn("left_x", F.least(F.greatest(left, -0.15 * F.col("_width")), F.col("_width").cast("double"))).withColumn(
@@ -181,14 +256,11 @@ def glyph_row_quads(glyphs: DataFrame, key: str = "crop_id") -> DataFrame:
     ).filter(F.col("right_x") - F.col("left_x") >= 3 * F.col("glyph_w"))
     pad = 0.28 * F.col("glyph_h")
 
-    def top(at: str) -> Column:
-        return F.col("top_slope") * F.col(at) + F.col("top_at") - pad
-
-    def low(at: str) -> Column:
-        return F.col("low_slope") * F.col(at) + F.col("low_at") + pad
+    def height(line: str, at: str) -> Column:
+        return F.col(line)["y0"] + F.col(line)["dy"] / F.col(line)["dx"] * (F.col(at) - F.col(line)["x0"])
 
     return closed.select(
         key, "glyphs",
-        F.col("left_x").alias("tlx"), top("left_x").alias("tly"), F.col("right_x").alias("trx"), top("right_x").alias("try_"),
-        F.col("right_x").alias("brx"), low("right_x").alias("bry"), F.col("left_x").alias("blx"), low("left_x").alias("bly"),
+        F.col("left_x").alias("tlx"), (height("_top", "left_x") - pad).alias("tly"), F.col("right_x").alias("trx"), (height("_top", "right_x") - pad).alias("try_"),
+        F.col("right_x").alias("brx"), (height("_low", "right_x") + pad).alias("bry"), F.col("left_x").alias("blx"), (height("_low", "left_x") + pad).alias("bly"),
     )

@@ -119,15 +119,32 @@ def _(fx):
     return geometry.order_corners(fx.sql(SCRAMBLED)).select("image_id", "plate_idx", "ordered", "tlx", "tly", "brx", "bry")
 
 
+def _fit_sql(n: int) -> str:
+    """Lines of least squared distances with weights ``w``, from those of the round before."""
+    weighted = "SELECT *, 1.0 AS w FROM p" if n == 0 else (
+        f"SELECT p.*, 1.345 / greatest(1.345, abs(cos(l.a) * (p.v - l.y0) - sin(l.a) * (p.u - l.x0))) AS w FROM p JOIN l{n - 1} l USING (crop_id, side)"
+    )
+    return f"""m{n} AS (SELECT crop_id, side, sum(w * u) / sum(w) AS x0, sum(w * v) / sum(w) AS y0, sum(w * u * u) / sum(w) AS uu, sum(w * u * v) / sum(w) AS uv,
+                     sum(w * v * v) / sum(w) AS vv FROM ({weighted}) GROUP BY ALL),
+    l{n} AS MATERIALIZED (SELECT crop_id, side, x0, y0, atan2(2 * (uv - x0 * y0), (uu - x0 * x0) - (vv - y0 * y0)) / 2 AS a FROM m{n})"""
+
+
+FITS = ",\n    ".join(_fit_sql(n) for n in range(geometry.FIT_ROUNDS + 1))
+LAST_FIT = f"l{geometry.FIT_ROUNDS}"
+
+
 @query(
     "glyph_row_quads",
     f"""WITH s AS (SELECT * FROM v_glyph_box WHERE h BETWEEN 0.16 * crop_h AND 0.80 * crop_h AND w >= 2 AND w <= 0.35 * crop_w AND w / h BETWEEN 0.10 AND 1.6),
     t AS (SELECT crop_id, median(h) AS mid FROM s GROUP BY 1 HAVING count(*) >= 3),
     r AS (SELECT s.*, x + w / 2 AS cx FROM s JOIN t ON t.crop_id = s.crop_id WHERE h BETWEEN 0.62 * mid AND 1.45 * mid),
-    f AS (SELECT crop_id, count(*) AS glyphs, regr_slope(y, cx) AS ts, regr_intercept(y, cx) AS ti, regr_slope(y + h, cx) AS ls, regr_intercept(y + h, cx) AS li,
-                 median(h) AS gh, median(w) AS gw, min(x) AS l, max(x + w) AS r, max(crop_w) AS cw FROM r GROUP BY 1 HAVING count(*) >= 6),
-    c AS (SELECT *, least(greatest(l - 0.9 * gw, -0.15 * cw), cw) AS lx, least(greatest(r + 1.6 * gw, 0), 1.15 * cw) AS rx FROM f)
-    SELECT crop_id, glyphs, {p.fixed('lx', 3)} AS tlx, {p.fixed('ts * lx + ti - 0.28 * gh', 3)} AS tly, {p.fixed('ls * rx + li + 0.28 * gh', 3)} AS bry
+    p AS (SELECT crop_id, 'top' AS side, cx AS u, cast(y AS double) AS v FROM r UNION ALL SELECT crop_id, 'low', cx, cast(y + h AS double) FROM r),
+    {FITS},
+    f AS (SELECT crop_id, count(*) AS glyphs, median(h) AS gh, median(w) AS gw, min(x) AS l, max(x + w) AS r, max(crop_w) AS cw FROM r GROUP BY 1 HAVING count(*) >= 6),
+    c AS (SELECT f.*, least(greatest(l - 0.9 * gw, -0.15 * cw), cw) AS lx, least(greatest(r + 1.6 * gw, 0), 1.15 * cw) AS rx, t.x0 AS tx, t.y0 AS ty, tan(t.a) AS ts,
+                 b.x0 AS bx, b.y0 AS by_, tan(b.a) AS bs
+          FROM f JOIN {LAST_FIT} t ON t.crop_id = f.crop_id AND t.side = 'top' JOIN {LAST_FIT} b ON b.crop_id = f.crop_id AND b.side = 'low')
+    SELECT crop_id, glyphs, {p.fixed('lx', 3)} AS tlx, {p.fixed('ty + ts * (lx - tx) - 0.28 * gh', 3)} AS tly, {p.fixed('by_ + bs * (rx - bx) + 0.28 * gh', 3)} AS bry
     FROM c WHERE rx - lx >= 3 * gw""",
 )
 def _(fx):

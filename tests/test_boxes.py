@@ -179,3 +179,26 @@ def test_frames_of_several_sizes(spark):
                                 "image_id bigint, box_idx bigint, confidence double, coco_label string, cx double, cy double, bw double, bh double, w int, h int")
     rows = boxes.decode_boxes(raw, F.col("w"), F.col("h")).collect()
     assert {row.image_id: (row.x1, row.y1, row.x2, row.y2) for row in rows} == {1: (25, 20, 75, 60), 2: (100, 50, 300, 150)}
+
+
+def glyph_rows(spark, rows):
+    return spark.createDataFrame(rows, "crop_id bigint, x int, y int, w int, h int, crop_w int, crop_h int")
+
+
+def test_one_misplaced_glyph_does_not_tilt_the_quad(spark):
+    """Ten glyphs on a slope and one far below; least squares would tilt by several pixels."""
+    row = [(1, 20 + 22 * i, 30 + i, 14, 40, 300, 100) for i in range(10)]
+    clean, bent = geometry.glyph_row_quads(glyph_rows(spark, row)).first(), geometry.glyph_row_quads(glyph_rows(spark, [*row, (1, 240, 60, 14, 40, 300, 100)])).first()
+    slope = (clean.try_ - clean.tly) / (clean.trx - clean.tlx)
+    assert abs(slope - 1 / 22) < 1e-6 and bent.glyphs == 11
+    assert abs((bent.try_ - bent.tly) / (bent.trx - bent.tlx) - slope) < 0.02
+
+
+def test_hot_crops_are_fitted_alike(spark):
+    rng = random.Random(9)
+    rows = [(crop, 10 + 5 * i, 30 + rng.randrange(6) + (40 if rng.random() < 0.1 else 0), 12 + rng.randrange(4), 36 + rng.randrange(8), 600, 100) for crop in (1, 2, 3) for i in range(40)]
+    rows += [(4, i, None, 12, 40, 300, 100) for i in range(9)] + [(5, 10 + 20 * i, 30, 12, 40, 300, 100) for i in range(5)]
+    one, two = ({r.crop_id: r for r in geometry.glyph_row_quads(glyph_rows(spark, rows), group_rows=n).collect()} for n in (10_000, 20))
+    assert set(one) == set(two) == {1, 2, 3}
+    for crop in one:
+        assert one[crop] == pytest.approx(two[crop], abs=1e-6)
