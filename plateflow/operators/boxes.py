@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from plateflow import dims
 from plateflow.functions import expr
-from plateflow.operators.skew import GROUP_ROWS, split_heavy, top_per_key
+from plateflow.operators.skew import GROUP_ROWS, cut_lineage, split_heavy, top_per_key
 from plateflow.operators.suppress import suppress_plates
 
 #: Cell side, in pixels, of the grid that splits a heavy image.
 CELL = 64
+#: Boxes times centres up to which a cell is not split further.
+CELL_PAIRS = 1 << 22
 
 
 def label_map(label: Column, mapping: dict[str, str]) -> Column:
@@ -174,14 +176,13 @@ def normalise_quad(quad: Column, offset_x: Column, offset_y: Column, width: Colu
 # ---- assignment ----------------------------------------------------------------------------
 
 
-def assign_plates(plates: DataFrame, vehicles: DataFrame, group_rows: int = GROUP_ROWS, cell: int = CELL) -> DataFrame:
+def assign_plates(plates: DataFrame, vehicles: DataFrame, group_rows: int = GROUP_ROWS, cell: int = CELL, pairs: int = CELL_PAIRS) -> DataFrame:
     """Vehicle (box_idx) each plate belongs to: the smallest box holding the plate's centre,
     lowest index on ties, -1 when there is none.
 
     The join keeps the image equality, so the box test is a residual condition, and the minimum
     is taken on the partitioning the join already has. Images above ``group_rows`` boxes and plates go
-    through a grid: a box that covers a whole cell competes once per cell, so only boxes whose
-    edge crosses a cell are tested against the points in it.
+    through a grid whose cells split by counted density (``_assign_on_grid``).
     """
     points = plates.select(
         "image_id", "plate_idx",
@@ -196,7 +197,7 @@ def assign_plates(plates: DataFrame, vehicles: DataFrame, group_rows: int = GROU
     light_points = points.join(hot, "image_id", "left_anti")
     heavy_points = points.join(hot, "image_id", "left_semi")
     return _assign(light_points, light_boxes, ["image_id"]).unionByName(
-        _assign_on_grid(heavy_points, heavy_boxes, cell)
+        _assign_on_grid(heavy_points, heavy_boxes, cell, pairs)
     )
 
 
@@ -224,40 +225,70 @@ def _assign(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _assign_on_grid(points: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
-    # Boxes with equal corners: only the lowest index can win.
+def _assign_on_grid(points: DataFrame, boxes: DataFrame, cell: int, pairs: int) -> DataFrame:
+    """Assignment through a grid whose cells split where they are dense.
+
+    A box that covers a whole cell competes once per cell; only boxes whose edge crosses a cell are tested
+    against the centres in it. Cells in which such boxes times centres exceed ``pairs``, by counts, are cut
+    into four, centres keeping the best box found so far; down to cells of one pixel, in which whole boxes
+    leave at most a few distinct centres of integer corners. So one crowded cell becomes as many tasks as it needs.
+    """
+    grid = ["image_id", "gx", "gy"]
+    # Boxes with equal corners: only the lowest index can win. Plates with the same centre get the same answer.
     boxes = boxes.groupBy("image_id", "x1", "y1", "x2", "y2").agg(F.min("box_idx").alias("box_idx"))
+    edges = boxes.filter((F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
+    centres = points.filter(F.col("cx").isNotNull() & F.col("cy").isNotNull()).select("image_id", "cx", "cy").distinct()
+    centres = centres.withColumn("_best", F.lit(None).cast(_rank_type(edges)))
+    size, settled, first = cell, [], True
+    while True:
+        def reach(low: str, high: str, parent: str, size=size, first=first) -> Column:
+            start, end = F.floor(F.col(low) / size), F.floor(F.col(high) / size)
+            inner = (start, end) if first else (F.greatest(start, 2 * F.col(parent)), F.least(end, 2 * F.col(parent) + 1))
+            return F.explode(F.when(inner[0] <= inner[1], F.sequence(*inner)))
+
+        reached = edges.withColumn("_gx", reach("x1", "x2", "gx")).withColumn("gx", F.col("_gx")).drop("_gx")
+        reached = reached.withColumn("_gy", reach("y1", "y2", "gy")).withColumn("gy", F.col("_gy")).drop("_gy")
+        covers = (
+            (F.col("x1") <= F.col("gx") * size) & (F.col("x2") >= (F.col("gx") + 1) * size)
+            & (F.col("y1") <= F.col("gy") * size) & (F.col("y2") >= (F.col("gy") + 1) * size)
+        )
+        whole = reached.filter(covers).groupBy(*grid).agg(F.min(_rank_box()).alias("_whole"))
+        placed = centres.withColumn("gx", F.floor(F.col("cx") / size)).withColumn("gy", F.floor(F.col("cy") / size))
+        placed = placed.join(whole, grid, "left").withColumn("_best", F.least("_best", "_whole")).drop("_whole")
+        if size <= 1:
+            settled.append(_best_edges(placed, reached.filter(~covers), grid))
+            break
+        placed, crossing = cut_lineage(placed), cut_lineage(reached.filter(~covers))
+        many = placed.groupBy(*grid).agg(F.count(F.lit(1)).alias("_points")).join(crossing.groupBy(*grid).agg(F.count(F.lit(1)).alias("_edges")), grid)
+        dense = cut_lineage(many.filter(F.col("_points") * F.col("_edges") > pairs).select(*grid))
+        if dense.isEmpty():
+            settled.append(_best_edges(placed, crossing, grid))
+            break
+        settled.append(_best_edges(placed.join(dense, grid, "left_anti"), crossing.join(dense, grid, "left_anti"), grid))
+        edges = crossing.join(dense, grid, "left_semi")
+        centres = placed.join(dense, grid, "left_semi").drop("gx", "gy")
+        size, first = max(1, size // 2), False
+    nearest = settled[0]
+    for part in settled[1:]:
+        nearest = nearest.unionByName(part)
+    # A plate without a centre is in no box.
+    found = points.join(nearest, ["image_id", "cx", "cy"], "left")
+    return found.select("image_id", "plate_idx", F.coalesce("box_idx", F.lit(-1).cast("bigint")).alias("box_idx"))
 
-    def reach(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
 
-    cells = (
-        boxes.filter((F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
-        .withColumn("gx", reach("x1", "x2"))
-        .withColumn("gy", reach("y1", "y2"))
-    )
-    covers = (
-        (F.col("x1") <= F.col("gx") * cell) & (F.col("x2") >= (F.col("gx") + 1) * cell)
-        & (F.col("y1") <= F.col("gy") * cell) & (F.col("y2") >= (F.col("gy") + 1) * cell)
-    )
-    grid = ["image_id", "gx", "gy"]
-    whole = cells.filter(covers).groupBy(*grid).agg(F.min(_rank_box()).alias("_whole"))
-    edges = cells.filter(~covers)
-    placed = points.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-    # Plates with the same centre get the same answer, so each centre is looked up once.
-    centres = placed.select(*grid, "cx", "cy").distinct()
+def _rank_type(boxes: DataFrame):
+    return boxes.select(_rank_box().alias("r")).schema["r"].dataType
+
+
+def _best_edges(centres: DataFrame, edges: DataFrame, grid: list[str]) -> DataFrame:
+    """The best box of each centre: of those whose edge crosses its cell, and that of the cells around it."""
     p, e = centres.alias("p"), edges.alias("e")
     tested = p.join(e, [*[F.col(f"p.{name}") == F.col(f"e.{name}") for name in grid], _holds()], "left")
-    nearest = (
-        tested.groupBy(*[F.col(f"p.{name}") for name in grid], "cx", "cy")
-        .agg(F.min(F.when(F.col("box_idx").isNotNull(), _rank_box())).alias("_edge"))
-        .join(whole, grid, "left")
-        .withColumn("_best", F.least("_edge", "_whole"))
-        .select("image_id", "cx", "cy", F.coalesce(F.col("_best.box"), F.lit(-1).cast("bigint")).alias("box_idx"))
+    return (
+        tested.groupBy("p.image_id", "cx", "cy")
+        .agg(F.min(F.when(F.col("box_idx").isNotNull(), _rank_box())).alias("_edge"), F.first("_best").alias("_best"))
+        .select("image_id", "cx", "cy", F.coalesce(F.least("_edge", "_best")["box"], F.lit(-1).cast("bigint")).alias("box_idx"))
     )
-    # A plate without a centre is in no box.
-    found = placed.join(nearest, ["image_id", "cx", "cy"], "left")
-    return found.select("image_id", "plate_idx", F.coalesce("box_idx", F.lit(-1).cast("bigint")).alias("box_idx"))
 
 
 # ---- selection -----------------------------------------------------------------------------

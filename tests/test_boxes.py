@@ -78,7 +78,7 @@ def test_kept_columns_survive_in_both_paths(spark):
         assert suppress.suppress_vehicles(df, **sizes).columns == df.columns
 
 
-@pytest.mark.parametrize("sizes", [{}, {"group_rows": 20, "cell": 64}, {"group_rows": 1, "cell": 17}])
+@pytest.mark.parametrize("sizes", [{}, {"group_rows": 20, "cell": 64}, {"group_rows": 1, "cell": 17}, {"group_rows": 1, "pairs": 4}, {"group_rows": 50, "cell": 256, "pairs": 100}])
 def test_assignment(spark, sizes):
     vehicles = make(7, {1: 200, 2: 8, 3: 1, 5: 30}, top=400)
     plates = make(8, {1: 200, 2: 30, 3: 10, 4: 5, 5: 25}, top=40)
@@ -202,3 +202,24 @@ def test_hot_crops_are_fitted_alike(spark):
     assert set(one) == set(two) == {1, 2, 3}
     for crop in one:
         assert one[crop] == pytest.approx(two[crop], abs=1e-6)
+
+
+def test_a_crowded_cell_is_split(spark):
+    """All boxes and plates of an image in one cell of the first grid: answers equal the plain join, and no cell that is
+    tested in the end holds more pairs than asked for, but for cells of one pixel."""
+    rng = random.Random(12)
+    vehicles = [(1, i, x, y, x + 1 + rng.randrange(30), y + 1 + rng.randrange(30), 0.5) for i in range(800) for x, y in [(rng.randrange(30), rng.randrange(30))]]
+    plates = [(1, i, x, y, x + 2, y + rng.randrange(1, 4), 0.5) for i in range(800) for x, y in [(rng.randrange(60), rng.randrange(60))]]
+    v, p = spark.createDataFrame(vehicles, BOX), spark.createDataFrame(plates, BOX).withColumnRenamed("box_idx", "plate_idx")
+    want = sorted(boxes.assign_plates(p, v, group_rows=10_000).collect())
+    seen = []
+    keep = boxes._best_edges
+    try:
+        boxes._best_edges = lambda c, e, grid: seen.append((c, e, grid)) or keep(c, e, grid)
+        assert sorted(boxes.assign_plates(p, v, group_rows=10, pairs=2000).collect()) == want
+    finally:
+        boxes._best_edges = keep
+    assert len(seen) > 2
+    for c, e, grid in seen[:-1]:
+        cells = c.groupBy(*grid).count().withColumnRenamed("count", "a").join(e.groupBy(*grid).count(), grid)
+        assert cells.filter(F.col("a") * F.col("count") > 2000).isEmpty()
