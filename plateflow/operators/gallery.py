@@ -1,5 +1,6 @@
 """Machine type by the nearest reference photos, with abstention."""
 
+import logging
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plateflow.functions import expr
-from plateflow.operators.skew import BROADCAST_BYTES, top_per_key
+from plateflow.operators.skew import BROADCAST_BYTES, cut_lineage, top_per_key
+
+log = logging.getLogger(__name__)
 
 #: Vectors per block; a block pair is one matrix product.
 BLOCK_ROWS = 4096
@@ -17,6 +20,8 @@ BLOCK_ROWS = 4096
 PLACES = 9
 #: One tile of a block product: the largest matrix a task holds, whatever the size of the gallery.
 TILE_QUERIES, TILE_REFS = 512, 8192
+#: Clusters of a large gallery at most; their centres go to all tasks.
+CENTRES = 1024
 
 
 def gallery_entries(files: DataFrame, path: str = "path", suffixes: Sequence[str] = (), reserved: Sequence[str] = ()) -> DataFrame:
@@ -166,6 +171,105 @@ def _score_all(queries: DataFrame, refs: DataFrame, work: Callable, ddl: str, bl
     return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(meet, ddl), False
 
 
+class _Clusters:
+    """Centres of a gallery's clusters, and what bounds the products with their members."""
+
+    def __init__(self, centres: np.ndarray):
+        norms = np.linalg.norm(centres, axis=1, keepdims=True)
+        self.centres = centres / np.where(norms > 0, norms, 1)
+        self.count = self.radius = self.norm = np.zeros(len(centres))
+
+    def angles(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Angles to all centres and norms. A zero vector is at right angles to everything."""
+        norms = np.linalg.norm(vectors, axis=1)
+        unit = vectors / np.where(norms > 0, norms, 1)[:, None]
+        return np.arccos(np.clip(unit @ self.centres.T, -1, 1)), norms
+
+    def bounds(self, vectors: np.ndarray) -> np.ndarray:
+        """No member of a cluster has a larger product with a vector: by the triangle inequality on the sphere
+        their angle is at least that to the centre less the radius."""
+        angles, norms = self.angles(vectors)
+        near = np.cos(np.clip(angles - self.radius[None, :] - 1e-7, 0, np.pi))
+        return norms[:, None] * self.norm[None, :] * np.maximum(near, 0) + 10.0**-PLACES
+
+    def first(self, bounds: np.ndarray, k: int) -> np.ndarray:
+        """For each vector the clusters of the highest bounds that hold ``4 k`` members together."""
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        held = np.cumsum(self.count[order], axis=1)
+        out = np.zeros(bounds.shape, bool)
+        np.put_along_axis(out, order, held - self.count[order] < 4 * k, axis=1)
+        return out & (self.count > 0)
+
+
+def _bounded(queries: DataFrame, refs: DataFrame, k: int, meet: Callable[[pa.Table, pa.Table], pa.Table], ddl: str, n_refs: int, block_rows: int) -> DataFrame:
+    """The best references of each query found in clusters, in two passes: first those whose bound is highest, then only
+    those whose bound reaches the ``k``-th similarity found. Every other cluster is left out by its bound.
+
+    Clusters and the queries that visit one are cut into slices of bounded size by counts, so a task multiplies blocks whatever
+    the size of a cluster.
+    """
+    number = min(CENTRES, max(1, -(-n_refs // block_rows)))
+    sample = refs.orderBy(F.xxhash64("ref_id"), "ref_id").limit(number).select("embedding").toArrow()
+    clusters = _Clusters(_matrix(sample["embedding"]))
+    placed_ddl = "ref_id bigint, vehicle_type string, embedding array<double>, _keys array<string>, cluster int, angle double, norm double"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                angles, norms = clusters.angles(_matrix(pa.Table.from_batches([batch])["embedding"]))
+                own = angles.argmin(axis=1)
+                columns = [*batch.columns, pa.array(own.astype(np.int32)), pa.array(angles[np.arange(len(own)), own]), pa.array(norms)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cluster", "angle", "norm"])
+
+    gallery = refs.select("ref_id", F.col("vehicle_type").cast("string").alias("vehicle_type"), F.col("embedding").cast("array<double>").alias("embedding"), "_keys")
+    gallery = cut_lineage(gallery.mapInArrow(place, placed_ddl))
+    sizes = {row["cluster"]: row for row in gallery.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.max("norm").alias("norm")).collect()}
+    read = lambda name, other: np.array([sizes[c][name] if c in sizes else other for c in range(len(clusters.centres))], float)
+    clusters.count, clusters.radius, clusters.norm = read("n", 0), read("angle", 0.0), read("norm", 0.0)
+    slices = {c: -(-int(n) // (8 * block_rows)) for c, n in enumerate(clusters.count) if n}
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), "_keys")
+    visit_ddl = "query_id bigint, embedding array<double>, _keys array<string>, cluster int"
+
+    def visits(rows: DataFrame, second: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    table = pa.Table.from_batches([batch])
+                    bounds = clusters.bounds(_matrix(table["embedding"]))
+                    chosen = clusters.first(bounds, k)
+                    if second:
+                        floor = table["floor"].to_numpy()
+                        chosen = ~chosen & (clusters.count > 0) & (bounds >= floor[:, None])
+                    for start in range(0, len(bounds), 256):
+                        r, c = np.nonzero(chosen[start : start + 256])
+                        part = batch.select(["query_id", "embedding", "_keys"]).take(pa.array(r + start))
+                        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.astype(np.int32))], names=["query_id", "embedding", "_keys", "cluster"])
+
+        return cut_lineage(rows.mapInArrow(run, visit_ddl))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        visited = {row["cluster"]: row["n"] for row in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = [(c, slices[c], -(-n // block_rows)) for c, n in visited.items()]
+        products.append(sum(n * clusters.count[c] for c, n in visited.items()))
+        # At most CENTRES rows.
+        cuts = F.broadcast(rows.sparkSession.createDataFrame(plan or [(-1, 1, 1)], "cluster int, _refs int, _queries int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.join(cuts, "cluster").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_queries")).cast("int")).withColumn("_r", every("_refs"))
+        right = gallery.join(cuts, "cluster").withColumn("_r", F.pmod(F.xxhash64("ref_id"), F.col("_refs")).cast("int")).withColumn("_q", every("_queries"))
+        keys = ["cluster", "_q", "_r"]
+        found = left.select(*keys, "query_id", "embedding", "_keys").groupBy(*keys).cogroup(right.select(*keys, "ref_id", "vehicle_type", "embedding", "_keys").groupBy(*keys))
+        return found.applyInArrow(meet, ddl).drop("neighbour_rank")
+
+    products: list[float] = []
+    order = [F.col("similarity").desc(), F.col("ref_id").asc()]
+    near = cut_lineage(top_per_key(scored(visits(asked, False)), ["query_id"], order, k))
+    floor = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    known = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    far = scored(visits(known, True))
+    log.info("bounded search: %d of %d products taken", sum(products), queries.count() * n_refs)
+    return near.unionByName(far)
+
+
 def _prepare(queries: DataFrame, refs: DataFrame, exclude_same, exclude_sources):
     if exclude_sources:
         refs = refs.filter(~F.col("source").isin(*exclude_sources))
@@ -182,7 +286,8 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
     ``exclude_same`` lists (query column, reference column) pairs, plain or arrays: a reference
     sharing a value with the query is removed before ranking. ``exclude_sources`` drops whole
     sources. Vectors are compared block against block in tiles of bounded size; each block pair keeps
-    the ``k`` best per query as it goes, so the pairs themselves are never materialised. Similarities are
+    the ``k`` best per query as it goes, so the pairs themselves are never materialised. A gallery above
+    ``broadcast_bytes`` is cut into clusters, and a query meets only those whose bound reaches its ``k`` best. Similarities are
     returned at the precision they are ranked at.
     """
     queries, refs = _prepare(queries, refs, exclude_same, exclude_sources)
@@ -212,13 +317,15 @@ def cosine_candidates(queries: DataFrame, refs: DataFrame, k: int = 5, exclude_s
         )
 
     schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("vehicle_type", pa.string()), ("similarity", pa.float64()), ("neighbour_rank", pa.int32())])
-    found, complete = _score_all(
-        queries, refs, best, "query_id bigint, ref_id bigint, vehicle_type string, similarity double, neighbour_rank int",
-        block_rows, parallelism, broadcast_bytes,
-    )
+    ddl = "query_id bigint, ref_id bigint, vehicle_type string, similarity double, neighbour_rank int"
+    order = [F.col("similarity").desc(), F.col("ref_id").asc()]
+    size = refs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    if size["n"] and size["n"] * size["d"] * 8 > broadcast_bytes:
+        found = _bounded(queries, refs, k, lambda some, others: best(_Block(some, "query_id"), _Block(others, "ref_id")), ddl, size["n"], block_rows)
+        return top_per_key(found, ["query_id"], order, k, rank="neighbour_rank")
+    found, complete = _score_all(queries, refs, best, ddl, block_rows, parallelism, broadcast_bytes)
     if complete:
         return found
-    order = [F.col("similarity").desc(), F.col("ref_id").asc()]
     return top_per_key(found.drop("neighbour_rank"), ["query_id"], order, k, rank="neighbour_rank")
 
 

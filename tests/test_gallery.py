@@ -126,3 +126,29 @@ def test_tiles_do_not_change_the_answer(spark, monkeypatch, sizes):
     assert got == want
     classes = gallery.score_blocks(queries, refs, exclude_same=[("name", "name")], **sizes).collect()
     assert sum(row.refs_scored for row in classes) == sum(j % 7 != i % 7 for i in range(60) for j in range(60))
+
+
+def clustered(rng, n, dims=12, groups=8, spread=0.05):
+    middles = rng.normal(size=(groups, dims))
+    v = middles[rng.integers(0, groups, n)] + rng.normal(size=(n, dims)) * spread
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_bounds_leave_out_far_clusters_and_lose_nothing(spark, caplog):
+    """Vectors in groups: same rows as over all pairs, at a part of the products. Zero and long vectors, ties and
+    excluded neighbours are no exception."""
+    rng = np.random.default_rng(4)
+    refs = [(i, "abc"[i % 3], v.tolist(), f"s{i % 5}") for i, v in enumerate(clustered(rng, 600))]
+    refs += [(600, "a", [0.0] * 12, "s0"), (601, "b", (3 * np.array(refs[7][2])).tolist(), "s1"), (602, "c", refs[9][2], "s2"), (603, "c", refs[9][2], "s3")]
+    rng = np.random.default_rng(4)
+    asked = [(i, v.tolist(), f"s{i % 5}") for i, v in enumerate(clustered(rng, 90))] + [(90, [0.0] * 12, "s1"), (91, refs[9][2], "s2")]
+    r = spark.createDataFrame(refs, "ref_id bigint, vehicle_type string, embedding array<double>, source string")
+    q = spark.createDataFrame(asked, "query_id bigint, embedding array<double>, source string")
+    for options in ({}, {"exclude_same": [("source", "source")]}, {"k": 300}):
+        want = sorted(map(tuple, gallery.cosine_candidates(q, r, **options).collect()))
+        caplog.clear()
+        with caplog.at_level("INFO", "plateflow.operators.gallery"):
+            got = sorted(map(tuple, gallery.cosine_candidates(q, r, block_rows=24, broadcast_bytes=0, **options).collect()))
+        assert got == want
+        taken, total = caplog.records[0].args
+        assert taken < (0.55 if options.get("k") is None else 1.01) * total
