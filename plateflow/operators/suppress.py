@@ -5,6 +5,7 @@ not a self join."""
 import logging
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -174,11 +175,23 @@ def _neighbourhoods(boxes: DataFrame, key: str, priority, rule: Rule, corners, c
     box = F.struct("_rank", *[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
     here = F.struct(*[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
 
-    def free(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("_place")
-        sides = cell[list(CORNERS)].to_numpy(dtype=float)
-        out = [not rule.arrays(sides[i], sides[:i]).any() for i in range(len(sides))]
-        return cell.loc[out, ["_row"]]
+    def free(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of cells, one cell after the other and the highest first: those no higher one of the cell rules out."""
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            starts = np.flatnonzero(held["_place"].to_numpy() == 1)
+            done = len(held) if batch is None else int(starts[-1])
+            sides, out = held[list(CORNERS)].to_numpy(dtype=float), np.ones(done, dtype=bool)
+            cuts = [*starts[starts < done].tolist(), done]
+            for start, end in zip(cuts, cuts[1:]):
+                for i in range(start + 1, end):
+                    out[i] = not rule.arrays(sides[i], sides[start:i]).any()
+            yield held.iloc[:done].loc[out, ["_row"]]
+            held = held.iloc[done:].reset_index(drop=True)
 
     def cells_of(rows: DataFrame, *more) -> DataFrame:
         return rows.select(key, F.explode("_cells").alias("_cell"), *more)
@@ -187,7 +200,8 @@ def _neighbourhoods(boxes: DataFrame, key: str, priority, rule: Rule, corners, c
     while not undecided.isEmpty():
         low = cells_of(undecided, "_row", "_rank", *[F.col(name).alias(corner) for name, corner in zip(corners, CORNERS)])
         head = top_per_key(low, [key, "_cell"], [F.col("_rank")], cell_rows, rank="_place")
-        head = head.groupBy(key, "_cell").applyInPandas(lambda cell: free(cell), "_row bigint")
+        dealt = head.select(key, "_cell", "_place", "_row", *CORNERS).repartition(key, "_cell").sortWithinPartitions(key, "_cell", "_place")
+        head = dealt.drop(key, "_cell").mapInPandas(free, "_row bigint")
         everywhere = head.groupBy("_row").agg(F.count(F.lit(1)).alias("_free"))
         chosen = cut_lineage(undecided.join(everywhere, "_row").filter(F.col("_free") == F.size("_cells")).drop("_free"))
         settled.append(chosen)
