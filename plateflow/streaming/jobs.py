@@ -8,7 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from plateflow import dims
 from plateflow.operators.results import image_jobs
-from plateflow.operators.skew import top_per_key
+from plateflow.operators.skew import cut_lineage, top_per_key
 from plateflow.sources.ingest import has_suffix
 
 EVENT_SCHEMA = (
@@ -80,27 +80,100 @@ def valid_publications(results: DataFrame, leases: DataFrame) -> DataFrame:
     return published(fenced(results, leases))
 
 
-def stream_publish(results: DataFrame, leases_path: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Publish results batch by batch. Every batch writes what it publishes to ``log/epoch=n``, which says
-    which leases are used up, and the results then in force, one per image, to ``current/epoch=n``. It reads only
-    what earlier epochs wrote and overwrites its own folders when it is retried, so a repeated
-    batch, or a result that arrives again in a later one, changes nothing. :func:`current_results` reads the answer.
+#: Buckets of images and of used leases, and epochs after which used leases are written together.
+BUCKETS, COMPACT_EVERY = 256, 32
+
+
+def _bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _manifests(spark: SparkSession, target: str, before: int) -> list[dict[int, int]]:
+    """Of the epochs before one, newest first: which version of each bucket of images is in force. At most
+    ``BUCKETS`` rows of the last few epochs; older manifests are removed."""
+    if not _exists(spark, f"{target}/manifest"):
+        return []
+    held: dict[int, dict[int, int]] = {}
+    for row in spark.read.schema("bucket int, version int, epoch int").parquet(f"{target}/manifest").filter(F.col("epoch") < before).collect():
+        held.setdefault(row["epoch"], {})[row["bucket"]] = row["version"]
+    return [{b: v for b, v in held[e].items() if b >= 0} for e in sorted(held, reverse=True)]
+
+
+def _versions(spark: SparkSession, target: str, wanted: dict[int, int]) -> DataFrame:
+    """Results of some buckets of images, each in one version. Only their folders are listed and read."""
+    schema = spark.read.parquet(f"{target}/layout").schema
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    paths = [f"{target}/current/epoch={v}/bucket={b}" for b, v in sorted(wanted.items())]
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def publish_batch(batch: DataFrame, epoch: int, leases: DataFrame, target: str, buckets: int = BUCKETS, compact_every: int = COMPACT_EVERY) -> None:
+    """Publish one batch. What is written follows the batch: the leases it uses up, the buckets of images
+    it replaces results in, and a manifest of at most ``buckets`` rows that says which version of each bucket is in force.
+
+    Results in force are read from the touched buckets alone, used leases from the touched buckets of jobs. The epoch
+    is in force once its manifest is written, so a batch that breaks off or is repeated starts from the epoch
+    before, overwrites its own folders and changes nothing else. Versions that neither this epoch nor the one
+    before refers to are removed. Every ``compact_every`` epochs the used leases are written together.
     """
-    spark = results.sparkSession
+    spark = batch.sparkSession
+    earlier = _manifests(spark, target, epoch)
+    now = earlier[0] if earlier else {}
+    batch.limit(0).write.mode("overwrite").parquet(f"{target}/layout")
+    done = None
+    if _exists(spark, f"{target}/used"):
+        jobs = [row["b"] for row in batch.select(_bucket("job_id", buckets).alias("b")).distinct().collect()]
+        used = spark.read.schema("job_id bigint, epoch int, bucket int").parquet(f"{target}/used")
+        done = used.filter((F.col("epoch") < epoch) & F.col("bucket").isin(jobs))
+    fresh = cut_lineage(fenced(batch, leases, done).select(*batch.columns))
+    ids = fresh.select("job_id", _bucket("job_id", buckets).alias("bucket"))
+    ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/used/epoch={epoch}")
+    touched = [row["b"] for row in fresh.select(_bucket("image_id", buckets).alias("b")).distinct().collect()]
+    old = _versions(spark, target, {b: now[b] for b in touched if b in now})
+    merged = published(old.unionByName(fresh)).withColumn("bucket", _bucket("image_id", buckets))
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/current/epoch={epoch}")
+    rows = [(-1, epoch), *({**now, **dict.fromkeys(touched, epoch)}).items()]
+    spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/manifest/epoch={epoch}")
+    # Readers of the epoch before may still be at work; what only older ones refer to can go.
+    for stale in earlier[1:]:
+        for b, v in stale.items():
+            if now.get(b) != v:
+                _remove(spark, f"{target}/current/epoch={v}/bucket={b}")
+    if epoch and epoch % compact_every == 0:
+        _compact(spark, target, epoch, compact_every)
+    for row in spark.read.schema("epoch int").parquet(f"{target}/manifest").select("epoch").distinct().filter(F.col("epoch") < epoch - 2).collect():
+        _remove(spark, f"{target}/manifest/epoch={row['epoch']}")
+
+
+def _compact(spark: SparkSession, target: str, epoch: int, compact_every: int) -> None:
+    """Leases used before this epoch in the folder of the epoch before, the rest removed. Doubles that an
+    interrupted run leaves behind do no harm: a used lease is used however often it is listed."""
+    used = spark.read.schema("job_id bigint, epoch int, bucket int").parquet(f"{target}/used").filter(F.col("epoch") < epoch)
+    whole = cut_lineage(used.select("job_id", "bucket", "epoch").dropDuplicates(["job_id", "bucket"]))
+    epochs = [row["epoch"] for row in used.select("epoch").distinct().collect()]
+    whole.select("job_id", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/used/epoch={epoch - 1}")
+    for old in epochs:
+        if old < epoch - 1:
+            _remove(spark, f"{target}/used/epoch={old}")
+
+
+def stream_publish(results: DataFrame, leases_path: str, target: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Publish results batch by batch (see :func:`publish_batch`); a repeated batch, or a result that arrives again in a
+    later one, changes nothing. :func:`current_results` reads the answer."""
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        leases = spark.read.parquet(leases_path)
-        log = f"{target}/log"
-        if not epoch:
-            fresh = fenced(batch, leases)
-            fresh.write.mode("overwrite").parquet(f"{log}/epoch=0")
-            published(spark.read.parquet(f"{log}/epoch=0")).write.mode("overwrite").parquet(f"{target}/current/epoch=0")
-            return
-        done = spark.read.parquet(log).filter(F.col("epoch") < epoch)
-        fenced(batch, leases, done).write.mode("overwrite").parquet(f"{log}/epoch={epoch}")
-        new = spark.read.parquet(f"{log}/epoch={epoch}")
-        old = spark.read.parquet(f"{target}/current/epoch={epoch - 1}")
-        published(old.unionByName(new)).write.mode("overwrite").parquet(f"{target}/current/epoch={epoch}")
+        publish_batch(batch, epoch, batch.sparkSession.read.parquet(leases_path), target, buckets)
 
     return (
         results.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -113,9 +186,9 @@ def published(publications: DataFrame) -> DataFrame:
 
 
 def current_results(spark: SparkSession, target: str) -> DataFrame:
-    """What :func:`stream_publish` has in force: the newest epoch, one row per image."""
-    current = spark.read.parquet(f"{target}/current")
-    return current.join(F.broadcast(current.agg(F.max("epoch").alias("epoch"))), "epoch").drop("epoch")
+    """What :func:`stream_publish` has in force, one row per image: the versions that the newest manifest names."""
+    held = _manifests(spark, target, (1 << 31) - 1)
+    return _versions(spark, target, held[0] if held else {})
 
 
 # ---- deadlines -----------------------------------------------------------------------------

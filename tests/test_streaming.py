@@ -39,6 +39,29 @@ def test_stale_worker_cannot_publish(spark, tmp_path):
         assert [(row.image_id, row.payload) for row in jobs.current_results(spark, out).collect()] == [(10, "good")]
 
 
+def test_published_bytes_follow_the_batch(spark, tmp_path):
+    """A small batch rewrites only its buckets, a retried one changes nothing, old versions and epochs go."""
+    out = str(tmp_path / "out")
+    leases = spark.createDataFrame([(i, "processing", 1, NOON) for i in range(700)], LEASE)
+    when = NOON - timedelta(hours=1)
+    first = spark.createDataFrame([(i, i % 500, 1, "completed", when, f"p{i}") for i in range(600)], RESULT)
+    jobs.publish_batch(first, 0, leases, out, buckets=16)
+    want = {i: f"p{i + 500}" if i < 100 else f"p{i}" for i in range(500)}
+    seen = lambda: {row.image_id: row.payload for row in jobs.current_results(spark, out).collect()}
+    assert seen() == want
+    size = lambda epoch: sum(f.stat().st_size for f in (tmp_path / "out" / "current" / f"epoch={epoch}").rglob("*.parquet"))
+    for epoch in range(1, 9):
+        one = spark.createDataFrame([(600 + epoch, 7, 1, "completed", when + timedelta(minutes=epoch), f"n{epoch}"), (3, 3, 1, "completed", NOON - timedelta(seconds=1), "a second result")], RESULT)
+        for _ in range(2):
+            jobs.publish_batch(one, epoch, leases, out, buckets=16, compact_every=4)
+            assert seen() == {**want, 7: f"n{epoch}"}
+        assert len(list((tmp_path / "out" / "current" / f"epoch={epoch}").glob("bucket=*"))) == 1 and size(epoch) < size(0) / 4
+    kept = lambda name: sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / name).glob("epoch=*") if any(p.rglob("*.parquet")))
+    assert kept("manifest") == [6, 7, 8] and kept("used") == [7, 8] and 3 not in kept("current") and kept("current")[-2:] == [7, 8]
+    used = spark.read.parquet(f"{out}/used")
+    assert used.count() == used.distinct().count() == 608
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
