@@ -47,24 +47,21 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, text, _rest, n_lines, n_removed``: the cleaned texts, with all other columns in ``_rest``."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None)).alias("_rest"))
-    covered = (
-        repeated_windows(docs)
-        .distinct()
-        .groupBy("doc_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.array(*[F.col("pos") + k for k in range(WINDOW)])))).alias("_covered"))
-    )
-    lines = F.split("text", "\n")
-    kept = F.transform(
-        F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("l"), i.alias("i"))), lambda x: ~F.array_contains("_covered", x["i"])),
-        lambda x: x["l"],
-    )
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    joined = packed.join(covered, "doc_id", "left")
-    return joined.select(
+    starts = repeated_windows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_starts"))
+    # Kept are the stretches between the windows: from the end of one to the start of the next. Slices of the split
+    # text are put together, so the work follows the number of lines.
+    joined = packed.withColumn("_lines", F.split("text", "\n")).join(starts, "doc_id", "left").withColumn("_n", F.size("_lines"))
+    begin = F.concat(F.array(F.lit(0)), F.transform("_starts", lambda pos: pos + WINDOW))
+    end = F.concat("_starts", F.array("_n"))
+    none = F.array().cast("array<string>")
+    stretches = F.zip_with(begin, end, lambda a, b: F.when(b > a, F.slice("_lines", a + 1, b - a)).otherwise(none))
+    kept = joined.withColumn("_kept", F.when(F.col("_starts").isNotNull(), F.flatten(stretches)))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.col("_n"))
+    return kept.select(
         "doc_id", "_rest",
-        F.when(F.col("_covered").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
         count.cast("bigint").alias("n_lines"),
-        F.when(F.col("_covered").isNull(), 0).otherwise(count - F.size(kept)).cast("bigint").alias("n_removed"),
+        F.when(F.col("_kept").isNull(), 0).otherwise(count - F.size("_kept")).cast("bigint").alias("n_removed"),
     )
 
 

@@ -284,9 +284,11 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: Mapping[str
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as their rate says: its whole part, and once more with the chance of the
-    rest, decided by a hash of doc_id and text. Rates are joined by doc_id; a row without one stays."""
+    rest, decided by a hash of doc_id and text. Rates are joined by doc_id; a row without one stays. Columns of
+    ``docs`` may have any names."""
     chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.floor(F.coalesce("_rate", F.lit(1.0)) + chance).cast("int")
-    one = rates.groupBy("doc_id").agg(F.max("rate").alias("_rate"))
-    joined = docs.join(one, "doc_id", "left").withColumn("_times", times).filter("_times > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").alias("_id"), chance.alias("_chance"), F.struct(*docs.columns).alias("_row"))
+    one = rates.groupBy(F.col("doc_id").alias("_id")).agg(F.max("rate").alias("_rate"))
+    times = F.floor(F.coalesce("_rate", F.lit(1.0)) + F.col("_chance")).cast("int")
+    joined = rows.join(one, "_id", "left").select("_row", times.alias("_times")).filter("_times > 0")
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
