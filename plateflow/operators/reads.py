@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from plateflow import dims
 from plateflow.functions import expr
-from plateflow.operators.skew import top_per_key
+from plateflow.operators.skew import GROUP_ROWS, cut_lineage, split_heavy, top_per_key
 
 PLATE = ("image_id",)
 
@@ -210,13 +210,49 @@ def correct_reads(reads: DataFrame, patterns: Sequence[str] = (), min_length: in
 # ---- regional consensus --------------------------------------------------------------------
 
 
+#: Buckets of a round of selection.
+BINS = 512
+
+
+def hot_medians(votes: DataFrame, keys: Sequence[str], value: str, weight: str, bins: int = BINS) -> DataFrame:
+    """``(keys, median)`` of weighted values of groups too large for one buffer, exactly.
+
+    Selection by histogram: the range of a group is cut into ``bins`` buckets, their weights are counted by partial
+    aggregation, and only the bucket that holds the middle goes on, from its least to its largest value, until that is one
+    value. A round multiplies the resolution by ``bins``; a group hands on at most ``bins`` rows per round. The
+    median of an even number is the mean of the two in the middle. Null values do not count.
+    """
+    known = votes.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.col(weight).alias("_w"))
+    total = known.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    middle = F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))
+    state = cut_lineage(total.select(*keys, F.explode(middle).alias("_rank"), "_low", "_high", F.lit(0).cast("bigint").alias("_below")))
+    while not state.filter("_low < _high").isEmpty():
+        inside = known.join(state.filter("_low < _high"), list(keys)).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        place = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins), F.lit(bins - 1))
+        counted = inside.groupBy(*keys, "_rank", "_below", place.alias("_bin")).agg(F.sum("_w").alias("w"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        rows = counted.groupBy(*keys, "_rank", "_below").agg(F.array_sort(F.collect_list(F.struct("_bin", "w", "lo", "hi"))).alias("_all"))
+
+        def step(found: Column, b: Column) -> Column:
+            ahead = found["below"] + b["w"]
+            here = F.struct(found["below"].alias("below"), b["lo"].alias("lo"), b["hi"].alias("hi"), F.lit(True).alias("done"))
+            on = F.struct(ahead.alias("below"), found["lo"].alias("lo"), found["hi"].alias("hi"), F.lit(False).alias("done"))
+            return F.when(found["done"], found).when(ahead > F.col("_rank"), here).otherwise(on)
+
+        start = F.struct(F.col("_below").alias("below"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.lit(False).alias("done"))
+        chosen = rows.withColumn("_at", F.aggregate("_all", start, step))
+        narrowed = chosen.select(*keys, "_rank", F.col("_at.lo").alias("_low"), F.col("_at.hi").alias("_high"), F.col("_at.below").alias("_below"))
+        state = cut_lineage(state.filter("_low = _high").unionByName(narrowed))
+    return state.groupBy(*keys).agg(F.avg("_low").alias("median"))
+
+
 def region_consensus(hypotheses: DataFrame, body_bar: float = 0.80, region_bar: float = 0.20,
-                     accept_bar: float = max(dims.REGION_BAR, dims.ACCEPT)) -> DataFrame:
+                     accept_bar: float = max(dims.REGION_BAR, dims.ACCEPT), group_rows: int = GROUP_ROWS) -> DataFrame:
     """Plates whose body and region were read separately (plate_id, part, text, score).
 
     Each part must agree on one value at least twice. The score is the lower of the two medians;
     below the bar the plate is kept for review rather than asserted. Votes are first counted per
-    distinct (text, score), so a plate with very many votes shuffles only their counts.
+    distinct (text, score), so a plate with very many votes shuffles only their counts. Of plates with more than
+    ``group_rows`` distinct ones the medians are selected by histograms (``hot_medians``), not buffered.
     """
     text = F.regexp_replace(F.upper("text"), " ", "")
     body = (F.col("part") == "body") & (F.col("score") >= body_bar) & text.rlike("^[A-Z][0-9]{3}[A-Z]{2}$")
@@ -234,12 +270,19 @@ def region_consensus(hypotheses: DataFrame, body_bar: float = 0.80, region_bar:
         return F.percentile(of(part, F.col("score")), 0.5, F.coalesce(of(part, F.col("votes")), F.lit(1)))
 
     parts = ("body", "region")
-    summary = votes.groupBy("plate_id").agg(
+    facts = [
         *[F.min(of(part, F.col("value"))).alias(part) for part in parts],
         *[F.max(of(part, F.col("value"))).alias(f"_other_{part}") for part in parts],
         *[F.sum(of(part, F.col("votes"))).alias(f"_votes_{part}") for part in parts],
-        *[middle(part).alias(f"_median_{part}") for part in parts],
-    )
+    ]
+    light, heavy, _ = split_heavy(votes, ["plate_id"], group_rows)
+    summary = light.groupBy("plate_id").agg(*facts, *[middle(part).alias(f"_median_{part}") for part in parts])
+    if heavy is not None:
+        heavy = cut_lineage(heavy)
+        medians = hot_medians(heavy, ["plate_id", "part"], "score", "votes").groupBy("plate_id").agg(
+            *[F.max(of(part, F.col("median"))).alias(f"_median_{part}") for part in parts]
+        )
+        summary = summary.unionByName(heavy.groupBy("plate_id").agg(*facts).join(medians, "plate_id"))
     agreed = (
         (F.col("body") == F.col("_other_body")) & (F.col("region") == F.col("_other_region"))
         & (F.col("_votes_body") >= 2) & (F.col("_votes_region") >= 2)

@@ -1,5 +1,8 @@
 """Plate text: layouts, spacing, plausibility, corrections and decisions."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +111,25 @@ def test_region_consensus(spark):
     assert (row.text, row.readable, row.ocr_confidence) == ("X 123 BC 123", True, 0.9)
 
 
+def test_medians_of_hot_plates_are_selected(spark):
+    """Selection by histograms equals the sorted middle: outliers, ties, weights, single values and nulls."""
+    rng = random.Random(3)
+    groups = {
+        "even": [rng.random() for _ in range(500)], "odd": [rng.gauss(0, 1) for _ in range(333)], "far": [1e-300, 2e-300, 3.0, 1e300, 5e-300],
+        "same": [0.25] * 70, "two": [1.0, 2.0], "close": [0.1 + i * 1e-16 for i in range(50)], "skewed": [2.0**-i for i in range(200)],
+    }
+    data = [(name, x, rng.choice([1, 1, 3])) for name, xs in groups.items() for x in xs] + [("even", None, 5), ("none", None, 1)]
+    got = {r.g: r["median"] for r in reads.hot_medians(spark.createDataFrame(data, "g string, x double, w int"), ["g"], "x", "w", bins=8).collect()}
+    for name in groups:
+        every = [x for g, x, w in data if g == name and x is not None for _ in range(w)]
+        assert got[name] == pytest.approx(statistics.median(every), rel=1e-15), name
+    assert "none" not in got
+    votes = [(plate, part, "X123BC" if part == "body" else "77", round(rng.uniform(0.3, 1), 4)) for plate in range(4) for part in ("body", "region") for _ in range(60 * (plate + 1))]
+    frame = spark.createDataFrame(votes, "plate_id bigint, part string, text string, score double")
+    plain, split = (sorted(reads.region_consensus(frame, group_rows=n).collect()) for n in (10_000, 100))
+    assert plain == split and len(plain) == 4
+
+
 def test_variant_reads(spark):
     ddl = "image_id bigint, branch_idx bigint, corrected string, score double, failed boolean"
     data = [(1, 0, "", 0.0, True), (1, 1, "123ABC01", float("nan"), False), (1, 2, "123ABC02", 0.9, False), (1, 3, "123ABC03", 0.9, False),
