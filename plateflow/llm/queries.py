@@ -88,7 +88,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_near(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(suffix_dedup.SQL)
 def op11_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 

@@ -330,3 +330,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD,
     out = staged(each(known(a, b, c), result, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"), "kept")
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+#: The same in SQL, over texts in hexadecimal; rows with the same doc_id are beyond it.
+SQL = """WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ p AS MATERIALIZED (SELECT r, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d WHERE len(h) >= 200)),
+ f AS (SELECT s, min(r * 4294967296 + i) AS first FROM p GROUP BY s HAVING count(*) > 1),
+ w AS (SELECT p.r, p.i FROM p JOIN f USING (s) WHERE p.r * 4294967296 + p.i > f.first),
+ g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run
+   FROM (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM w)),
+ x AS (SELECT r, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY r, run),
+ c AS (SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM x GROUP BY r),
+ y AS (SELECT r, b AS a, lead(a) OVER (PARTITION BY r ORDER BY a) AS b FROM (SELECT r, a, b FROM x UNION ALL SELECT r, -1, 0 FROM d)),
+ k AS (SELECT d.r, string_agg(substr(h, 2 * y.a + 1, 2 * (coalesce(y.b, len(h) // 2) - y.a)), '' ORDER BY y.a) AS kept FROM d JOIN y USING (r) GROUP BY d.r)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (r) LEFT JOIN c USING (r)"""
