@@ -88,8 +88,9 @@ def _(fx):
 def _(fx):
     from plateflow.sources.sinks import merge_exports
 
-    flat = op.export_flat(fx.v_image, fx.v_job, fx.v_detection)
-    pages = [flat.filter("image_id % 3 = 0"), flat.filter("image_id % 3 > 0")]
+    # A page is chosen before anything is joined, so each image is exported once.
+    shares = ("image_id % 3 = 0", "image_id % 3 > 0")
+    pages = [op.export_flat(*[table.filter(share) for table in (fx.v_image, fx.v_job, fx.v_detection)]) for share in shares]
     return merge_exports(pages).select("image_id", "status", "detection_id")
 
 
