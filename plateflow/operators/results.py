@@ -322,6 +322,55 @@ def review_search(results: DataFrame, detections: DataFrame, query: str) -> Data
     return _spanning_search(results, dets, text, needle)
 
 
+#: Letters of a gram, and what fills the grams at the end of a text.
+GRAM, FILL = 3, "\x00"
+
+
+def search_postings(results: DataFrame, detections: DataFrame) -> DataFrame:
+    """``(gram, image_id, unit, place)``: every three letters that follow each other in the searched text of an image, lower
+    case, with the place they start at. A unit is the file name or the text of one detection; the last letters of a
+    unit have grams filled up at the end, so each letter starts one. Written sorted by gram, a search reads the few
+    parts of the table that hold its grams. Units are numbered by a hash of what they are and need not be told apart otherwise.
+    """
+    fields = ("license_plate", "plate_text_raw", "vehicle_type", "manufacturer")
+    text = F.concat_ws(" ", *[F.nullif(F.col(name), F.lit("")) for name in fields])
+    named = results.select("image_id", F.xxhash64(F.lit("name"), "image_id").alias("unit"), F.col("filename").alias("_text"))
+    dets = complete_detections(detections).select("image_id", F.xxhash64("image_id", "detection_id", text).alias("unit"), text.alias("_text"))
+    units = named.unionByName(dets).withColumn("_text", F.lower("_text")).filter(F.col("_text") != "")
+    padded = F.concat(F.col("_text"), F.lit(FILL * (GRAM - 1)))
+    units = units.select("image_id", "unit", padded.alias("_text"), F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("place"))
+    return units.select(F.substring("_text", F.col("place"), F.lit(GRAM)).alias("gram"), "image_id", "unit", "place")
+
+
+def write_search_postings(results: DataFrame, detections: DataFrame, folder: str) -> None:
+    """The posting table as Parquet files sorted by gram, for :func:`review_search_indexed`. Frequent grams
+    fill as many files as they need."""
+    rows = search_postings(results, detections)
+    rows.repartitionByRange("gram", "image_id").sortWithinPartitions("gram", "image_id").write.parquet(folder)
+
+
+def review_search_indexed(results: DataFrame, detections: DataFrame, postings: DataFrame, query: str) -> DataFrame:
+    """:func:`review_search` by the posting table. The grams of the needle are read and lined up: a unit matches where all of
+    them stand at their distances, so no text is looked at. A needle shorter than a gram is the start of some grams.
+    A needle with blanks may also span two units, which the table does not hold next to each other; it is searched as before.
+    """
+    needle = query.lower()
+    if not needle or " " in needle:
+        return review_search(results, detections, query)
+    if len(needle) < GRAM:
+        found = postings.filter(F.col("gram").startswith(needle)).select("image_id")
+    else:
+        grams = [(needle[i : i + GRAM], i) for i in range(len(needle) - GRAM + 1)]
+        read = postings.filter(F.col("gram").isin(sorted({g for g, _ in grams})))
+        # Where the needle would start, for each of the offsets at which it holds the gram.
+        starts = F.array_compact(F.array(*[F.when(F.col("gram") == g, F.struct((F.col("place") - i).alias("start"), F.lit(i).alias("at"))) for g, i in grams]))
+        lined = read.select("image_id", "unit", F.inline(starts))
+        # Rows that repeat a detection are one unit; a gram counts once.
+        counted = lined.groupBy("image_id", "unit", "start").agg(F.count_distinct("at").alias("n"))
+        found = counted.filter(F.col("n") >= len(grams)).select("image_id")
+    return results.join(found.distinct(), "image_id", "left_semi")
+
+
 def _spanning_search(results: DataFrame, dets: DataFrame, text: Column, needle: str) -> DataFrame:
     """Search over the joined text of an image: file name, then the detections in id order, null ids first.
 

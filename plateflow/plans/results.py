@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from plateflow.functions import expr
 from plateflow.operators import results as op
+from plateflow.operators.skew import shared_folder
 from plateflow.plans import parts as p
 from plateflow.plans.registry import query
 
@@ -213,6 +214,15 @@ def _(fx):
     return op.review_search(_results(fx), fx.v_detection, "AMAZ").select("image_id")
 
 
+@query("review_search_indexed", f"{HAYSTACK} SELECT image_id FROM hay WHERE contains(lower(text), 'amaz') OR contains(lower(text), 'q7')")
+def _(fx):
+    folder = shared_folder(fx.spark, "postings")
+    op.write_search_postings(_results(fx), fx.v_detection, folder)
+    postings = fx.spark.read.parquet(folder)
+    found = [op.review_search_indexed(_results(fx), fx.v_detection, postings, needle).select("image_id") for needle in ("AMAZ", "q7")]
+    return found[0].unionByName(found[1]).distinct()
+
+
 @query("review_search_spanning", f"{HAYSTACK} SELECT image_id FROM hay WHERE contains(lower(text), '.jpg a1') OR contains(lower(text), 'maz t')")
 def _(fx):
     one = op.review_search(_results(fx), fx.v_detection, ".jpg A1").select("image_id")

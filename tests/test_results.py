@@ -299,3 +299,19 @@ def test_spanning_search_equals_joined_text(spark):
     for needle in ("kamaz truck", "maz car", "g a00", ".jpg b"):
         want = {row.image_id for row in joined.filter(F.col("text").contains(needle)).collect()}
         assert {row.image_id for row in results.review_search(shown, fx.v_detection, needle).collect()} == want
+
+
+def test_indexed_search_equals_the_scan(spark, tmp_path):
+    """Needles cut out of texts at random, of one letter and more, over the end of a text, with doubled letters and blanks."""
+    images = spark.createDataFrame([(i, f"IMG_{i}aaa.jpg" if i % 3 else None, 10, 10, None) for i in range(40)], IMAGE)
+    rng = random.Random(8)
+    words = ["KAMAZ", "aaaa", "ab", "x%_", "Ünal", "", None]
+    dets = spark.createDataFrame([det(i, i % 40, manufacturer=rng.choice(words), raw=rng.choice(["123ABC", None, "a"])) for i in range(150)] + [det(None, 3, manufacturer="odd")] + [det(999, 5, manufacturer="mazo kam")] * 3, DET)
+    shown = results.image_results(images, spark.createDataFrame([], JOB)).cache()
+    results.write_search_postings(shown, dets, str(tmp_path / "postings"))
+    postings = spark.read.parquet(str(tmp_path / "postings"))
+    for needle in ("a", "AA", "aaa", "aaaa", "aaaaa", "maz", "KAMAZ", "kamazz", "x%_", "ünal", "nal", "3abc", "img_1", "g", "odd", "abc truck", "jpg", ""):
+        got, want = (sorted(r.image_id for r in found.collect()) for found in (results.review_search_indexed(shown, dets, postings, needle), results.review_search(shown, dets, needle)))
+        assert got == want, needle
+    text = postings.filter(F.col("gram").isin("maz"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in text or "EqualTo(gram" in text
