@@ -50,7 +50,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     starts = repeated_windows(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("_starts"))
     # Kept are the stretches between the windows: from the end of one to the start of the next. Slices of the split
     # text are put together, so the work follows the number of lines.
-    joined = packed.withColumn("_lines", F.split("text", "\n")).join(starts, "doc_id", "left").withColumn("_n", F.size("_lines"))
+    joined = packed.join(starts, "doc_id", "left").withColumn("_lines", F.split("text", "\n")).withColumn("_n", F.size("_lines"))
     begin = F.concat(F.array(F.lit(0)), F.transform("_starts", lambda pos: pos + WINDOW))
     end = F.concat("_starts", F.array("_n"))
     none = F.array().cast("array<string>")
