@@ -1,9 +1,6 @@
 """What the operators of this subpackage share."""
 
-import re
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plateflow.operators.skew import shared_folder
@@ -11,7 +8,6 @@ from plateflow.operators.skew import shared_folder
 #: White space of the word contracts: blank and \x09 to \x0D. bytes.split() splits on the same six.
 SPACE = "\x20\x09-\x0d"
 
-
 #: Narrow rows that one file holds, where their number is known.
 FILE_ROWS = 200_000
 
@@ -45,15 +41,6 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def word_pattern() -> re.Pattern:
-    return re.compile(f"[^{SPACE}]+")
-
-
-def mix64(c) -> "F.Column":
-    """A well mixed hash of columns, used to spread rows."""
-    return F.xxhash64(*c) if isinstance(c, (list, tuple)) else F.xxhash64(c)
-
-
 def by_key(batches, keys: int):
     """Runs of equal leading columns of sorted record batches: (first row as a tuple, table of the run)."""
     import pyarrow as pa

@@ -3,7 +3,6 @@
 import base64
 import hashlib
 import json
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -227,7 +226,3 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     return shared_folder(spark, "warc")
-
-
-def file_name(path: str) -> str:
-    return os.path.basename(path)
