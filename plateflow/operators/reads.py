@@ -252,7 +252,7 @@ def region_consensus(hypotheses: DataFrame, body_bar: float = 0.80, region_bar:
     Each part must agree on one value at least twice. The score is the lower of the two medians;
     below the bar the plate is kept for review rather than asserted. Votes are first counted per
     distinct (text, score), so a plate with very many votes shuffles only their counts. Of plates with more than
-    ``group_rows`` distinct ones the medians are selected by histograms (``hot_medians``), not buffered.
+    ``group_rows`` hypotheses the medians are selected by histograms (``hot_medians``), not buffered.
     """
     text = F.regexp_replace(F.upper("text"), " ", "")
     body = (F.col("part") == "body") & (F.col("score") >= body_bar) & text.rlike("^[A-Z][0-9]{3}[A-Z]{2}$")
@@ -275,7 +275,9 @@ def region_consensus(hypotheses: DataFrame, body_bar: float = 0.80, region_bar:
         *[F.max(of(part, F.col("value"))).alias(f"_other_{part}") for part in parts],
         *[F.sum(of(part, F.col("votes"))).alias(f"_votes_{part}") for part in parts],
     ]
-    light, heavy, _ = split_heavy(votes, ["plate_id"], group_rows)
+    # Counted on the key alone: a plate has at most as many distinct votes as rows.
+    _, _, hot = split_heavy(hypotheses.select("plate_id"), ["plate_id"], group_rows)
+    light, heavy = (votes, None) if hot is None else (votes.join(hot, "plate_id", "left_anti"), votes.join(hot, "plate_id", "left_semi"))
     summary = light.groupBy("plate_id").agg(*facts, *[middle(part).alias(f"_median_{part}") for part in parts])
     if heavy is not None:
         heavy = cut_lineage(heavy)
